@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, pii, quality, rules, toxicity, urls
+from . import bpe, decontaminate, langid, neardup, ngram_lm, pii, quality, rules, toxicity, urls
 from .frames import id_remainder, narrow
 from .samples import labelled
 
@@ -54,6 +54,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(spans, pii.BASE_KINDS).cast("binary"), 256).alias("base_sha256"), pii.digest(spans).alias("spans"))
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = id_remainder(F.col("doc_id"), 10)
+    kind = F.when(fold == 0, ngram_lm.HELD_OUT).when(fold == 1, ngram_lm.TUNING).otherwise(ngram_lm.COUNTING)
+    scored = ngram_lm.score(_table(spark, sf_dir, "documents"), kind)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(id_remainder(F.col("doc_id"), 3) != 1))
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_pii": op3_pii,
+    "op4_ngram_lm": op4_ngram_lm,
     "op5_language_id": op5_language_id,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
