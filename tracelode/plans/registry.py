@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_NAME = re.compile(r"\{([a-z_0-9]+)\}")
+_NAME = re.compile(r"\{([a-z][a-z_0-9]*)\}")
 TABLES = frozenset("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
 _inputs: dict[str, str] = {}
@@ -80,7 +80,7 @@ def query(oracle: str | None = None) -> Callable[[Callable[[Tables], DataFrame]]
 
 
 def _load() -> None:
-    from . import evaluation, operations, ranking  # noqa: F401
+    from . import evaluation, operations, ranking, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
