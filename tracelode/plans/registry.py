@@ -80,7 +80,7 @@ def query(oracle: str | None = None) -> Callable[[Callable[[Tables], DataFrame]]
 
 
 def _load() -> None:
-    from . import evaluation, operations, ranking, text  # noqa: F401
+    from . import evaluation, identity, maintenance, operations, ranking, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -128,9 +128,9 @@ source("authors", """
 
 @query("""
     WITH a AS (SELECT doc_id, trim(regexp_replace(name, ' +', ' ', 'g')) AS c FROM {authors}), w AS (SELECT *, string_split(c, ' ') AS ws, contains(c, ',') AS comma FROM a),
-    p AS (SELECT *, coalesce((SELECT min(i) FROM range(2, len(ws)) r(i) WHERE lower(ws[i]) IN ('van', 'von', 'der', 'den', 'de', 'del', 'la', 'di', 'da')), len(ws)) AS at FROM w)
-    SELECT doc_id, CASE WHEN c = '' THEN NULL WHEN comma THEN trim(split_part(c, ',', 1)) WHEN len(ws) > 1 THEN array_to_string(ws[at:len(ws)], ' ') END AS family,
-        CASE WHEN c = '' THEN NULL WHEN comma THEN trim(regexp_replace(c, '^[^,]*,', '')) WHEN len(ws) > 1 THEN array_to_string(ws[1:at - 1], ' ') END AS given, CASE WHEN c <> '' AND NOT comma AND len(ws) = 1 THEN c END AS literal FROM p""")
+    p AS (SELECT *, coalesce((SELECT min(i) FROM range(2, len(ws)) r(i) WHERE lower(ws[i]) IN ('van', 'von', 'der', 'den', 'de', 'del', 'la', 'di', 'da')), len(ws)) AS pos FROM w)
+    SELECT doc_id, CASE WHEN c = '' THEN NULL WHEN comma THEN trim(split_part(c, ',', 1)) WHEN len(ws) > 1 THEN array_to_string(ws[pos:len(ws)], ' ') END AS family,
+        CASE WHEN c = '' THEN NULL WHEN comma THEN trim(regexp_replace(c, '^[^,]*,', '')) WHEN len(ws) > 1 THEN array_to_string(ws[1:pos - 1], ' ') END AS given, CASE WHEN c <> '' AND NOT comma AND len(ws) = 1 THEN c END AS literal FROM p""")
 def split_author_name(t: Tables) -> DataFrame:
     return X.split_author_name(t("authors")).select("doc_id", "family", "given", "literal")
 
