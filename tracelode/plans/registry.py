@@ -80,7 +80,7 @@ def query(oracle: str | None = None) -> Callable[[Callable[[Tables], DataFrame]]
 
 
 def _load() -> None:
-    from . import evaluation, identity, ledger, maintenance, memory, operations, ranking, safety, streams, text  # noqa: F401
+    from . import conversations, evaluation, identity, ledger, maintenance, memory, operations, ranking, safety, streams, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
