@@ -28,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import bounded_batches
+
 #: Vocabularies above this many tokens are refused, because they are broadcast.
 MAX_VOCABULARY = 2_000_000
 #: Merged pre-tokens that a task remembers; the memory of a task does not grow with its input.
-MEMO = 200_000
+MEMO = 100_000
 SLICE_CHARS = 1_000_000
 
 
@@ -200,7 +202,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_co
             at = np.concatenate([[0], np.cumsum(size)])
             yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
 
-    return df.withColumn(out_col, ids(F.col(text_col)))
+    return bounded_batches(df).withColumn(out_col, ids(F.col(text_col)))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -220,4 +222,4 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "token_ids", ou
                 out.append(b"" if x is None else b"".join(map(table.__getitem__, x.to_numpy(zero_copy_only=False).tolist())))
             yield pa.array(out, pa.binary())
 
-    return df.withColumn(out_col, text(F.col(ids_col)))
+    return bounded_batches(df).withColumn(out_col, text(F.col(ids_col)))

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import bounded_batches
 from .text import NOT_ALNUM, chunks, mix, split
 
 #: Fixed masks: 1 compares the word, 0 ignores it.  Each has eight compared words.
@@ -136,7 +137,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bloc
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL")
     total = items.agg(F.sum(F.length("text")), F.count("*")).first()
     blocks = min(total[1], int((total[0] or 0) / (4 * block_words)) + 1)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col(text_col).alias("text"))
 
     def one(k: int) -> DataFrame:
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").toArrow()

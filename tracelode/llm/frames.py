@@ -9,6 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same rows, with Arrow batches to Python of at most 8 MB.
+
+    Spark's 64 MB are held several times over (JVM, pipe, worker, result) by each of an executor's tasks, and reused
+    workers keep what they once had; a smaller size that the session already has is left alone.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH, "0").rstrip("b") or 0) in (0, 64 << 20, -1):
+        conf.set(_BATCH, str(8 << 20))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, which all executors see.
 

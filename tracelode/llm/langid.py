@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import bounded_batches
 from .text import chunks, mix
 
 BUCKETS = 1 << 15
@@ -98,7 +99,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at])], ["lang", "bucket", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
+    rows = bounded_batches(docs).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL")
     found = rows.mapInArrow(tally, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(found["lang"].to_pylist()))
     if len(names) > MAX_LANGUAGES:
@@ -139,4 +140,4 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = "_langid"
     while at in df.columns:
         at += "_"
-    return df.withColumn(at, predict(F.col(text_col))).withColumn("lang_pred", F.col(f"{at}.lang")).withColumn("lang_score", F.col(f"{at}.score")).drop(at)
+    return bounded_batches(df).withColumn(at, predict(F.col(text_col))).withColumn("lang_pred", F.col(f"{at}.lang")).withColumn("lang_score", F.col(f"{at}.score")).drop(at)

@@ -10,9 +10,12 @@ are too far apart are dropped, and all others are confirmed on their full shingl
 Pairs are not expanded within a group.  In a star round every bucket names one leader, each member is
 compared with its nearest leader (by sketch) only, and confirmed links are merged into components.
 Rounds name other leaders, and look only at buckets that still hold more than one component, until
-no round links much; then the rest, all pairs of *different* components within a bucket, is joined
-exactly.  A link between different components is therefore never lost, while a group of m copies costs
-about m comparisons in each round.
+no round links much.  Then all pairs of *different* components within a bucket are compared exactly: in
+buckets of at most ``SMALL`` members by a join whose condition includes the sketches; larger ones are
+put together to families, which are cut into blocks, and every two blocks meet in one task as a tile
+that computes all intersections at once and returns links between components only.  A link between
+different components is therefore never lost, no pair of a large group becomes a row, and a group of m
+copies costs about m comparisons in each round.
 
 Recall of the buckets: a pair at similarity 0.85 shares no band with probability below 1e-6 (at 0.80:
 below 5e-5 with the settings used there).
@@ -36,14 +39,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import bounded_batches, written
 from .text import chunks, mix, signed, split, windows
 
 ROWS, BANDS = 6, 36
 SKETCH_WORDS = 16  # 64-bit words of an odd sketch
 #: Star rounds go on while they close a tenth of what is open, and more is open than this many pairs for each bucket row.
 OPEN_PER_ROW = 2
-MOST_ROUNDS = 12
+MOST_ROUNDS = 6
+SMALL = 64  # members of a bucket that is joined by pairs; larger ones go by tiles
+TILE_DOCS, TILE_SHINGLES = 400, 250_000  # of a block
 
 _rng = np.random.default_rng(909)
 _MULTIPLY = _rng.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,11 +88,16 @@ def odd_sketches(values: np.ndarray) -> np.ndarray:
 
 
 def sketch_limit(percent: int) -> int:
-    """XOR population count beyond which a pair of at least this similarity has a chance below about 1e-6."""
+    """XOR population count that a pair of at least this similarity exceeds with a chance below about 1e-6.
+
+    Five standard deviations above the mean, over both the sampling of MinHash values and collisions in the bitmap.
+    """
     k, bits, s = ROWS * BANDS, 64 * SKETCH_WORDS, percent / 100
-    differ = 2 * (k * (1 - s) + 5 * (k * s * (1 - s)) ** 0.5)
-    mean = bits / 2 * (1 - (1 - 2 / bits) ** differ)
-    return int(mean + 5 * (mean * (1 - mean / bits)) ** 0.5) + 1
+    differ = 2 * k * (1 - s)
+    share = (1 - 2 / bits) ** differ
+    sampling = 4 * k * s * (1 - s) * share * share
+    collisions = bits / 4 * (1 - share * share) - differ * share * share
+    return int(bits / 2 * (1 - share) + 5 * (sampling + max(collisions, 0)) ** 0.5) + 1
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -95,7 +105,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, 1):
+            for part in chunks(batch, 1, most_rows=1_000):
                 h, first = shingle_sets(part.column(1), size)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
@@ -191,7 +201,7 @@ def _relabel(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs``; the similarity is ``percent`` or more."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed_rows = written(signatures(rows, size), "signatures")
     real = signed_rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     folded = real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -215,6 +225,58 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc
     )
 
 
+def _tile(percent: int):
+    """Compares every document of one block with every document of another (or of its own)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        block = np.asarray(table["block"])
+        id_, comp = np.asarray(table["id"]), np.asarray(table["comp"])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        size = np.array([len(x) for x in sets], np.int64)
+        keys, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        shared = df[col] > 1  # a shingle of one document is in no intersection
+        place = np.cumsum(df > 1) - 1
+        row, col = row[shared], place[col[shared]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        left = np.flatnonzero(block == block.min())
+        right = np.flatnonzero(block == block.max())
+        both = np.zeros((len(left), len(right)), np.float32)
+        step = 4096
+        for c in range(0, int((df > 1).sum()), step):
+            i, j = np.searchsorted(col, [c, c + step])
+            part = np.zeros((len(sets), step), np.float32)
+            part[row[i:j], col[i:j] - c] = 1
+            both += part[left] @ part[right].T
+        union = size[left][:, None] + size[right][None, :] - both
+        x, y = np.nonzero((100 * both >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
+        x, y = left[x], right[y]
+        _, first = np.unique(np.stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])]), axis=1, return_index=True)  # one link joins two components
+        return pa.table([pa.array(id_[x[first]]), pa.array(id_[y[first]])], ["u", "v"])
+
+    return compare
+
+
+def _rest(mixed: DataFrame, sketches: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """All links between different components within a bucket (of large buckets: one for each two components of a tile)."""
+    sizes = mixed.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("least"))
+    small = mixed.join(sizes.where(F.col("m") <= SMALL).select("band"), "band", "left_semi").join(sketches.select("id", "sketch"), "id")
+    apart = (F.col("l.id") < F.col("r.id")) & (F.col("l.comp") != F.col("r.comp"))
+    near = small.alias("l").join(small.alias("r"), (F.col("l.band") == F.col("r.band")) & apart & _plausible("l", "r", percent))
+    by_pairs = confirm(near.select(F.col("l.id").alias("u"), F.col("r.id").alias("v")).distinct(), shingles, percent)
+
+    large = mixed.join(sizes.where(F.col("m") > SMALL).select("band", "least"), "band")
+    chained = components(large.select(F.col("id").alias("u"), F.col("least").alias("v")).distinct())
+    members = large.select("id", "comp", "n_shingles").distinct().join(chained, "id", "left").withColumn("family", F.coalesce("label", "id"))
+    members = written(members.select("id", "comp", "n_shingles", "family"), "families")
+    cut = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(cut, "family").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = placed.join(shingles.withColumnRenamed("doc_id", "id"), "id").select("family", "block", "id", "comp", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = dealt.groupBy("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return by_pairs.union(tiles.applyInArrow(_tile(percent), "u long, v long"))
+
+
 def _links(buckets: DataFrame, sketches: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (u, v) that connect everything which the buckets connect."""
     spark = buckets.sparkSession
@@ -228,19 +290,14 @@ def _links(buckets: DataFrame, sketches: DataFrame, shingles: DataFrame, percent
         last = turn == MOST_ROUNDS or open_pairs < OPEN_PER_ROW * n_rows or (before is not None and open_pairs > 0.9 * before)
         before = open_pairs
         if last:
-            rest = mixed.join(sketches.select("id", "sketch"), "id")
-            apart = (F.col("l.id") < F.col("r.id")) & (F.col("l.comp") != F.col("r.comp"))
-            near = rest.alias("l").join(rest.alias("r"), (F.col("l.band") == F.col("r.band")) & apart & _plausible("l", "r", percent))
-            near = near.select(F.col("l.id").alias("u"), F.col("r.id").alias("v")).distinct()
-        else:
-            order = F.xxhash64("id", F.lit(turn))
-            leaders = mixed.groupBy("band").agg(F.min_by("id", order).alias("leader"), F.min_by("comp", order).alias("leader_comp"))
-            pairs = mixed.join(leaders, "band").where("comp <> leader_comp").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
-            one, two = (sketches.select(F.col("id").alias(c), F.struct("n_shingles", "sketch").alias(d)) for c, d in (("u", "a"), ("v", "b")))
-            near = pairs.join(one, "u").join(two, "v").where(_plausible("a", "b", percent))
-            near = near.groupBy("u").agg(F.min_by("v", F.struct(_far(F.col("a.sketch"), F.col("b.sketch")), "v")).alias("v"))
-        found = found.union(written(confirm(near, shingles, percent), "star"))
-        if last:
+            found = found.union(written(_rest(mixed, sketches, shingles, percent), "rest"))
             break
+        order = F.xxhash64("id", F.lit(turn))
+        leaders = mixed.groupBy("band").agg(F.min_by("id", order).alias("leader"), F.min_by("comp", order).alias("leader_comp"))
+        pairs = mixed.join(leaders, "band").where("comp <> leader_comp").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
+        one, two = (sketches.select(F.col("id").alias(c), F.struct("n_shingles", "sketch").alias(d)) for c, d in (("u", "a"), ("v", "b")))
+        near = pairs.join(one, "u").join(two, "v").where(_plausible("a", "b", percent))
+        near = near.groupBy("u").agg(F.min_by("v", F.struct(_far(F.col("a.sketch"), F.col("b.sketch")), "v")).alias("v"))
+        found = found.union(written(confirm(near, shingles, percent), "star"))
         labels = components(found).select(F.col("id").alias("old"), "label")
     return found

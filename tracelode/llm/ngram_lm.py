@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import bounded_batches, written
 from .text import chunks, mix, split
 
 CHUNK_BYTES = 12_000_000
@@ -211,7 +211,7 @@ def score(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col: str =
 
     ``kind`` says of each row (in terms of ``doc_id``) whether it is held out (0), tunes the weights (1) or is counted (2).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("kind", kind.cast("long"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("kind", kind.cast("long"))
     sizes = {r[0]: r[1] for r in rows.groupBy("kind").agg(F.sum(F.octet_length("text") + 16)).collect()}
     n_chunks = {k: 1 + int(v // chunk_bytes) for k, v in sizes.items()}
     parts = max(1, sum(n_chunks.values()))

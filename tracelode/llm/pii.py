@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import bounded_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "userinfo", "iban", "account", "secret")
 #: Words before an account number or a secret; each is an anchor of its own.
@@ -244,7 +246,7 @@ def find_spans(df: DataFrame, text_col: str = "text", out_col: str = "pii_spans"
             rows = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["kind", "start", "end"])
             yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), rows)
 
-    return df.withColumn(out_col, spans(F.col(text_col)))
+    return bounded_batches(df).withColumn(out_col, spans(F.col(text_col)))
 
 
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:

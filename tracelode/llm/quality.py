@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import bounded_batches
 from .text import LOWER, Words, chunks, mix, split
 
 ROWS, DIM, NONZERO, WINDOW = 1 << 15, 16, 4, 2
@@ -102,7 +103,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["block", "vectors"])
 
     schema = "block int, vectors binary"
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, schema).repartition(ROWS // _BLOCK, "block").mapInArrow(add, schema).toArrow()
+    found = bounded_batches(docs).select(F.col(text_col).alias("text")).mapInArrow(gather, schema).repartition(ROWS // _BLOCK, "block").mapInArrow(add, schema).toArrow()
     out = np.zeros((ROWS, DIM), np.float32)
     for block, body in zip(found["block"].to_pylist(), found["vectors"].to_pylist()):
         out[block * _BLOCK : (block + 1) * _BLOCK] += np.frombuffer(body, np.float32).reshape(_BLOCK, DIM)
@@ -203,4 +204,4 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "q
             parts = [sent.value.score(part.column(0)) for part in chunks(pa.RecordBatch.from_arrays([texts], ["t"]), 0)]
             yield pa.array(np.concatenate([*parts, np.zeros(0)]))
 
-    return df.withColumn(out_col, good(F.col(text_col)))
+    return bounded_batches(df).withColumn(out_col, good(F.col(text_col)))

@@ -80,12 +80,12 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def chunks(batch: pa.RecordBatch, column: int | str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: int | str, most: int = CHUNK_BYTES, most_rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about ``most`` bytes; every row is in one slice."""
     _, at = raw(batch.column(column))
     i, n = 0, batch.num_rows
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1), i + most_rows)
         yield batch.slice(i, j - i)
         i = j
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import bounded_batches
 from .text import NOT_ALNUM, chunks, split
 
 PER_CLASS = 4_000
@@ -153,4 +154,4 @@ def score(df: DataFrame, model: Machine, text_col: str = "text", out_col: str =
             parts = [sent.value.score(part.column(0)) for part in chunks(pa.RecordBatch.from_arrays([texts], ["t"]), 0)]
             yield pa.array(np.concatenate([*parts, np.zeros(0)]))
 
-    return df.withColumn(out_col, toxic(F.col(text_col)))
+    return bounded_batches(df).withColumn(out_col, toxic(F.col(text_col)))
