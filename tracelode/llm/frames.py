@@ -19,7 +19,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     workers keep what they once had; a smaller size that the session already has is left alone.
     """
     conf = df.sparkSession.conf
-    if int(conf.get(_BATCH, "0").rstrip("b") or 0) in (0, 64 << 20, -1):
+    if conf.get(_BATCH).rstrip("b") == str(64 << 20):
         conf.set(_BATCH, str(8 << 20))
     return df
 
