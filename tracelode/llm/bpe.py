@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import bounded_batches
+from .text import tidy
 
 #: Vocabularies above this many tokens are refused, because they are broadcast.
 MAX_VOCABULARY = 2_000_000
@@ -192,7 +193,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_co
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(sent.value)
-        for batch in batches:
+        for batch in tidy(batches):
             batch = pc.fill_null(batch, "")
             parts = []
             for i, j in _slices(pc.utf8_length(batch).to_numpy(zero_copy_only=False), SLICE_CHARS):
@@ -215,7 +216,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "token_ids", ou
         table: list[bytes] = [b""] * (int(v.ids.max()) + 1 if len(v.ids) else 0)
         for token, i in zip(v.tokens, v.ids.tolist()):
             table[i] = token
-        for batch in batches:
+        for batch in tidy(batches):
             out = []
             for i in range(len(batch)):
                 x = batch[i].values

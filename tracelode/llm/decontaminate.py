@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import bounded_batches
-from .text import NOT_ALNUM, chunks, mix, split
+from .text import NOT_ALNUM, chunks, mix, split, tidy
 
 #: Fixed masks: 1 compares the word, 0 ignores it.  Each has eight compared words.
 MASKS = ("11111111", "1101110111", "1110101101001", "101101011011")
@@ -145,7 +145,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", bloc
         sent = spark.sparkContext.broadcast(_block(part["item_id"].to_numpy(), texts))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in tidy(batches):
                 for piece in chunks(batch, 1):
                     if found := _search(piece.column(0).to_pylist(), piece.column(1), sent.value):
                         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())

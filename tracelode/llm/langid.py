@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import bounded_batches
-from .text import chunks, mix
+from .text import chunks, mix, tidy
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in tidy(batches):
             for part in chunks(batch, 0, SLICE_BYTES):
                 bucket, row, _ = grams(part.column(0))
                 names = part.column(1).dictionary_encode()
@@ -129,7 +129,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in tidy(batches):
             names, p = [], []
             for part in chunks(pa.RecordBatch.from_arrays([texts], ["t"]), 0, SLICE_BYTES):
                 a, b = score(part.column(0), sent.value)

@@ -40,13 +40,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import bounded_batches, written
-from .text import chunks, mix, signed, split, windows
+from .text import chunks, mix, signed, split, tidy, windows
 
 ROWS, BANDS = 6, 36
 SKETCH_WORDS = 16  # 64-bit words of an odd sketch
-#: Star rounds go on while they close a tenth of what is open, and more is open than this many pairs for each bucket row.
+#: Star rounds go on while they close a fifth of what is open, and more is open than this many pairs for each bucket row.
 OPEN_PER_ROW = 2
-MOST_ROUNDS = 6
+MOST_ROUNDS = 3
 SMALL = 64  # members of a bucket that is joined by pairs; larger ones go by tiles
 TILE_DOCS, TILE_SHINGLES = 400, 250_000  # of a block
 
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """Set size, set digest, band keys and odd sketch of each (doc_id, text) row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for part in chunks(batch, 1, most_rows=1_000):
                 h, first = shingle_sets(part.column(1), size)
                 n = np.diff(first)
@@ -138,7 +138,7 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, shingles): each text's sorted distinct shingle hashes, eight bytes each."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for part in chunks(batch, 1):
                 h, first = shingle_sets(part.column(1), size)
                 body = [h[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
@@ -162,7 +162,7 @@ def confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= percent * union of their full sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -287,7 +287,7 @@ def _links(buckets: DataFrame, sketches: DataFrame, shingles: DataFrame, percent
         n_rows, open_pairs = parts.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()
         if not open_pairs:
             break
-        last = turn == MOST_ROUNDS or open_pairs < OPEN_PER_ROW * n_rows or (before is not None and open_pairs > 0.9 * before)
+        last = turn == MOST_ROUNDS or open_pairs < OPEN_PER_ROW * n_rows or (before is not None and open_pairs > 0.8 * before)
         before = open_pairs
         if last:
             found = found.union(written(_rest(mixed, sketches, shingles, percent), "rest"))

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import bounded_batches
+from .text import tidy
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "userinfo", "iban", "account", "secret")
@@ -232,7 +233,7 @@ def find_spans(df: DataFrame, text_col: str = "text", out_col: str = "pii_spans"
     @F.arrow_udf(_SPANS)
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         anchors = automaton()
-        for batch in batches:
+        for batch in tidy(batches):
             at, kinds, starts, ends = [0], [], [], []
             for text in batch:
                 t = text.as_py()

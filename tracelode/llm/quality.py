@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import bounded_batches
-from .text import LOWER, Words, chunks, mix, split
+from .text import LOWER, Words, chunks, mix, split, tidy
 
 ROWS, DIM, NONZERO, WINDOW = 1 << 15, 16, 4, 2
 PER_CLASS = 6_000
@@ -73,7 +73,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, total, some = _index_matrix(), np.zeros((ROWS, DIM), np.float32), False
-        for batch in batches:
+        for batch in tidy(batches):
             for part in chunks(batch, 0):
                 w, word, shape = _tokens(part.column(0))
                 if not len(word):
@@ -95,7 +95,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in tidy(batches):
             for block, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = np.frombuffer(body.as_buffer(), np.float32)
                 sums[block] = sums[block] + x if block in sums else x.astype(np.float64)
@@ -184,7 +184,7 @@ def fit(sample: DataFrame, vectors: np.ndarray, seed: int = 11) -> Model:
     sent = sample.sparkSession.sparkContext.broadcast(vectors)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for part in chunks(batch, 0):
                 x = pooled(part.column(0), sent.value)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column(1), part.column(2)], ["x", "label", "doc_id"])
@@ -200,7 +200,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "q
 
     @F.arrow_udf("double")
     def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in tidy(batches):
             parts = [sent.value.score(part.column(0)) for part in chunks(pa.RecordBatch.from_arrays([texts], ["t"]), 0)]
             yield pa.array(np.concatenate([*parts, np.zeros(0)]))
 

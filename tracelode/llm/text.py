@@ -11,6 +11,7 @@ points.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,25 @@ _pow = np.ones(1, np.uint64)
 _ipow = np.ones(1, np.uint64)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library: nothing to trim
+    _trim = None
+
+
+def tidy(batches: Iterator) -> Iterator:
+    """The same batches; after each one, memory that Arrow and the C library hold unused goes back to the system.
+
+    Spark keeps Python workers for later tasks, and without this each keeps the most that it ever had.
+    """
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """p**i and p**-i modulo 2**64 for i < n (kept between batches of a task)."""
     global _pow, _ipow

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import bounded_batches
-from .text import NOT_ALNUM, chunks, split
+from .text import NOT_ALNUM, chunks, split, tidy
 
 PER_CLASS = 4_000
 MIN_DOCS = 3
@@ -132,7 +132,7 @@ def fit(sample: DataFrame, seed: int = 7) -> Machine:
     """Fit on (text, label) rows; the caller bounds their number (see ``samples.labelled``)."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidy(batches):
             for part in chunks(batch, 0):
                 h, first = terms(part.column(0))
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64))), part.column(1), part.column(2)], ["terms", "label", "doc_id"])
@@ -150,7 +150,7 @@ def score(df: DataFrame, model: Machine, text_col: str = "text", out_col: str =
 
     @F.arrow_udf("double")
     def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in tidy(batches):
             parts = [sent.value.score(part.column(0)) for part in chunks(pa.RecordBatch.from_arrays([texts], ["t"]), 0)]
             yield pa.array(np.concatenate([*parts, np.zeros(0)]))
 
