@@ -83,7 +83,7 @@ def knn_filtered(queries: DataFrame, vectors: DataFrame, condition: str, k: int
     return knn_exact(queries, vectors.where(condition), k)
 
 
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, width: float = 0.6, tables: int = 32) -> DataFrame:
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, width: float = 1.0, tables: int = 40) -> DataFrame:
     """Approximate search: random projections into buckets, candidates that share one, exact distances on those.
 
     ``width`` is the bucket's width on each of ``tables`` projections (two numbers a table).

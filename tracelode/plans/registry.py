@@ -27,6 +27,7 @@ class Tables:
     """Inputs of one data folder, as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        _load()
         self.spark, self.sf_dir = spark, sf_dir
         self._tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
         self._made: dict[str, DataFrame] = {}

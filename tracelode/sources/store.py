@@ -132,7 +132,7 @@ def export_with_manifest(tables: Mapping[str, DataFrame], folder: str) -> DataFr
     for name, df in tables.items():
         flat = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
         path = f"{folder}/{name}-{uuid.uuid4().hex}"
-        options = {"header": True, "escape": '"', "quote": '"', "multiLine": True, "nullValue": "\\N", "emptyValue": ""}
+        options = {"header": True, "escape": '"', "quote": '"', "multiLine": True, "nullValue": "\\N"}
         flat.write.options(**options).csv(path)
         again = df.sparkSession.read.schema(flat.schema).options(**options).csv(path)
         said, got = _fingerprint(flat), _fingerprint(again)
