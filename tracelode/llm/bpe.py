@@ -6,7 +6,7 @@ pre-tokens of a slice at once.  A pre-token that is not in the vocabulary is mer
 heap over a linked list of its bytes, O(n log n) also for very long pre-tokens.
 
 Scale: one map over the rows, no shuffle.  The tables are broadcast; their size is that of the
-vocabulary file, which ``load_vocabulary`` checks.  Tasks work on slices of about 2 MB of text.
+vocabulary file, which ``load_vocabulary`` checks.  Tasks work on slices of about 2 million characters of text.
 
 Defined results: a null text counts as empty and gives an empty id list; null id lists decode to
 empty bytes; repeated rows give repeated results; a column that already has the output name is
@@ -19,6 +19,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,9 +34,9 @@ from .text import tidy
 
 #: Vocabularies above this many tokens are refused, because they are broadcast.
 MAX_VOCABULARY = 2_000_000
-#: Merged pre-tokens that a task remembers; the memory of a task does not grow with its input.
+#: Merged pre-tokens that a task remembers, twice; the memory of a task does not grow with its input.
 MEMO = 100_000
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 2_000_000
 
 
 def _h64(keys: list[bytes]) -> np.ndarray:
@@ -111,27 +112,35 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the lowest-ranked, then leftmost adjacent pair is merged until none is left."""
-    n = len(piece)
-    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    """Ids of one pre-token: the lowest-ranked, then leftmost adjacent pair is merged until none is left.
+
+    A heap entry packs (rank, start, end of the pair) into one integer.  It is stale, and skipped, unless its start is
+    still a segment whose neighbour ends where the entry says.
+    """
+    n, get = len(piece), ranks.get
+    shift = n.bit_length()
+    low = (1 << shift) - 1
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [((r << shift | i) << shift) | (i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        if not alive[i] or (j := after[i]) >= n or end[j] != stop:
+        entry = pop(heap)
+        stop, i = entry & low, entry >> shift & low
+        j = end[i]
+        if not j or j >= n or end[j] != stop:
             continue
-        alive[j], end[i], after[i] = False, stop, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-            if (r := ranks.get(piece[i : end[after[j]]])) is not None:
-                heapq.heappush(heap, (r, i, end[after[j]]))
-        if (p := before[i]) >= 0 and (r := ranks.get(piece[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, stop))
+        end[i], end[j] = stop, 0  # an end of 0 marks a segment that is gone
+        if stop < n:
+            before[stop] = i
+            if (r := get(piece[i : end[stop]])) is not None:
+                push(heap, ((r << shift | i) << shift) | end[stop])
+        if i and (r := get(piece[before[i] : stop])) is not None:
+            push(heap, ((r << shift | before[i]) << shift) | stop)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
-        i = after[i]
+        i = end[i]
     return out
 
 
@@ -141,27 +150,23 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.ranks, self.split = vocabulary, vocabulary.ranks(), regex.compile(vocabulary.pattern).findall
         self.tokens = np.array([*vocabulary.tokens, b""], dtype=object)[:-1]
-        self.memo: dict[bytes, list[int]] = {}
+        self.single = [(i,) for i in vocabulary.ids.tolist()]
+        self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}  # what the memo held before it was last full
 
     def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of distinct pre-tokens and the number of ids of each."""
         at = self.v.perfect.find(_h64(pieces))
         known = self.tokens[at] == np.array([*pieces, b""], dtype=object)[:-1]
-        found: list = list(self.v.ids[at].tolist())
-        count = np.ones(len(pieces), np.int64)
+        found = [self.single[k] for k in at.tolist()]
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         for i in np.flatnonzero(~known).tolist():
             if (ids := self.memo.get(pieces[i])) is None:
-                ids = self.memo[pieces[i]] = merge(pieces[i], self.ranks)
-            found[i], count[i] = ids, len(ids)
-        flat = np.empty(int(count.sum()), np.int32)
-        start = np.cumsum(count) - count
-        ones = count == 1
-        flat[start[ones]] = [x if isinstance(x, int) else x[0] for x, one in zip(found, ones.tolist()) if one]
-        for i in np.flatnonzero(~ones).tolist():
-            flat[start[i] : start[i] + count[i]] = found[i]
-        return flat, count
+                ids = self.memo[pieces[i]] = self.older.get(pieces[i]) or tuple(merge(pieces[i], self.ranks))
+            found[i] = ids
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(count.sum())), count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and the number of ids of each text."""
