@@ -49,5 +49,5 @@ def invoice_reconcile(invoices: DataFrame, lines: DataFrame, tolerance: float =
     """Stated total against the sum of lines; an invoice without lines sums to 0."""
     sums = lines.groupBy("invoice_id").agg(F.sum("amount").alias("line_sum"), F.count("*").alias("n_lines"))
     j = invoices.join(sums, "invoice_id", "left").fillna(0, ["line_sum", "n_lines"])
-    gap = F.round(F.col("stated") - F.col("line_sum"), 2)
-    return j.select("invoice_id", F.round("line_sum", 2).alias("line_sum"), "n_lines", gap.alias("gap"), (F.abs(gap) > tolerance).alias("mismatch"))
+    gap = F.round(F.col("stated") - F.col("line_sum"), 4)
+    return j.select("invoice_id", F.round("line_sum", 4).alias("line_sum"), "n_lines", gap.alias("gap"), (F.abs(gap) > tolerance).alias("mismatch"))

@@ -65,7 +65,7 @@ source("invoice_lines", "SELECT l_orderkey AS invoice_id, l_extendedprice * (1 -
 
 
 @query("""
-    SELECT invoice_id, round(coalesce(s, 0), 2) AS line_sum, coalesce(n, 0) AS n_lines, round(stated - coalesce(s, 0), 2) AS gap, abs(round(stated - coalesce(s, 0), 2)) > 0.01 AS mismatch
+    SELECT invoice_id, round(coalesce(s, 0), 4) AS line_sum, coalesce(n, 0) AS n_lines, round(stated - coalesce(s, 0), 4) AS gap, abs(round(stated - coalesce(s, 0), 4)) > 0.01 AS mismatch
     FROM {invoices} LEFT JOIN (SELECT invoice_id AS i, sum(amount) AS s, count(*) AS n FROM {invoice_lines} GROUP BY invoice_id) ON i = invoice_id""")
 def invoice_reconcile(t: Tables) -> DataFrame:
     return L.invoice_reconcile(t("invoices"), t("invoice_lines"))
