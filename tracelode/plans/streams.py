@@ -72,7 +72,7 @@ def stream_memory(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS window_start, u.model, round(sum(input_tokens / 1e6 * input_rate + output_tokens / 1e6 * output_rate), 6) AS cost, count(*) FILTER (input_rate IS NULL) AS n_unpriced, count(*) AS n
+    SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS window_start, u.model, round(sum(input_tokens / 1e6 * input_rate + output_tokens / 1e6 * output_rate), 8) AS cost, count(*) FILTER (input_rate IS NULL) AS n_unpriced, count(*) AS n
     FROM {{usage}} u LEFT JOIN {{newest_prices}} p ON p.model = u.model AND p.tier = u.tier WHERE {_CLOSED} GROUP BY ALL""")
 def stream_cost(t: Tables) -> DataFrame:
     tokens = lambda k: F.round(F.col("value") * k).cast("long")

@@ -118,5 +118,5 @@ def stream_cost(usage: DataFrame, prices: DataFrame, width: str = "1 day", laten
     """Priced usage by closed window and model; an unknown price counts as unpriced, not as 0."""
     cost = F.col("input_tokens") / 1e6 * F.col("input_rate") + F.col("output_tokens") / 1e6 * F.col("output_rate")
     priced = usage.withWatermark("ts", lateness).join(prices, ["model", "tier"], "left").withColumn("cost", cost)
-    found = priced.groupBy(F.window("ts", width), "model").agg(F.round(F.sum("cost"), 6).alias("cost"), F.sum(F.when(F.col("cost").isNull(), 1).otherwise(0)).alias("n_unpriced"), F.count("*").alias("n"))
+    found = priced.groupBy(F.window("ts", width), "model").agg(F.round(F.sum("cost"), 8).alias("cost"), F.sum(F.when(F.col("cost").isNull(), 1).otherwise(0)).alias("n_unpriced"), F.count("*").alias("n"))
     return found.select(F.col("window.start").alias("window_start"), "model", "cost", "n_unpriced", "n")
