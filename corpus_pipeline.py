@@ -38,10 +38,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item.  Rows are told apart by id and text, so that a null id hides none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = written(decontaminate.contaminated(docs, benchmark).select("doc_id"), "contaminated")
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("_row"))
+    found = decontaminate.contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark)
+    found = written(found.select(F.col("doc_id").alias("_row")), "contaminated")
+    return keyed.join(found, "_row", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,31 @@ def test_decontamination_tolerates_substitutions(spark, sf_dir, texts, odd, empt
     assert whole and whole <= {r.doc_id for r in queries.op6_decontaminate(spark, sf_dir).collect()}
 
 
+def test_decontamination_finds_each_window_with_a_seed():
+    """Against all windows on all diagonals: random copies with a fifth of their words substituted, and runs after a partly copied one."""
+    rng = np.random.default_rng(8)
+    item = [f"w{i}" for i in range(40)]
+    copies = [[w if rng.random() > 0.2 else f"o{rng.integers(10**6)}" for w in item] for _ in range(600)]
+    copies += [[w if i > 12 or i in (0, 2, 5, 8, 9, 10, 12, 1) else f"o{i}" for i, w in enumerate(item)], ["x", *item[1:12]], ["x", *item[1:11], "y", "z"]]
+    block = decontaminate._block(np.array([7, 8]), pa.array([" ".join(item), " ".join(item[:13])]))
+    texts = [" ".join(["a b c", *c, "d e f"]) for c in copies]
+    found = {(i, k): (a, b, e) for i, k, a, b, e, _ in decontaminate._search(list(range(len(texts))), pa.array(texts), block)}
+    expected = {}
+    for i, t in enumerate(texts):
+        for k, whole in ((7, item), (8, item[:13])):
+            got = t.split()
+            for shift in range(-len(whole) + 1, len(got)):
+                lo, hi = max(0, shift), min(len(got), shift + len(whole))
+                same = np.array([got[x] == whole[x - shift] for x in range(lo, hi)])
+                spots = [(x, x + len(m)) for m in decontaminate.MASKS for x in range(hi - lo - len(m) + 1) if all(same[x + y] for y, c in enumerate(m) if c == "1")]
+                for a in range(hi - lo) if spots else ():
+                    for b in range(a + 13, hi - lo + 1):
+                        if 5 * same[a:b].sum() >= 4 * (b - a) and any(a <= x and y <= b for x, y in spots):
+                            expected[i, k] = max(expected.get((i, k), 0), int(same[a:b].sum()))
+    assert {key: e for key, (_, _, e) in found.items()} == expected
+    assert all(b - a >= 13 and 5 * e >= 4 * (b - a) for a, b, e in found.values())
+
+
 def test_toxicity_learns_terms_and_pairs(spark, odd, empty):
     rng = np.random.default_rng(1)
     rows = []

@@ -52,3 +52,11 @@ def test_awkward_rows_pass_every_stage(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_leaks_without_an_id_are_dropped_alone(spark, sf_dir):
+    mark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, mark), (None, "a clean text without id"), (1, mark), (1, "a clean text with the same id"), (2, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stay = corpus_pipeline.drop_contaminated(spark, docs, sf_dir)
+    assert {(r.doc_id, r.text) for r in stay.collect()} == {rows[1], rows[3], rows[4]}

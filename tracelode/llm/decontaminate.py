@@ -3,10 +3,10 @@
 Fixed masks over windows of consecutive words ignore some positions, so a window still hashes alike
 when a word at an ignored position was substituted.  Test hashes (each mask at each position of each
 benchmark item) are joined to training hashes inside the map over documents: a sorted array of test
-hashes is broadcast and each window of a text is looked up in it.  Around each hit the text and the
-item are aligned on the hit's diagonal and compared word by word; the overlap grows from the hit
-while it stays ``MIN_SHARE`` equal, and counts from ``MIN_WORDS`` words on (or the whole item, if that
-is shorter).
+hashes is broadcast and each window of a text is looked up in it.  Text and item are aligned on each
+hit's diagonal and compared word by word; an overlap is any window of ``MIN_WORDS`` words or more (or
+the whole item, if that is shorter) that holds a hit and is ``MIN_SHARE`` equal.  Unequal words at its
+ends are left out of what is reported, down to that length.
 
 Words are lower-cased (A-Z) and stripped of ASCII punctuation, so that a comma does not hide a copy.
 
@@ -79,52 +79,66 @@ def _block(ids: np.ndarray, texts: pa.Array) -> Block:
     return Block(ids, w.first, h, seeds[order], at[order], small)
 
 
-def _overlap(text: np.ndarray, item: np.ndarray, shift: int, hit: int, span: int) -> tuple[int, int, int]:
+def _overlap(text: np.ndarray, item: np.ndarray, shift: int, hits: np.ndarray, ends: np.ndarray) -> tuple[int, int, int] | None:
     """Start and end in the text, and equal words, of the best overlap on one diagonal.
 
-    text[i] stands against item[i - shift].  From the hit both ends grow to the farthest word that
-    keeps the share of equal words at MIN_SHARE.
+    text[i] stands against item[i - shift].  Of all windows that hold a hit (hits[k] to ends[k], sorted by start), are
+    long enough and at least MIN_SHARE equal, this is the one with the most equal words.  With a running balance that
+    rises by 1 - MIN_SHARE at an equal word and falls by MIN_SHARE at another, a window is good if the balance ends no
+    lower than it starts; only starts at a new low, with the farthest end for each, can be best.
     """
     lo, hi = max(0, shift), min(len(text), shift + len(item))
+    least = min(MIN_WORDS, len(item))
+    if hi - lo < least:
+        return None
     same = (text[lo:hi] == item[lo - shift : hi - shift]).astype(np.int64)
-    a, b = hit - lo, hit - lo + span
-    right = np.cumsum(same[b:])
-    n = np.arange(1, len(right) + 1)
-    good = np.flatnonzero((right >= MIN_SHARE * n) & (same[b:] > 0))
-    b += int(good[-1]) + 1 if len(good) else 0
-    back = same[:a][::-1]
-    left = np.cumsum(back)
-    n = np.arange(1, len(left) + 1)
-    good = np.flatnonzero((left >= MIN_SHARE * n) & (back > 0))
-    a -= int(good[-1]) + 1 if len(good) else 0
-    return lo + a, lo + b, int(same[a:b].sum())
+    count = np.concatenate([[0], np.cumsum(same)])
+    balance = 100 * count - round(100 * MIN_SHARE) * np.arange(len(count))
+    starts = np.flatnonzero(np.concatenate([[True], balance[1:] < np.minimum.accumulate(balance)[:-1]]))
+    top = np.maximum.accumulate(balance[::-1])[::-1]
+    far = np.searchsorted(-top, -balance[starts], "right") - 1
+    nearest = np.append(np.minimum.accumulate((ends - lo)[::-1])[::-1], len(count))  # the least end of the hits from each one on
+    good = np.flatnonzero((nearest[np.searchsorted(hits - lo, starts)] <= far) & (far - starts >= least))
+    if not len(good):
+        return None
+    size = far - starts
+    k = good[np.lexsort((size[good], count[far[good]] - count[starts[good]]))[-1]]
+    a, b = int(starts[k]), int(far[k])
+    equal = int(count[b] - count[a])
+    while b - a > least and not same[b - 1]:
+        b -= 1
+    while b - a > least and not same[a]:
+        a += 1
+    return lo + a, lo + b, equal
 
 
 def _search(ids: list, texts: pa.Array, block: Block) -> list[tuple]:
     w = split(texts, space=NOT_ALNUM)
     h = w.hashes()
-    hits: list[tuple[int, int, int]] = []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for mask in MASKS:
         seeds, at = _seeds(h, w.first, mask)
         near = block.small[(seeds & np.uint64(len(block.small) - 1)).astype(np.int64)]
         seeds, at = seeds[near], at[near]
         lo, hi = np.searchsorted(block.seeds, seeds), np.searchsorted(block.seeds, seeds, "right")
-        for p, i, j in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-            hits += [(p, q, len(mask)) for q in block.at[i:j].tolist()]
+        n = hi - lo
+        each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        found.append((np.repeat(at, n), block.at[np.repeat(lo, n) + each], np.full(len(each), len(mask))))
+    p, q, span = (np.concatenate(c) for c in zip(*found))
+    if not len(p):
+        return []
+    row, item = np.searchsorted(w.first, p, "right") - 1, np.searchsorted(block.first, q, "right") - 1
+    hit = p - w.first[row]
+    shift = hit - (q - block.first[item])
+    order = np.lexsort((hit, shift, item, row))
+    row, item, shift, hit, end = (c[order] for c in (row, item, shift, hit, hit + span))
+    cuts = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(shift) != 0)) + 1
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    done: dict[tuple[int, int, int], int] = {}
-    for p, q, span in sorted(hits):
-        row = int(np.searchsorted(w.first, p, "right")) - 1
-        item = int(np.searchsorted(block.first, q, "right")) - 1
-        start, base = int(w.first[row]), int(block.first[item])
-        shift = (p - start) - (q - base)
-        if p - start < done.get((row, item, shift), -1):
-            continue
-        a, b, equal = _overlap(h[start : w.first[row + 1]], block.words[base : block.first[item + 1]], shift, p - start, span)
-        done[row, item, shift] = b
-        least = min(MIN_WORDS, int(block.first[item + 1]) - base)
-        if b - a >= least and equal >= MIN_SHARE * (b - a) and equal > best.get((row, item), (0, 0, 0))[2]:
-            best[row, item] = (a, b, equal)
+    for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)]):
+        r, k = int(row[x]), int(item[x])
+        got = _overlap(h[w.first[r] : w.first[r + 1]], block.words[block.first[k] : block.first[k + 1]], int(shift[x]), hit[x:y], end[x:y])
+        if got and got[2] > best.get((r, k), (0, 0, 0))[2]:
+            best[r, k] = got
     return [(ids[r], block.items[k], a, b, e, e / (b - a)) for (r, k), (a, b, e) in sorted(best.items())]
 
 
