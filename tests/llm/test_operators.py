@@ -316,3 +316,11 @@ def test_odd_sketch_estimates_high_similarity():
         a, b = neardup.odd_sketches(neardup.minhashes(both, np.array([0, 1000, 2000])))
         far.append(int(np.bitwise_count(a ^ b).sum()))
     assert far == sorted(far) and far[0] < neardup.sketch_limit(85) < far[2]
+
+
+def test_url_rules_of_all_path_lengths_match(spark):
+    path = "/" + "".join(f"{i:04d}" for i in range(300))
+    rules_ = spark.createDataFrame([("block", f"h{n}.org", path[:n]) for n in range(1, 1201)], "action string, rule_host string, rule_path string")
+    pages = spark.createDataFrame([(n, f"https://h{n}.org{path}") for n in range(1, 1201, 50)] + [(0, "https://h1200.org/0")], "page_id long, url string")
+    verdicts = {r.page_id: r.verdict for r in urls.judge(pages, rules_).collect()}
+    assert verdicts == {0: "allow"} | {n: "block" for n in range(1, 1201, 50)}

@@ -54,15 +54,15 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         "action", F.concat("rule_host", "rule_path").alias("rule"), digest.alias("rule_digest"), F.substring(digest, 1, PREFIX).alias("short")
     )
     n_rules = book.count()
-    lengths = [r[0] for r in rules.select(F.length("rule_path")).where("rule_path IS NOT NULL").distinct().limit(1_000).collect()] if n_rules else []
+    lengths = F.broadcast(rules.agg(F.collect_set(F.length("rule_path")).alias("lengths")))  # one row
 
     folded = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("copies"))
-    rows = host_and_path(folded)
+    rows = host_and_path(folded).join(lengths)
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.sha2(F.concat(s, F.lit("\n"), p).cast("binary"), 256))))
-    spread = rows.select("*", F.explode_outer(expressions).alias("digest"))
+    spread = rows.select("page_id", "url", "copies", "host", "path", F.explode_outer(expressions).alias("digest"))
     on = spread["digest"].substr(1, PREFIX) == F.col("short")
     if n_rules <= BROADCAST_RULES:
         met = spread.join(F.broadcast(book), on & (F.col("digest") == F.col("rule_digest")), "left")
