@@ -139,3 +139,11 @@ def test_drain_counts_known_rows_over_batches(spark, tmp_path):
     jobs.stream_observation_drain(spark.readStream.text(str(source)), root)
     report = [tuple(r) for r in spark.read.parquet(f"{root}/report").select("n_lines", "n_malformed", "n_known", "n_new").orderBy("batch").collect()]
     assert report == [(2, 1, 0, 1), (3, 1, 1, 1)]
+
+
+def test_chunk_overlap_has_no_bound(spark):
+    body = "".join(f"{i:05d}" for i in range(400))
+    chunks = [body[i : i + 800] for i in range(0, 1500, 500)]
+    rows = [*[(1, i, c) for i, c in enumerate(chunks)], (2, 0, "same" * 100), (2, 1, "same" * 100), (3, 0, "ab"), (3, 1, "cd"), (4, 0, ""), (4, 1, "x")]
+    got = text.chunk_overlap(spark.createDataFrame(rows, "doc_id long, chunk_index long, text string")).collect()
+    assert {(r.doc_id, r.chunk_index): r.overlap for r in got} == {(1, 0): 300, (1, 1): 300, (2, 0): 400, (3, 0): 0, (4, 0): 0}
