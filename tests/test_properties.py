@@ -147,3 +147,17 @@ def test_chunk_overlap_has_no_bound(spark):
     rows = [*[(1, i, c) for i, c in enumerate(chunks)], (2, 0, "same" * 100), (2, 1, "same" * 100), (3, 0, "ab"), (3, 1, "cd"), (4, 0, ""), (4, 1, "x")]
     got = text.chunk_overlap(spark.createDataFrame(rows, "doc_id long, chunk_index long, text string")).collect()
     assert {(r.doc_id, r.chunk_index): r.overlap for r in got} == {(1, 0): 300, (1, 1): 300, (2, 0): 400, (3, 0): 0, (4, 0): 0}
+
+
+def test_licences_named_in_words_or_declared(spark):
+    rows = [
+        (1, "Licensed under CC BY-NC-ND 4.0.", None, False), (2, "released under the\nCreative Commons Attribution-ShareAlike 3.0 licence", None, False), (3, "Licensed under the\nMIT License", None, False),
+        (4, "We discuss CC BY-NC-ND 4.0 and MIT.", None, False), (5, "nothing", "CC BY-NC 4.0", False), (6, "License: CC0", "", True), (7, "license: Creative Commons Attribution 4.0", None, False), (8, None, "MIT", True),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, declared string, from_host boolean")
+    found = safety.detect_licences(docs)
+    assert {(r.doc_id, r.family, r.version, r.tier, r.confidence) for r in found.collect()} == {
+        (1, "CC-BY-NC-ND", "4.0", "cued", 0.65), (2, "CC-BY-SA", "3.0", "cued", 0.65), (3, "MIT", "", "cued", 0.65), (5, "CC-BY-NC", "4.0", "declared", 0.6), (6, "CC0", "", "host", 0.3), (7, "CC-BY", "4.0", "cued", 0.65), (8, "MIT", "", "host", 0.3)
+    }
+    verdicts = {r.doc_id: (r.kind, r.verdict) for r in safety.resolve_licence(docs, safety.with_versions(found)).collect()}
+    assert verdicts == {1: ("single", "reject"), 2: ("single", "ok"), 3: ("single", "ok"), 4: ("none", "hold"), 5: ("single", "ok"), 6: ("single", "hold"), 7: ("single", "ok"), 8: ("single", "hold")}
