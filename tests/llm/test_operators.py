@@ -58,7 +58,10 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, sf_dir, texts, odd, empty):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     found = bpe.decode(bpe.encode(odd, v), v).collect()
     assert Counter((r.decoded or b"").decode() for r in found) == Counter(t or "" for _, t in ODD)
-    assert bpe.encode(empty, v).count() == 0
+    both = bpe.round_trip(odd, v)
+    assert both.columns == ["doc_id", "text", "score", "kept", "token_ids", "decoded"]
+    assert sorted(((r.doc_id is None, r.doc_id), list(r.token_ids), bytes(r.decoded)) for r in both.collect()) == sorted(((r.doc_id is None, r.doc_id), list(r.token_ids), bytes(r.decoded)) for r in found)
+    assert bpe.encode(empty, v).count() == 0 and bpe.round_trip(empty, v).count() == 0
 
 
 def test_quality_is_learned(spark, sf_dir, odd, empty):

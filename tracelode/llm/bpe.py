@@ -6,7 +6,7 @@ pre-tokens of a slice at once.  A pre-token that is not in the vocabulary is mer
 heap over a linked list of its bytes, O(n log n) also for very long pre-tokens.
 
 Scale: one map over the rows, no shuffle.  The tables are broadcast; their size is that of the
-vocabulary file, which ``load_vocabulary`` checks.  Tasks work on slices of about 2 million characters of text.
+vocabulary file, which ``load_vocabulary`` checks.  Tasks work on slices of about a million characters of text.
 
 Defined results: a null text counts as empty and gives an empty id list; null id lists decode to
 empty bytes; repeated rows give repeated results; a column that already has the output name is
@@ -35,8 +35,8 @@ from .text import tidy
 #: Vocabularies above this many tokens are refused, because they are broadcast.
 MAX_VOCABULARY = 2_000_000
 #: Merged pre-tokens that a task remembers, twice; the memory of a task does not grow with its input.
-MEMO = 100_000
-SLICE_CHARS = 2_000_000
+MEMO = 50_000
+SLICE_CHARS = 1_000_000
 
 
 def _h64(keys: list[bytes]) -> np.ndarray:
@@ -183,6 +183,18 @@ class Encoder:
         return flat[np.repeat(first, each) + inside], np.diff(total)
 
 
+class Decoder:
+    """Bytes of token ids inside a task."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.table: list[bytes] = [b""] * (int(vocabulary.ids.max()) + 1 if len(vocabulary.ids) else 0)
+        for token, i in zip(vocabulary.tokens, vocabulary.ids.tolist()):
+            self.table[i] = token
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.table.__getitem__, ids.tolist()))
+
+
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     total, i = np.concatenate([[0], np.cumsum(sizes)]), 0
     while i < len(sizes):
@@ -191,6 +203,21 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _encoded(encoder: Encoder, batch: pa.Array) -> pa.ListArray:
+    """Id lists of a batch of texts, made slice by slice."""
+    batch, flat, size = pc.fill_null(batch, ""), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i, j in _slices(pc.utf8_length(batch).to_numpy(zero_copy_only=False), SLICE_CHARS):
+        ids, n = encoder.encode(batch.slice(i, j - i).to_pylist())
+        flat.append(ids)
+        size.append(n)
+    at = np.concatenate([[0], np.cumsum(np.concatenate(size))])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+
+
+def _decoded(decoder: Decoder, batch: pa.ListArray) -> pa.Array:
+    return pa.array([b"" if (x := ids.values) is None else decoder.decode(x.to_numpy(zero_copy_only=False)) for ids in batch], pa.binary())
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """Add ``out_col``, the array of token ids of each whole text."""
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
@@ -199,14 +226,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_co
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(sent.value)
         for batch in tidy(batches):
-            batch = pc.fill_null(batch, "")
-            parts = []
-            for i, j in _slices(pc.utf8_length(batch).to_numpy(zero_copy_only=False), SLICE_CHARS):
-                parts.append(encoder.encode(batch.slice(i, j - i).to_pylist()))
-            flat = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
-            size = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            at = np.concatenate([[0], np.cumsum(size)])
-            yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
+            yield _encoded(encoder, batch)
 
     return bounded_batches(df).withColumn(out_col, ids(F.col(text_col)))
 
@@ -217,15 +237,24 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "token_ids", ou
 
     @F.arrow_udf("binary")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = sent.value
-        table: list[bytes] = [b""] * (int(v.ids.max()) + 1 if len(v.ids) else 0)
-        for token, i in zip(v.tokens, v.ids.tolist()):
-            table[i] = token
+        decoder = Decoder(sent.value)
         for batch in tidy(batches):
-            out = []
-            for i in range(len(batch)):
-                x = batch[i].values
-                out.append(b"" if x is None else b"".join(map(table.__getitem__, x.to_numpy(zero_copy_only=False).tolist())))
-            yield pa.array(out, pa.binary())
+            yield _decoded(decoder, batch)
 
     return bounded_batches(df).withColumn(out_col, text(F.col(ids_col)))
+
+
+def round_trip(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` of the ids in one pass, so that a task has one Python worker with one vocabulary."""
+    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = Encoder(sent.value), Decoder(sent.value)
+        for batch in tidy(batches):
+            ids = _encoded(encoder, batch)
+            yield pa.StructArray.from_arrays([ids, _decoded(decoder, ids)], ["ids", "decoded"])
+
+    rest = [c for c in df.columns if c not in (ids_col, decoded_col)]
+    coded = bounded_batches(df).select(*(F.col(f"`{c}`") for c in rest), both(F.col(text_col)).alias("_coded"))
+    return coded.select(*(F.col(f"`{c}`") for c in rest), F.col("_coded.ids").alias(ids_col), F.col("_coded.decoded").alias(decoded_col))

@@ -29,9 +29,7 @@ def vocabulary(name: str = VOCABULARY) -> bpe.Vocabulary:
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vocabulary()
-    ids = bpe.encode(narrow(_table(spark, sf_dir, "documents"), "doc_id", "text"), v).select("doc_id", "token_ids")
-    return bpe.decode(ids, v).select(
+    return bpe.round_trip(narrow(_table(spark, sf_dir, "documents"), "doc_id", "text"), vocabulary()).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("token_ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
