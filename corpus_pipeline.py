@@ -54,8 +54,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their token ids; ``text`` is what the ids decode to."""
-    v = vocabulary()
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), v), v)
+    coded = bpe.round_trip(docs.select(*COLUMNS), vocabulary())
     return coded.select("doc_id", F.col("decoded").cast("string").alias("text"), "lang", "source", "n_chars", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 
