@@ -101,7 +101,10 @@ def test_pii_base_equals_the_patterns(spark, sf_dir, texts, odd, empty):
     assert row.n_email == len(plain_pii(texts[row.doc_id])["email"])
     extra = pii.find("see https://bob:pw@host.example/ IBAN DE89370400440532013000 account no: 123456789 token = \"abcdefabcdefabcdef\"", anchors)
     assert [len(extra[k]) for k in ("userinfo", "iban", "account", "secret")] == [1, 1, 1, 1]
-    assert pii.find_spans(odd).count() == len(ODD) and pii.find_spans(empty).count() == 0
+    assert pii.find("https://" + "u" * 300 + ":p@h.example/", anchors)["userinfo"] == [(8, 310)]
+    assert pii.find("h://a/b@c.d and h://x y@c.d", anchors)["userinfo"] == []
+    assert not any(pii.find(t, anchors)["account"] for t in ("accountable 12345678", "subaccount 12345678", "accountant: 12345678")) and pii.find("Account: 12345678", anchors)["account"] == [(9, 17)]
+    assert [(r.doc_id, r.pii_spans, r.score) for r in pii.find_spans(odd).collect()] == [(i, [], "clash") for i, _ in ODD] and pii.find_spans(empty).count() == 0
     clean = pii.redact(pii.find_spans(spark.createDataFrame([("é a@b.cd and 7.1.1.1",), (None,)], "text string"))).select("text").collect()
     assert [r.text for r in clean] == ["é <EMAIL> and <IP>", None]
 
@@ -252,6 +255,28 @@ def test_salted_rules_give_the_same(spark, sf_dir, monkeypatch):
     assert sorted(map(str, urls.judge(pages, book).collect())) == plain
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_url_join_is_on_the_short_prefix_alone(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(urls, "BROADCAST_RULES", broadcast)
+    pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
+    plan = urls.judge(pages, urls.rule_table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join LeftOuter" in line]
+    assert len(joins) == 1 and "short" in joins[0] and "digest" not in joins[0]
+
+
+def test_url_ties_nulls_and_long_urls(spark):
+    book = spark.createDataFrame([("allow", "a.org", "/x"), ("block", "a.org", "/x"), ("allow", "a.org", "/x/y"), (None, "a.org", "/x/y/z"), ("block", None, "/"), ("block", "b.org", "")], "action string, rule_host string, rule_path string")
+    long = "/" + "p" * 200_000
+    pages = spark.createDataFrame([(1, "h://a.org/x"), (None, "h://a.org/x/y/z"), (3, f"h://{'s.' * 300}a.org{long}"), (4, "h://b.org?q"), (None, None), (5, "")], "page_id long, url string")
+    got = sorted(((r.page_id or 0, r.host[-5:], len(r.path), r.rule, r.verdict) for r in urls.judge(pages, book).collect()), key=str)
+    assert got == sorted([(1, "a.org", 2, "a.org/x", "block"), (0, "a.org", 6, "a.org/x/y", "allow"), (3, "a.org", len(long), None, "allow"), (4, "b.org", 0, "b.org", "block"), (0, "", 0, None, "allow"), (5, "", 0, None, "allow")], key=str)
+
+
+def test_url_rows_repeated_often_come_back(spark):
+    pages = spark.range(0, 30_000, 1, 6).select(F.lit(1).alias("page_id"), F.lit("h://example.org/es/").alias("url"))
+    assert [tuple(r) for r in urls.judge(pages, urls.rule_table(spark)).groupBy("page_id", "rule", "verdict").count().collect()] == [(1, "example.org/es/", "block", 30_000)]
+
+
 def plain_groups(rows, percent, size):
     sets = {}
     for i, t in rows:
