@@ -7,7 +7,7 @@ so the work is linear in the text.
 
 Base kinds (code points, end exclusive): email, ip (four parts up to 255), card (16 to 19 digits
 passing Luhn), phone (plus sign, 8 to 15 digits).  Spans that the method adds: ``userinfo``
-(user part of a URL between its scheme and an at-sign), ``iban`` (country, check digits that are
+(user part of a URL of any length between its scheme and an at-sign), ``iban`` (country, check digits that are
 right modulo 97), ``account`` (8 to 17 digits after an account cue), ``secret`` (a quoted value of
 16 or more characters after a token, key or password cue).
 
@@ -19,6 +19,7 @@ already has the output name is replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -40,6 +41,7 @@ _LABEL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _LOCAL = _LABEL | frozenset("._%+")
 _PHONE = _DIGIT | frozenset(" ().-")
 _ALNUM = _LABEL - {"-"}
+_NOT_USER = re.compile(r"[/?#\s]")
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -51,7 +53,7 @@ def automaton() -> ahocorasick.Automaton:
     for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
             for form in sorted({cue, cue.capitalize(), cue.upper()}):
-                a.add_word(form, kind)
+                a.add_word(form, (kind, len(form)))
     a.make_automaton()
     return a
 
@@ -153,8 +155,10 @@ def _iban(t: str, start: int) -> tuple[int, int] | None:
     return (at, end) if body[2:4].isdigit() and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1 else None
 
 
-def _account(t: str, cue_end: int) -> tuple[int, int] | None:
-    """8 to 17 digits within a few characters after a cue, standing alone."""
+def _account(t: str, cue: int, cue_end: int) -> tuple[int, int] | None:
+    """8 to 17 digits within a few characters after a cue that is a word of its own, standing alone."""
+    if (cue and t[cue - 1].isalnum()) or (cue_end < len(t) and t[cue_end].isalnum()):
+        return None
     i, most = cue_end, cue_end + 16
     while i < min(len(t), most) and t[i] not in _DIGIT:
         if t[i] == "\n":
@@ -205,10 +209,10 @@ def find(t: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int, in
             if span := _email(t, at, done["email"]):
                 out["email"].append(span)
                 done["email"] = span[1]
-            if 0 <= scheme < at <= scheme + 256 and not set(t[scheme:at]) & set("/?# \t\n"):
+            if 0 <= scheme <= at and not _NOT_USER.search(t, scheme, at):
                 if at > scheme:
                     out["userinfo"].append((scheme, at))
-                scheme = -1
+            scheme = -1  # each scheme is looked at once, so that many at-signs cost no more
         elif kind == "+":
             if at >= done["phone"] and (x := _phone(t, at)):
                 done["phone"] = x[0]
@@ -217,10 +221,10 @@ def find(t: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int, in
         elif kind == "://":
             scheme = at + 1
         else:
-            span = (_account if kind == "account" else _secret)(t, at + 1)
-            if span and span[0] >= done[kind]:
-                out[kind].append(span)
-                done[kind] = span[1]
+            span = _secret(t, at + 1) if kind[0] == "secret" else _account(t, at + 1 - kind[1], at + 1)
+            if span and span[0] >= done[kind[0]]:
+                out[kind[0]].append(span)
+                done[kind[0]] = span[1]
     return out
 
 
