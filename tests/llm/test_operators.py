@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -150,7 +151,7 @@ def test_decontamination_tolerates_substitutions(spark, sf_dir, texts, odd, empt
     filler = [f"f{i}" for i in rng.integers(0, 10**6, 300)]
     rows = [(1, " ".join([*filler[:50], *item, *filler[50:]])), (2, " ".join([*filler, *changed])), (3, " ".join(filler)), (4, " ".join([*filler[:9], *item[:9], *filler[9:40]])), (5, ", ".join(item).upper())]
     marks = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None)], "item_id long, text string")
-    found = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), marks, block_words=5).collect()}
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), marks, block_bytes=20).collect()}
     assert set(found) == {(1, 7), (2, 7), (5, 7)}
     assert (found[1, 7].word_start, found[1, 7].word_end, found[1, 7].n_equal) == (50, 90, 40) and found[2, 7].n_equal >= 34
     assert decontaminate.contaminated(odd, marks).count() == 0 and decontaminate.contaminated(empty, marks).count() == 0 and decontaminate.contaminated(odd, marks.limit(0)).count() == 0
@@ -158,6 +159,41 @@ def test_decontamination_tolerates_substitutions(spark, sf_dir, texts, odd, empt
     assert whole and whole <= {r.doc_id for r in queries.op6_decontaminate(spark, sf_dir).collect()}
 
 
+def test_decontamination_of_repeated_words_is_quick():
+    block = decontaminate._block(np.array([1, 2, 3]), pa.array(["a " * 400, "a b " * 200, " ".join(f"w{i}" for i in range(7))]))
+    start = time.perf_counter()
+    found = decontaminate._search([5], pa.array(["a " * 20_000]), block)
+    assert [(i, k, e) for i, k, _, _, e, _ in found] == [(5, 1, 400)] and time.perf_counter() - start < 1
+    start = time.perf_counter()
+    found = decontaminate._search([6], pa.array(["a b " * 10_000 + " ".join(f"w{i}" for i in range(7))]), block)
+    assert [(i, k, e) for i, k, _, _, e, _ in found] == [(6, 2, 400)] and time.perf_counter() - start < 10
+
+
+@pytest.mark.parametrize("piece", [50, 1_000_000])
+def test_decontamination_of_poor_vocabularies_equals_all_windows(monkeypatch, piece):
+    """Texts of two or three words, whose hits are many, against all windows; also an item that only fits one mask."""
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    rng = np.random.default_rng(2)
+    items = [" ".join(rng.choice(list("ab"), 30)), " ".join(rng.choice(list("abc"), 20)), "a a a a a a a a", "a a a a a a a b c", "a a a a a a a"]
+    texts = [" ".join(rng.choice(list("ab"), n)) for n in (3, 8, 13, 40, 90)] + ["a " * 25, " ".join(rng.choice(list("abc"), 60)), ""]
+    found = {(i, k): e for i, k, _, _, e, _ in decontaminate._search(list(range(len(texts))), pa.array(texts), decontaminate._block(np.arange(5), pa.array(items)))}
+    assert found == {(i, k): n for i, t in enumerate(texts) for k, m in enumerate(items) if (n := plain_overlap(t.split(), m.split()))}
+
+
+def plain_overlap(got, whole):
+    """Equal words of the best window on any diagonal that holds a hit of a mask."""
+    best, least = 0, min(13, len(whole))
+    for shift in range(-len(whole) + 1, len(got)):
+        lo, hi = max(0, shift), min(len(got), shift + len(whole))
+        same = np.array([got[x] == whole[x - shift] for x in range(lo, hi)])
+        spots = [(x, x + len(m)) for m in decontaminate.MASKS for x in range(hi - lo - len(m) + 1) if all(same[x + y] for y, c in enumerate(m) if c == "1")]
+        for a in range(hi - lo) if spots else ():
+            for b in range(a + least, hi - lo + 1):
+                if 5 * same[a:b].sum() >= 4 * (b - a) and any(a <= x and y <= b for x, y in spots):
+                    best = max(best, int(same[a:b].sum()))
+    return best
+
+
 def test_decontamination_finds_each_window_with_a_seed():
     """Against all windows on all diagonals: random copies with a fifth of their words substituted, and runs after a partly copied one."""
     rng = np.random.default_rng(8)
@@ -167,18 +203,7 @@ def test_decontamination_finds_each_window_with_a_seed():
     block = decontaminate._block(np.array([7, 8]), pa.array([" ".join(item), " ".join(item[:13])]))
     texts = [" ".join(["a b c", *c, "d e f"]) for c in copies]
     found = {(i, k): (a, b, e) for i, k, a, b, e, _ in decontaminate._search(list(range(len(texts))), pa.array(texts), block)}
-    expected = {}
-    for i, t in enumerate(texts):
-        for k, whole in ((7, item), (8, item[:13])):
-            got = t.split()
-            for shift in range(-len(whole) + 1, len(got)):
-                lo, hi = max(0, shift), min(len(got), shift + len(whole))
-                same = np.array([got[x] == whole[x - shift] for x in range(lo, hi)])
-                spots = [(x, x + len(m)) for m in decontaminate.MASKS for x in range(hi - lo - len(m) + 1) if all(same[x + y] for y, c in enumerate(m) if c == "1")]
-                for a in range(hi - lo) if spots else ():
-                    for b in range(a + 13, hi - lo + 1):
-                        if 5 * same[a:b].sum() >= 4 * (b - a) and any(a <= x and y <= b for x, y in spots):
-                            expected[i, k] = max(expected.get((i, k), 0), int(same[a:b].sum()))
+    expected = {(i, k): n for i, t in enumerate(texts) for k, whole in ((7, item), (8, item[:13])) if (n := plain_overlap(t.split(), whole))}
     assert {key: e for key, (_, _, e) in found.items()} == expected
     assert all(b - a >= 13 and 5 * e >= 4 * (b - a) for a, b, e in found.values())
 
