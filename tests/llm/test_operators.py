@@ -336,9 +336,10 @@ def near_copies(n, seed, edits):
     return rows + [(n + 30, "two words"), (n + 31, "Two  words"), (n + 32, ""), (n + 33, None)]
 
 
-@pytest.mark.parametrize("small, docs_in_block", [(64, 400), (3, 25)])
+@pytest.mark.parametrize("small, docs_in_block", [(64, 400), (3, 25), (10**9, 400)])
 def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small, docs_in_block):
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "DEAL", 10)
     monkeypatch.setattr(neardup, "TILE_DOCS", docs_in_block)
     monkeypatch.setattr(neardup, "MOST_ROUNDS", 1)
     rows = near_copies(120, 4, 14)

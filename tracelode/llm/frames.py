@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -45,7 +47,18 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, **options)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:

@@ -13,16 +13,21 @@ Rounds name other leaders, and look only at buckets that still hold more than on
 no round links much.  Then all pairs of *different* components within a bucket are compared exactly: in
 buckets of at most ``SMALL`` members by a join whose condition includes the sketches; larger ones are
 put together to families, which are cut into blocks, and every two blocks meet in one task as a tile
-that computes all intersections at once and returns links between components only.  A link between
-different components is therefore never lost, no pair of a large group becomes a row, and a group of m
-copies costs about m comparisons in each round.
+that compares all sketches, computes the intersections of what their sketches let pass, and returns links
+between components only.  A link between different components is therefore never lost, no pair of a large
+group becomes a row, and a group of m copies costs about m comparisons in each round.
+
+Texts with equal sets are told by the size of the set and two independent 64-bit digests of it; this link
+alone is not confirmed on the sets (a false one has a chance of about 2^-128 for each two texts).
 
 Recall of the buckets: a pair at similarity 0.85 shares no band with probability below 1e-6 (at 0.80:
 below 5e-5 with the settings used there).
 
 Scale: texts are read twice (MinHash, then the sets of candidates only); signatures, buckets and
 links are shuffled by key, and sketches travel with bucket rows so that most pairs fail before any set
-is moved.  Intermediate tables go to the shared folder.  Nothing is collected to the driver but counts.
+is moved.  A bucket's rows are dealt to one place for each ``DEAL`` members, and what is known of the
+bucket is copied to these places.  Intermediate tables go to the shared folder and are deleted when the
+next one is there.  Nothing is collected to the driver but counts.
 
 Defined results: null texts, and texts without words, have an empty set, link with nothing and are
 their own component; a repeated id counts as one document whose rows get the same result, with the
@@ -39,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, written
+from .frames import bounded_batches, removed, written
 from .text import chunks, mix, signed, split, tidy, windows
 
 ROWS, BANDS = 6, 36
@@ -49,6 +54,7 @@ OPEN_PER_ROW = 2
 MOST_ROUNDS = 3
 SMALL = 64  # members of a bucket that is joined by pairs; larger ones go by tiles
 TILE_DOCS, TILE_SHINGLES = 400, 250_000  # of a block
+DEAL = 500  # members of a bucket that stay together
 
 _rng = np.random.default_rng(909)
 _MULTIPLY = _rng.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,28 +181,38 @@ def confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v").join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Does every u have one v, and is no v a u?  Then v < u is the least id of its component."""
+    if links.groupBy("u").count().where("count > 1").limit(1).count():
+        return False
+    return not links.join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that each linked id reaches; alternates large-star and small-star steps."""
+    """(id, label): the smallest id that each linked id reaches; alternates large-star and small-star steps until stars are left."""
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    before = None
-    while True:
-        facts = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if tuple(facts) == before or not facts[0]:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
-        before = tuple(facts)
+    while not _are_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+        before, now = now, written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+        removed(before)
+    return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
+
+
+def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Bucket rows with what is known of their bucket; ``facts`` has one row a band, with its ``deals``."""
+    copies = facts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    return rows.join(copies, ["band", "deal"])
 
 
 def _relabel(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Bucket rows with their component, of buckets that hold more than one component."""
     comp = buckets.join(labels, buckets["id"] == labels["old"], "left").withColumn("comp", F.coalesce("label", "id")).drop("old", "label")
-    mixed = comp.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
-    return comp.join(mixed, "band", "left_semi")
+    mixed = comp.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("deals").alias("deals")).where("low < high")
+    return _with_facts(comp, mixed.select("band", "deals"))
 
 
 def groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,8 +225,9 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc
     reps = real.join(folded.select(F.col("rep").alias("doc_id"), "set_a", "set_b", "n_shingles"), ["doc_id", "set_a", "set_b", "n_shingles"]).dropDuplicates(["set_a", "set_b", "n_shingles"])
 
     exploded = reps.select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    buckets = written(exploded.join(shared, "band", "left_semi"), "buckets")
+    shared = exploded.groupBy("band").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("deals"), F.count("*").alias("m")).where("m > 1").drop("m")
+    deal = F.pmod(F.xxhash64("id", F.lit("deal")), F.col("deals")).cast("int")
+    buckets = written(exploded.join(shared, "band").withColumn("deal", deal), "buckets")
     crowd = buckets.select(F.col("id").alias("doc_id")).distinct()
     sketches = written(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch").join(crowd.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "sketches")
     shingles = written(sets(rows.join(crowd, "doc_id", "left_semi"), size).dropDuplicates(["doc_id", "shingles"]), "sets")
@@ -218,6 +235,7 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc
     same = real.join(folded.where("copies > 1").drop("copies"), ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct()
     links = written(_links(buckets, sketches, shingles, percent), "confirmed")
     labels = components(same.union(links))
+    removed(folded, buckets, sketches, shingles, links)
     return (
         signed_rows.select("doc_id", "n_shingles")
         .join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -231,26 +249,39 @@ def _tile(percent: int):
     def compare(table: pa.Table) -> pa.Table:
         block = np.asarray(table["block"])
         id_, comp = np.asarray(table["id"]), np.asarray(table["comp"])
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
-        size = np.array([len(x) for x in sets], np.int64)
-        keys, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), size)
+        sketch = np.asarray(table["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(len(block), SKETCH_WORDS)
+        size = np.array([len(x.as_buffer()) // 8 for x in table["shingles"]], np.int64)
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        n, m = size[left][:, None], size[right][None, :]
+        open_ = (comp[left][:, None] != comp[right][None, :]) & (100 * n >= percent * m) & (100 * m >= percent * n)
+        far = np.zeros(open_.shape, np.int32)
+        for k in range(SKETCH_WORDS):
+            far += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None, :])
+        open_ &= far <= sketch_limit(percent)
+        keep_left, keep_right = open_.any(1), open_.any(0)
+        left, right, open_ = left[keep_left], right[keep_right], open_[keep_left][:, keep_right]
+        if not len(left):
+            return pa.table([pa.array([], pa.int64())] * 2, ["u", "v"])
+
+        used = np.union1d(left, right)
+        sets = [np.frombuffer(table["shingles"][i].as_buffer(), np.uint64) for i in used.tolist()]
+        _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size[used])
         shared = df[col] > 1  # a shingle of one document is in no intersection
         place = np.cumsum(df > 1) - 1
         row, col = row[shared], place[col[shared]]
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        left = np.flatnonzero(block == block.min())
-        right = np.flatnonzero(block == block.max())
-        both = np.zeros((len(left), len(right)), np.float32)
-        step = 4096
+        x, y = np.searchsorted(used, left), np.searchsorted(used, right)
+        both = np.zeros((len(left), len(right)), np.int64)
+        step = 4096  # counts up to here are exact in the single precision that the product is made in
         for c in range(0, int((df > 1).sum()), step):
             i, j = np.searchsorted(col, [c, c + step])
             part = np.zeros((len(sets), step), np.float32)
             part[row[i:j], col[i:j] - c] = 1
-            both += part[left] @ part[right].T
+            both += (part[x] @ part[y].T).astype(np.int64)
         union = size[left][:, None] + size[right][None, :] - both
-        x, y = np.nonzero((100 * both >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
+        x, y = np.nonzero(open_ & (100 * both >= percent * union))
         x, y = left[x], right[y]
         _, first = np.unique(np.stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])]), axis=1, return_index=True)  # one link joins two components
         return pa.table([pa.array(id_[x[first]]), pa.array(id_[y[first]])], ["u", "v"])
@@ -260,19 +291,21 @@ def _tile(percent: int):
 
 def _rest(mixed: DataFrame, sketches: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """All links between different components within a bucket (of large buckets: one for each two components of a tile)."""
-    sizes = mixed.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("least"))
-    small = mixed.join(sizes.where(F.col("m") <= SMALL).select("band"), "band", "left_semi").join(sketches.select("id", "sketch"), "id")
+    sizes = mixed.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("least"), F.max("deals").alias("deals"))
+    sketch = sketches.select("id", "sketch")
+    small = _with_facts(mixed, sizes.where(F.col("m") <= SMALL).select("band", "deals")).join(sketch, "id")
     apart = (F.col("l.id") < F.col("r.id")) & (F.col("l.comp") != F.col("r.comp"))
     near = small.alias("l").join(small.alias("r"), (F.col("l.band") == F.col("r.band")) & apart & _plausible("l", "r", percent))
     by_pairs = confirm(near.select(F.col("l.id").alias("u"), F.col("r.id").alias("v")).distinct(), shingles, percent)
 
-    large = mixed.join(sizes.where(F.col("m") > SMALL).select("band", "least"), "band")
+    large = _with_facts(mixed, sizes.where(F.col("m") > SMALL).select("band", "deals", "least"))
     chained = components(large.select(F.col("id").alias("u"), F.col("least").alias("v")).distinct())
     members = large.select("id", "comp", "n_shingles").distinct().join(chained, "id", "left").withColumn("family", F.coalesce("label", "id"))
     members = written(members.select("id", "comp", "n_shingles", "family"), "families")
     cut = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(cut, "family").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
-    dealt = placed.join(shingles.withColumnRenamed("doc_id", "id"), "id").select("family", "block", "id", "comp", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    full = placed.join(shingles.withColumnRenamed("doc_id", "id"), "id").join(sketch, "id")
+    dealt = full.select("family", "block", "id", "comp", "sketch", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = dealt.groupBy("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     return by_pairs.union(tiles.applyInArrow(_tile(percent), "u long, v long"))
 
@@ -291,13 +324,15 @@ def _links(buckets: DataFrame, sketches: DataFrame, shingles: DataFrame, percent
         before = open_pairs
         if last:
             found = found.union(written(_rest(mixed, sketches, shingles, percent), "rest"))
+            removed(mixed)
             break
         order = F.xxhash64("id", F.lit(turn))
-        leaders = mixed.groupBy("band").agg(F.min_by("id", order).alias("leader"), F.min_by("comp", order).alias("leader_comp"))
-        pairs = mixed.join(leaders, "band").where("comp <> leader_comp").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
+        leaders = mixed.groupBy("band").agg(F.min_by("id", order).alias("leader"), F.min_by("comp", order).alias("leader_comp"), F.max("deals").alias("deals"))
+        pairs = _with_facts(mixed, leaders).where("comp <> leader_comp").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
         one, two = (sketches.select(F.col("id").alias(c), F.struct("n_shingles", "sketch").alias(d)) for c, d in (("u", "a"), ("v", "b")))
         near = pairs.join(one, "u").join(two, "v").where(_plausible("a", "b", percent))
         near = near.groupBy("u").agg(F.min_by("v", F.struct(_far(F.col("a.sketch"), F.col("b.sketch")), "v")).alias("v"))
         found = found.union(written(confirm(near, shingles, percent), "star"))
+        removed(mixed)
         labels = components(found).select(F.col("id").alias("old"), "label")
     return found
