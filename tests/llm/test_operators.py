@@ -126,10 +126,71 @@ def test_language_model_against_plain_counts(spark, sf_dir, texts, odd, empty):
     assert ngram_lm.score(odd, kind).count() == len(ODD) and ngram_lm.score(empty, kind).count() == 0
 
 
-def test_language_model_equals_plain_mixture_over_many_chunks(spark, docs, texts):
-    kind = F.when(F.col("doc_id") % 5 == 1, ngram_lm.TUNING).otherwise(ngram_lm.COUNTING)
-    one, many = ({r.doc_id: r.score for r in ngram_lm.score(docs, kind, chunk_bytes=b).collect()} for b in (10**9, 40_000))
-    assert all(math.isclose(one[i], many[i], rel_tol=1e-9) for i in texts)
+def plain_mixture(tokens, kind):
+    """Log10 probabilities of texts by deleted interpolation with expectation-maximisation on each tuning token, without histograms."""
+    c_all = Counter(w for i, ws in tokens.items() if kind[i] >= ngram_lm.TUNING for w in ws)
+    counting = [ws for i, ws in tokens.items() if kind[i] == ngram_lm.COUNTING]
+    c1, c2 = Counter(w for ws in counting for w in ws), Counter((a, b) for ws in counting for a, b in zip([0, *ws], ws))
+    before, n = Counter(a for ws in counting for a in [0, *ws[:-1]]), sum(c1.values())
+    uniform = 1 / (len(c_all) + 1)
+
+    def weight(ratios):
+        w = 0.5
+        for _ in range(40):
+            w = min(max(sum(w * r / (w * r + 1 - w) for r in ratios) / len(ratios), 1e-4), 1 - 1e-4)
+        return w
+
+    tuning = [ws for i, ws in tokens.items() if kind[i] == ngram_lm.TUNING]
+    u = weight([c1[w] / n / uniform for ws in tuning for w in ws])
+    lower = lambda w: u * c1[w] / n + (1 - u) * uniform
+    ratios = {}
+    for ws in tuning:
+        for a, b in zip([0, *ws], ws):
+            if before[a]:
+                ratios.setdefault(int(math.log2(before[a] + 1)), []).append(c2[a, b] / before[a] / lower(b))
+    weights = {k: weight(v) for k, v in ratios.items()}
+
+    def p(a, b):
+        w = weights.get(int(math.log2(before[a] + 1)), 0.0) if before[a] else 0.0
+        return w * c2[a, b] / max(before[a], 1) + (1 - w) * lower(b)
+
+    return {i: sum(math.log10(p(a, b)) for a, b in zip([0, *ws], ws)) for i, ws in tokens.items()}
+
+
+def test_language_model_equals_plain_mixture(spark, sf_dir, texts):
+    tokens = {i: [*words(t), None] for i, t in texts.items()}
+    fold = {i: zlib.crc32(str(i).encode()) % 10 for i in tokens}
+    want = plain_mixture(tokens, {i: min(f, 2) for i, f in fold.items()})
+    got = {r.doc_id: r.score for r in queries.op4_ngram_lm(spark, sf_dir).collect()}
+    assert all(math.isclose(got[i], want[i], rel_tol=2e-3) for i in texts)
+
+
+def test_language_model_is_alike_for_all_chunks_and_levels(spark, docs, monkeypatch):
+    kind = F.when(F.col("doc_id") % 5 == 1, ngram_lm.TUNING).when(F.col("doc_id") % 5 == 2, ngram_lm.HELD_OUT).otherwise(ngram_lm.COUNTING)
+
+    def scores(chunk_bytes, one_level):
+        monkeypatch.setattr(ngram_lm, "ONE_LEVEL", one_level)
+        return {r.doc_id: (r.score, r.base_score, r.n_known) for r in ngram_lm.score(docs, kind, chunk_bytes=chunk_bytes).collect()}
+
+    whole = scores(10**9, 1_000)
+    for other in (scores(40_000, 1_000), scores(40_000, 1)):
+        assert other.keys() == whole.keys() and all(np.allclose(other[i], whole[i], rtol=1e-9) for i in whole)
+
+
+def test_language_model_counts_beyond_32_bits():
+    w, p = np.array([3, 5], np.uint64), np.array([7], np.uint64)
+    rows = pa.concat_tables([ngram_lm._dealt_rows(k, range(1), w, None, np.array([2_500_000_000, 1]), p, np.array([2_500_000_000])) for k in (11, 12)])
+    got = ngram_lm._add_up(rows).to_pylist()
+    assert [(r["owner"], ngram_lm._unpacked(r["word_all"], 2).tolist(), ngram_lm._unpacked(r["pair_ml"], 1).tolist()) for r in got[:2]] == [(k, [5_000_000_000, 2], [5_000_000_000]) for k in (11, 12)]
+    assert (got[2]["n_all"], got[2]["v_all"], got[2]["n_ml"]) == (5_000_000_002, 2, 5_000_000_002)
+
+
+def test_language_model_exchanges_fewer_rows_than_chunks_squared(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "ONE_LEVEL", 10)
+    rows = docs.select("doc_id", "text").withColumn("chunk", ngram_lm.COUNTING * ngram_lm._KIND + F.pmod("doc_id", F.lit(64)))
+    for n in (16, 64):
+        counts, totals, parts = ngram_lm._exchange(rows.withColumn("chunk", ngram_lm.COUNTING * ngram_lm._KIND + F.pmod("doc_id", F.lit(n))), n)
+        assert parts == math.isqrt(n) and counts.count() == n * parts and totals.count() == n
 
 
 def test_language_identification_is_learned(spark, sf_dir, odd, empty):

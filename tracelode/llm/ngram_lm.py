@@ -12,15 +12,19 @@ Scale: nothing global is broadcast.  Documents are dealt into chunks of about ``
 a hash, as many as the corpus needs.  Each chunk sends its distinct n-grams once, packed by part of the
 hash space; each part adds up its n-grams over all chunks and sends every chunk the counts of just
 those n-grams that it has.  So what moves is the text twice and each chunk's distinct n-grams once.
-Only totals and histograms of fixed size reach the driver.
+Up to ``ONE_LEVEL`` chunks there are as many parts as chunks.  Beyond, chunks are put together to about
+the square root of their number of bundles, and parts likewise to coarse parts; a bundle's n-grams of a
+coarse part are first added up and then dealt to its fine parts, so n chunks exchange about 2 n sqrt(n)
+packed rows and not n * n.  Only totals and histograms of fixed size reach the driver.
 
 Defined results: null and empty texts are one end mark; a null id is as the empty text in the split;
-repeated rows count, and repeat; without learning documents every probability is 1 over the
-vocabulary's size plus one; extra columns are left behind.
+repeated rows count, and repeat (rows that repeat both id and text share a chunk); without learning
+documents every probability is 1 over the vocabulary's size plus one; extra columns are left behind.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches, written
+from .frames import bounded_batches, removed, written
 from .text import chunks, mix, split
 
 CHUNK_BYTES = 12_000_000
+ONE_LEVEL = 1_000  # chunks
 HELD_OUT, TUNING, COUNTING = 0, 1, 2
 _KIND = 1 << 40  # a chunk's number is kind * _KIND + its number among that kind
 _END, _START = np.uint64(0x3C79AC492BA7B653), np.uint64(0x1C69B3F74AC4AE35)
@@ -92,68 +97,152 @@ def _of_six(body: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_GRAMS = "chunk long, part int, words binary, word_n binary, pairs binary, pair_n binary"
-_COUNTS = "chunk long, part int, word_all binary, word_ml binary, pair_ml binary, n_all long, v_all long, n_ml long, tuning binary"
+def _packed(n: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight if one needs more."""
+    return n.astype("<u8" if len(n) and n.max() >= 2**32 else "<u4").tobytes()
+
+
+def _unpacked(body: bytes | None, size: int) -> np.ndarray:
+    """``size`` packed counts; nothing stands for zeros."""
+    if body is None:
+        return np.zeros(size, np.int64)
+    return np.frombuffer(body, "<u8" if len(body) == 8 * size else "<u4").astype(np.int64)
+
+
+#: Grams of an owner (a chunk or a bundle) in a part: hashes, counts in tuning and in counting documents.
+_GRAMS = "owner long, part int, words binary, word_tun binary, word_ml binary, pairs binary, pair_ml binary"
+#: What a part sends back: for the grams of an owner, in their order, counts over the whole corpus; or totals.
+_COUNTS = "owner long, part int, word_all binary, word_ml binary, pair_ml binary, n_all long, v_all long, n_ml long, tuning binary"
+
+
+def _dealt_rows(owner: int, parts: range, words: np.ndarray, word_tun: np.ndarray | None, word_ml: np.ndarray | None, pairs: np.ndarray, pair_ml: np.ndarray | None) -> pa.Table:
+    """One row of _GRAMS for each part; grams are sorted within a part."""
+    w, at = _dealt(words, len(parts))
+    p, pair_at = _dealt(pairs, len(parts))
+    words, pairs = words[w], pairs[p]
+
+    def column(n: np.ndarray | None, order: np.ndarray, at: np.ndarray) -> pa.Array:
+        return pa.array([None if n is None else _packed(n[order[at[k] : at[k + 1]]]) for k in range(len(parts))], pa.binary())
+
+    return pa.table(
+        [
+            pa.array([owner] * len(parts), pa.int64()), pa.array(parts, pa.int32()),
+            pa.array([words[at[k] : at[k + 1]].tobytes() for k in range(len(parts))], pa.binary()), column(word_tun, w, at), column(word_ml, w, at),
+            pa.array([_six(pairs[pair_at[k] : pair_at[k + 1]]) for k in range(len(parts))], pa.binary()), column(pair_ml, p, pair_at),
+        ],
+        ["owner", "part", "words", "word_tun", "word_ml", "pairs", "pair_ml"],
+    )
 
 
 def _extract(parts: int):
+    """Distinct n-grams of a chunk; held-out chunks send no counts, others the one count that their kind has."""
+
     def extract(table: pa.Table) -> pa.Table:
         seq, context, _ = _tokens(table["text"])
+        chunk = table["chunk"][0].as_py()
         words, word_n = np.unique(seq, return_counts=True)
         pairs, pair_n = np.unique(_pairs(seq, context), return_counts=True)
-        o, p = _dealt(words, parts)
-        words, word_n = words[o], word_n[o].astype(np.uint32)
-        o, q = _dealt(pairs, parts)
-        pairs, pair_n = pairs[o], pair_n[o].astype(np.uint32)
-        cut = range(parts)
-        return pa.table(
-            [
-                pa.array([table["chunk"][0].as_py()] * parts, pa.int64()), pa.array(cut, pa.int32()),
-                pa.array([words[p[k] : p[k + 1]].tobytes() for k in cut], pa.binary()), pa.array([word_n[p[k] : p[k + 1]].tobytes() for k in cut], pa.binary()),
-                pa.array([_six(pairs[q[k] : q[k + 1]]) for k in cut], pa.binary()), pa.array([pair_n[q[k] : q[k + 1]].tobytes() for k in cut], pa.binary()),
-            ],
-            ["chunk", "part", "words", "word_n", "pairs", "pair_n"],
-        )
+        tuning, counting = chunk // _KIND == TUNING, chunk // _KIND == COUNTING
+        return _dealt_rows(chunk, range(parts), words, word_n if tuning else None, word_n if counting else None, pairs, pair_n if counting else None)
 
     return extract
 
 
+class _Sums:
+    """Grams of several owners, each distinct one once, and where each owner's grams are among them."""
+
+    def __init__(self, hashes: list[np.ndarray]):
+        self.size = [len(h) for h in hashes]
+        self.at = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
+        self.keys, self.inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+
+    def of(self, k: int) -> np.ndarray:
+        return self.inverse[self.at[k] : self.at[k + 1]]
+
+    def add(self, bodies: list[bytes | None]) -> np.ndarray:
+        total = np.zeros(len(self.keys), np.int64)
+        for k, body in enumerate(bodies):
+            if body is not None:
+                total[self.of(k)] += _unpacked(body, self.size[k])  # an owner has each gram once
+        return total
+
+
+def _grams(table: pa.Table) -> tuple[_Sums, _Sums]:
+    return _Sums([np.frombuffer(x, "<u8") for x in table["words"].to_pylist()]), _Sums([_of_six(x) for x in table["pairs"].to_pylist()])
+
+
 def _add_up(table: pa.Table) -> pa.Table:
-    """Counts of one part: for each chunk those of its n-grams, in its order; and one row of totals."""
-    chunk = np.array(table["chunk"].to_pylist(), np.int64)
-    kind = chunk // _KIND
-
-    def sums(hashes: list[np.ndarray], counts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        size = [len(h) for h in hashes]
-        keys, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        weight = np.concatenate(counts) * np.repeat(kind >= least, size)
-        return np.bincount(inverse, weight, len(keys)), inverse, [0, *np.cumsum(size).tolist()]
-
-    words = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["words"]]
-    word_n = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.float64) for x in table["word_n"]]
-    all_n, inverse, at = sums(words, word_n, TUNING)
-    ml_n, _, _ = sums(words, word_n, COUNTING)
-    pair_n, pair_inverse, pair_at = sums([_of_six(x.as_py()) for x in table["pairs"]], [np.frombuffer(x.as_buffer(), np.uint32).astype(np.float64) for x in table["pair_n"]], COUNTING)
-    tuning = np.zeros(_BINS)
-    for k in np.flatnonzero(kind == TUNING).tolist():
-        tuning += np.bincount(_bins(ml_n[inverse[at[k] : at[k + 1]]]), word_n[k], _BINS)
-
-    def send(counts: np.ndarray, inverse: np.ndarray, at: list[int]) -> list[bytes]:
-        small = counts.astype(np.uint32)[inverse]
-        return [*(small[at[k] : at[k + 1]].tobytes() for k in range(len(chunk))), b""]
-
-    n = len(chunk) + 1
-    last = lambda value, kind: pa.array([*[None] * (n - 1), value], kind)
+    """Counts of one part: for each owner those of its n-grams, in its order; and one row of totals."""
+    owners, part = table["owner"].to_pylist(), table["part"][0].as_py()
+    words, pairs = _grams(table)
+    tuning_n, ml_n, pair_n = words.add(table["word_tun"].to_pylist()), words.add(table["word_ml"].to_pylist()), pairs.add(table["pair_ml"].to_pylist())
+    all_n = tuning_n + ml_n
+    tuning = np.bincount(_bins(ml_n), tuning_n, _BINS)
+
+    def send(n: np.ndarray, of: _Sums) -> pa.Array:
+        return pa.array([*(_packed(n[of.of(k)]) for k in range(len(owners))), b""], pa.binary())
+
+    last = lambda value, kind: pa.array([*[None] * len(owners), value], kind)
     return pa.table(
         [
-            pa.array([*chunk.tolist(), -1], pa.int64()), pa.array([table["part"][0].as_py()] * n, pa.int32()),
-            pa.array(send(all_n, inverse, at), pa.binary()), pa.array(send(ml_n, inverse, at), pa.binary()), pa.array(send(pair_n, pair_inverse, pair_at), pa.binary()),
+            pa.array([*owners, -1], pa.int64()), pa.array([part] * (len(owners) + 1), pa.int32()), send(all_n, words), send(ml_n, words), send(pair_n, pairs),
             last(int(all_n.sum()), pa.int64()), last(int((all_n > 0).sum()), pa.int64()), last(int(ml_n.sum()), pa.int64()), last(tuning.tobytes(), pa.binary()),
         ],
-        ["chunk", "part", "word_all", "word_ml", "pair_ml", "n_all", "v_all", "n_ml", "tuning"],
+        ["owner", "part", "word_all", "word_ml", "pair_ml", "n_all", "v_all", "n_ml", "tuning"],
     )
 
 
+def _bundle(coarse: int, fine: int, bundles: int):
+    """Adds up the chunks of a bundle in one coarse part, and deals the sums to the fine parts of it."""
+
+    def bundle(table: pa.Table) -> pa.Table:
+        g, b = table["part"][0].as_py(), table["owner"][0].as_py() % bundles
+        words, pairs = _grams(table)
+        tun, ml, pair = words.add(table["word_tun"].to_pylist()), words.add(table["word_ml"].to_pylist()), pairs.add(table["pair_ml"].to_pylist())
+        fold = np.uint64(coarse)  # all hashes of a coarse part have one remainder, so the quotients tell them apart
+        return _dealt_rows(b, range(g * fine, (g + 1) * fine), words.keys // fold, tun, ml, pairs.keys // fold, pair)
+
+    return bundle
+
+
+def _unbundle(coarse: int, fine: int):
+    """Gives the counts that a bundle got from the fine parts to the chunks of the bundle."""
+
+    def unbundle(left: pa.Table, right: pa.Table) -> pa.Table:
+        right, (words, pairs) = right.sort_by("part"), _grams(left)
+
+        def counts(keys: np.ndarray, column: str) -> np.ndarray:
+            order, at = _dealt(keys // np.uint64(coarse), fine)
+            out = np.empty(len(keys), np.int64)
+            out[order] = np.concatenate([_unpacked(x, n) for x, n in zip(right[column].to_pylist(), np.diff(at).tolist())])
+            return out
+
+        rows = range(left.num_rows)
+        all_n, ml_n, pair_n = counts(words.keys, "word_all"), counts(words.keys, "word_ml"), counts(pairs.keys, "pair_ml")
+        sent = [pa.array([_packed(n[of.of(k)]) for k in rows], pa.binary()) for n, of in ((all_n, words), (ml_n, words), (pair_n, pairs))]
+        none = [pa.nulls(left.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        return pa.table([left["owner"].combine_chunks(), left["part"].combine_chunks(), *sent, *none], ["owner", "part", "word_all", "word_ml", "pair_ml", "n_all", "v_all", "n_ml", "tuning"])
+
+    return unbundle
+
+
+def _exchange(dealt: DataFrame, chunks_: int) -> tuple[DataFrame, DataFrame, int]:
+    """Counts for each chunk, totals (owner -1), and into how many parts a chunk's counts are dealt."""
+    texts = dealt.select("chunk", "text").groupBy("chunk")
+    if chunks_ <= ONE_LEVEL:
+        counts = written(texts.applyInArrow(_extract(chunks_), _GRAMS).groupBy("part").applyInArrow(_add_up, _COUNTS), "lm-counts", compression="zstd")
+        return counts.where("owner >= 0"), counts.where("owner = -1"), chunks_
+    root = math.isqrt(chunks_ - 1) + 1
+    grams = written(texts.applyInArrow(_extract(root), _GRAMS), "lm-grams", compression="zstd").withColumn("bundle", F.pmod("owner", F.lit(root)))
+    sums = grams.groupBy("part", "bundle").applyInArrow(_bundle(root, root, root), _GRAMS)
+    fine = written(sums.groupBy("part").applyInArrow(_add_up, _COUNTS), "lm-fine", compression="zstd")
+    back = fine.where("owner >= 0").withColumn("coarse", F.expr(f"part DIV {root}"))
+    counts = grams.groupBy("part", "bundle").cogroup(back.withColumn("bundle", F.col("owner")).groupBy("coarse", "bundle")).applyInArrow(_unbundle(root, root), _COUNTS)
+    counts = written(counts, "lm-counts", compression="zstd")
+    removed(grams)
+    return counts, fine.where("owner = -1"), root
+
+
 @dataclass
 class Weights:
     """Totals of the counts, and mixture weights: of the unigram, and of the bigram by context bucket."""
@@ -186,12 +275,12 @@ def _lookup(left: pa.Table, right: pa.Table, parts: int) -> tuple[np.ndarray, ..
 
     def counts(keys: np.ndarray, *columns: str) -> list[np.ndarray]:
         distinct, inverse = np.unique(keys, return_inverse=True)
-        order, _ = _dealt(distinct, parts)
+        order, at = _dealt(distinct, parts)
         out = []
         for c in columns:
-            by_hash = np.empty(len(distinct), np.uint32)
-            by_hash[order] = np.frombuffer(b"".join(right[c].to_pylist()), np.uint32)
-            out.append(by_hash[inverse].astype(np.float64))
+            by_hash = np.empty(len(distinct))
+            by_hash[order] = np.concatenate([_unpacked(x, n) for x, n in zip(right[c].to_pylist(), np.diff(at).tolist())])
+            out.append(by_hash[inverse])
         return out
 
     c_all, c_ml = counts(seq, "word_all", "word_ml")
@@ -214,21 +303,19 @@ def score(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col: str =
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("kind", kind.cast("long"))
     sizes = {r[0]: r[1] for r in rows.groupBy("kind").agg(F.sum(F.octet_length("text") + 16)).collect()}
     n_chunks = {k: 1 + int(v // chunk_bytes) for k, v in sizes.items()}
-    parts = max(1, sum(n_chunks.values()))
     deal = F.lit(1)
     for k, n in n_chunks.items():
         deal = F.when(F.col("kind") == k, F.lit(n)).otherwise(deal)
     dealt = rows.select("doc_id", "text", (F.col("kind") * _KIND + F.pmod(F.xxhash64("doc_id", "text"), deal)).alias("chunk"))
-    grams = dealt.select("chunk", "text").groupBy("chunk").applyInArrow(_extract(parts), _GRAMS)
-    counts = written(grams.groupBy("part").applyInArrow(_add_up, _COUNTS), "lm-counts", compression="zstd")
-    totals = counts.where("chunk = -1").select("n_all", "v_all", "n_ml", "tuning").groupBy().agg(F.sum("n_all"), F.sum("v_all"), F.sum("n_ml")).first()
-    n_all, v_all, n_ml = (int(x or 0) for x in totals)
+    counts, totals, parts = _exchange(dealt, max(1, sum(n_chunks.values())))
+    counts = counts.select(F.col("owner").alias("chunk"), "part", "word_all", "word_ml", "pair_ml")
+    n_all, v_all, n_ml = (int(x or 0) for x in totals.agg(F.sum("n_all"), F.sum("v_all"), F.sum("n_ml")).first())
 
     def add(table: pa.Table) -> pa.Table:
         total = np.sum([np.frombuffer(x.as_buffer(), np.float64) for x in table["tuning"]], axis=0)
         return pa.table([pa.array([total.tobytes()], pa.binary())], ["tuning"])
 
-    some = counts.where("chunk = -1").groupBy(F.pmod("part", F.lit(64)).alias("g")).applyInArrow(add, "tuning binary").collect()
+    some = totals.groupBy(F.pmod("part", F.lit(64)).alias("g")).applyInArrow(add, "tuning binary").collect()
     tuning = np.sum([np.frombuffer(bytes(r[0]), np.float64) for r in some], axis=0) if some else np.zeros(_BINS)
     unigram = learn_weight(_centres() / max(n_ml, 1) * (v_all + 1), tuning) if n_ml else 1e-4
     plain = Weights(n_all, v_all, n_ml, unigram, np.zeros(BUCKETS))
@@ -263,4 +350,4 @@ def score(docs: DataFrame, kind: Column, id_col: str = "doc_id", text_col: str =
         )
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(counts.where("chunk >= 0").select("chunk", "part", "word_all", "word_ml", "pair_ml").groupBy("chunk")).applyInArrow(judge, schema)
+    return dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(judge, schema)
