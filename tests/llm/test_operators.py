@@ -286,7 +286,7 @@ def test_toxicity_learns_terms_and_pairs(spark, odd, empty):
 def test_toxicity_query(spark, sf_dir):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     held = [r for r in queries.op7_toxicity(spark, sf_dir).collect() if r.held_out and r.doc_id in labels]
-    assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.8 * len(held)
+    assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.9 * len(held)
 
 
 def plain_numbers(t):

@@ -8,7 +8,9 @@ of the others the ``MAX_TERMS`` that depend most on the label (by chi-squared, `
 The pairwise sum is averaged over the pairs' share of the text by ``1 / sqrt(terms)`` inputs, so a
 long text is not toxic for its length alone.
 
-Scale: the model (at most MAX_TERMS rows) is broadcast, scoring is one map over whole texts.
+Scale: the sample's term lists are written once; Spark counts and picks the terms, and only those (at most
+MAX_TERMS) and each sampled text's share of them come to the driver.  The model is broadcast, scoring is
+one map over whole texts.
 
 Defined results: null and empty texts get the score of a text without known terms; without labels
 of both classes the score is the share of toxic labels (0 without any).  Repeated rows repeat.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import bounded_batches
+from .frames import bounded_batches, removed, written
 from .text import NOT_ALNUM, chunks, split, tidy
 
 PER_CLASS = 4_000
@@ -77,30 +79,24 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(h: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Machine:
-    """Fit on flat terms of documents by AdaGrad on the logistic loss; classes weigh the same."""
+def strong_terms(lists: DataFrame, n: int, pos: float) -> np.ndarray:
+    """Sorted hashes of the terms that depend most on the label, of (terms, label) rows of which ``pos`` have label 1."""
+    counts = lists.select(F.explode("terms").alias("term"), "label").groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("both"))
+    expected = F.col("n") * pos
+    chi2 = (F.col("both") - expected) * (F.col("both") - expected) / (expected * (1 - pos) * F.greatest(1 - F.col("n") / n, F.lit(1 / n)))
+    found = counts.where(F.col("n") >= min(MIN_DOCS, max(1, n // 20))).select("term", chi2.alias("chi2")).where(F.col("chi2") >= MIN_CHI2)
+    return np.sort(found.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).toArrow()["term"].to_numpy().view(np.uint64))
+
+
+def train(keys: np.ndarray, at: np.ndarray, ptr: np.ndarray, y: np.ndarray, seed: int = 7) -> Machine:
+    """Fit on the places of documents' known terms among ``keys`` by AdaGrad on the logistic loss; classes weigh the same."""
     n = len(y)
     pos = float(y.mean()) if n else 0.0
     prior = float(np.log(max(pos, 1e-6) / max(1 - pos, 1e-6))) if n else -30.0
-    none = Machine(np.zeros(0, np.uint64), prior, np.zeros(0), np.zeros((0, FACTORS)))
-    if not n or pos in (0.0, 1.0):
-        return none
-    keys, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), np.diff(first))
-    both = np.bincount(inverse, y[row], len(keys))
-    expected = count * pos
-    chi2 = (both - expected) ** 2 / (expected * (1 - pos) * np.maximum(1 - count / n, 1 / n))
-    strong = np.flatnonzero((count >= min(MIN_DOCS, max(1, n // 20))) & (chi2 >= MIN_CHI2))
-    strong = np.sort(strong[np.argsort(-chi2[strong], kind="stable")[:MAX_TERMS]])
-    if not len(strong):
-        return none
-    place = np.full(len(keys), -1)
-    place[strong] = np.arange(len(strong))
-    at = place[inverse]
-    at, row = at[at >= 0], row[at >= 0]
-    ptr = np.searchsorted(row, np.arange(n + 1))
-    m, rng = len(strong), np.random.default_rng(seed)
-    model = Machine(keys[strong], 0.0, np.zeros(m), rng.normal(0, 0.02, (m, FACTORS)))
+    if not len(keys) or pos in (0.0, 1.0):
+        return Machine(np.zeros(0, np.uint64), prior, np.zeros(0), np.zeros((0, FACTORS)))
+    m, rng = len(keys), np.random.default_rng(seed)
+    model = Machine(keys, 0.0, np.zeros(m), rng.normal(0, 0.02, (m, FACTORS)))
     gw, gv, g0, rate, decay = np.full(m, 1e-2), np.full((m, FACTORS), 1e-1), 1e-2, 0.15, 2e-3
     weight = np.where(y > 0, 0.5 / pos, 0.5 / (1 - pos))
     for _ in range(EPOCHS):
@@ -137,11 +133,23 @@ def fit(sample: DataFrame, seed: int = 7) -> Machine:
                 h, first = terms(part.column(0))
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64))), part.column(1), part.column(2)], ["terms", "label", "doc_id"])
 
-    found = sample.select("text", "label", "doc_id").mapInArrow(collect, "terms array<long>, label int, doc_id long").toArrow().combine_chunks().sort_by("doc_id")
-    lists = found["terms"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int64()))
-    h = np.asarray(lists.flatten()).view(np.uint64)
-    size = np.asarray(lists.value_lengths()).astype(np.int64)
-    return train(h, np.concatenate([[0], np.cumsum(size)]), found["label"].to_numpy().astype(float), seed)
+    lists = written(sample.select("text", "label", "doc_id").mapInArrow(collect, "terms array<long>, label int, doc_id long"), "toxicity-terms")
+    n, pos = lists.agg(F.count("*"), F.avg("label")).first()
+    keys = strong_terms(lists, n, pos) if n and 0 < pos < 1 else np.zeros(0, np.uint64)
+    sent = sample.sparkSession.sparkContext.broadcast(Machine(keys, 0.0, np.zeros(0), np.zeros((0, FACTORS))))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tidy(batches):
+            size = np.asarray(batch.column(0).value_lengths()).astype(np.int64)
+            at, row = sent.value.known(np.asarray(batch.column(0).flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(size)]))
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(at, pa.int32())), batch.column(1), batch.column(2)], ["known", "label", "doc_id"])
+
+    found = lists.mapInArrow(known, "known array<int>, label int, doc_id long").toArrow().combine_chunks().sort_by("doc_id")
+    removed(lists)
+    places = found["known"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
+    size = np.asarray(places.value_lengths()).astype(np.int64)
+    return train(keys, np.asarray(places.flatten()).astype(np.int64), np.concatenate([[0], np.cumsum(size)]), found["label"].to_numpy().astype(float), seed)
 
 
 def score(df: DataFrame, model: Machine, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
