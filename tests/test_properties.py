@@ -23,10 +23,33 @@ def test_recursive_chunks_cover_the_text(spark):
     assert at == len(body)
 
 
+HIDING = {
+    "hidden": (
+        '<div style="font-size:0px">bad</div>', '<i style="opacity:0 !important">bad</i>', '<i style="OPACITY: 0.0">bad</i>', '<i style="left:-9999px">bad</i>', '<i style="top: -1000px">bad</i>', '<i style="right:-2e9px">bad</i>'.replace("2e9", "2000"),
+        '<i style="text-indent:-9999px">bad</i>', '<i style="margin-left:-5000.5em">bad</i>', '<i style="color:red; display : none">bad</i>', '<i style="visibility:collapse">bad</i>', "<noscript>bad</noscript>", "<template><p>bad</template>",
+        "<span hidden>bad</span>", "<span aria-hidden=' TRUE '>bad</span>", "<div style='visibility:hidden'><p>b<p>a<p>d</div>",
+    ),
+    "comment": ("<!--bad-->",), "script": ("<script>bad</script>", "<style>bad</style>"), "attribute": ('<img alt="bad">', "<b data-x=bad></b>", "<b title='bad'></b>"), "head": ('<meta name="d" content="bad">', "<head>bad</head>"),
+}
+SHOWN = ('<i style="font-size:10px">good</i>', '<i style="opacity:0.5">good</i>', '<i style="left:-999px">good</i>', '<i style="display:none; display:block">good</i>', '<i style="margin-left:5px">good</i>', "<b>good", "</i>good", "<li hidden></li>good", "<p hidden>x<p>good", "<p>5 < 6 good")
+
+
+@pytest.mark.parametrize("why, html", [(why, html) for why, all_ in HIDING.items() for html in all_])
+def test_each_way_to_hide_text_is_seen(why, html):
+    visible, raw, dropped = text.visible_text(f"<p>one</p>{html}<p>two &amp; three</p>")
+    assert visible == "one\ntwo & three" and sum(dropped.values()) == dropped[why] == 3
+    assert ("".join(raw.split()) == "onebadtwo&three") == (why != "script")
+
+
+@pytest.mark.parametrize("html", SHOWN)
+def test_what_only_looks_hidden_is_shown(html):
+    assert "good" in text.visible_text(html)[0]
+
+
 def test_visible_text_drops_what_is_hidden(spark):
     html = "<html><head><title>T</title></head><body><p hidden>no</p><p style='display: none'>no</p><!-- c --><p>yes <b>bold</b></p><script>x()</script></body></html>"
     row = text.html_visible_text(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("page_id").collect()
-    assert row[0].visible == "yes bold" and row[0].dropped_hidden == 4 and row[0].dropped_comment == 3 and row[1].visible == ""
+    assert row[0].visible == "T\nyes bold" and row[0].raw_text == "T\nno\nno\nc\nyes bold" and row[0].dropped_hidden == 4 and row[0].dropped_comment == 3 and row[1].visible == ""
 
 
 def test_normalise_text(spark):
