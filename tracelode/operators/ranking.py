@@ -1,65 +1,90 @@
 """Vector search, lexical search, fusion and what is measured on rankings.
 
 A ranking is a DataFrame of (query_id, chunk_id, document_id, ..., distance or score, rank).  All
-per-query steps are windows or groupings by ``query_id``; nothing is collected but bounded query blocks.
+per-query steps are windows or groupings by ``query_id``; nothing but counts comes to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are sent to the tasks at once; more are searched in further passes.
-QUERY_BLOCK = 2_000
+#: Queries in one packed block, vectors in one; a task holds one block of each, and compares SLICE queries at once.
+QUERY_BLOCK, VECTOR_BLOCK, SLICE = 2_000, 10_000, 64
+#: Up to this many bytes of packed queries are broadcast; more meet the vectors block by block.
+BROADCAST_BYTES = 64 << 20
 THRESHOLD, HIGH_GAP = 1.2, 0.20
 FUSION = 60
 PER_DOCUMENT, CONTEXT = 3, 5
+#: Places to which the chunks of a term are dealt, so that a word that all chunks have fills more than one task.
+SALTS = 16
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of queries, at most about QUERY_BLOCK at a time."""
-    rows = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
-    n = -(-rows.count() // QUERY_BLOCK)
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).toArrow().sort_by("query_id")
-        if part.num_rows:
-            yield part["query_id"].to_numpy(), np.array(part["embedding"].to_pylist())
+def _packed(rows: DataFrame, prefix: str) -> DataFrame:
+    """(id, own, embedding) rows as a few rows of packed ids and matrices."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, VECTOR_BLOCK):
+                part = batch.slice(i, VECTOR_BLOCK)
+                bodies = [part.column(k).to_numpy(zero_copy_only=False).astype("<i8").tobytes() for k in (0, 1)]
+                bodies.append(np.asarray(part.column(2).flatten()).astype("<f8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in bodies], [f"{prefix}_{c}" for c in ("ids", "own", "m")])
 
-def _search(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool) -> DataFrame:
-    """The k best (query_id, chunk_id, distance) of each Arrow batch, for every query."""
-    spark, kind = vectors.sparkSession, "query_id long, chunk_id long, distance double"
-    rows = vectors.select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<double>"))
+    return rows.mapInArrow(pack, ", ".join(f"{prefix}_{c} binary" for c in ("ids", "own", "m")))
 
-    def one(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((ids, q))
 
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = batch.column(0).to_numpy()
-                v = np.asarray(batch.column(1).flatten()).reshape(len(keys), -1)
-                if cosine:
-                    v = v / np.maximum(np.sqrt((v * v).sum(1)), 1e-12)[:, None]
-                out: list[tuple] = []
-                for i, x in zip(ids.tolist(), q):
-                    d = -(v * (x / max(np.sqrt((x * x).sum()), 1e-12))).sum(1) if cosine else ((v - x) ** 2).sum(1)
-                    near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                    near = near[np.lexsort((keys[near], d[near]))[:k]]
-                    out += zip([i] * len(near), keys[near].tolist(), d[near].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "chunk_id", "distance"])
+def _near(q: np.ndarray, v: np.ndarray, open_: np.ndarray, keys: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (query, vector) of each query's k nearest, and their distances.
 
-        return rows.mapInArrow(best, kind)
+    A matrix product finds all that can be among them; their distances are then computed in one fixed order, so that equal
+    vectors have equal distances wherever they stand.
+    """
+    rough = -(q @ v.T) if cosine else (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (q @ v.T)
+    rough[~open_] = np.inf
+    kth = np.partition(rough, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+    i, j = np.nonzero((rough <= (kth + 1e-9 * (1 + np.abs(np.where(np.isinf(kth), 0, kth))))[:, None]) & np.isfinite(rough))
+    d = -(v[j] * q[i]).sum(1) if cosine else ((v[j] - q[i]) ** 2).sum(1)
+    order = np.lexsort((keys[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first], d[first]
+
+
+def _search(queries: DataFrame, vectors: DataFrame, k: int | None, cosine: bool, own: str | None = None) -> DataFrame:
+    """The k best (all without k) (query_id, chunk_id, distance) of each block of vectors, for every query.
+
+    Rows whose column ``own`` is the query's id are no candidates of that query.  Queries and vectors are packed into
+    blocks; every block of queries meets every block of vectors, and only k rows a query leave the pair.
+    """
+    q = queries.select(F.col("query_id").cast("long"), F.lit(0).cast("long").alias("own"), F.col("embedding").cast("array<double>"))
+    v = vectors.select(F.col("chunk_id").cast("long"), (F.col(own) if own else F.lit(None)).cast("long").alias("own"), F.col("embedding").cast("array<double>"))
+    n, width = q.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = _packed(q.repartition(max(1, -(-n // QUERY_BLOCK))), "q")
+    if n * ((width or 0) + 2) * 8 <= BROADCAST_BYTES:
+        blocks = F.broadcast(blocks)
+    kind = "query_id long, chunk_id long, distance double"
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in batch.to_pylist():
+                ids, keys, mine = (np.frombuffer(pair[c], "<i8") for c in ("q_ids", "v_ids", "v_own"))
+                q, v = (np.frombuffer(pair[f"{c}_m"], "<f8").reshape(len(x), -1) for c, x in (("q", ids), ("v", keys)))
+                if cosine:
+                    q, v = (m / np.maximum(np.sqrt((m * m).sum(1)), 1e-12)[:, None] for m in (q, v))
+                for a in range(0, len(ids), SLICE):
+                    part = ids[a : a + SLICE]
+                    open_ = part[:, None] != mine[None, :] if own else np.ones((len(part), len(keys)), bool)
+                    i, j, d = _near(q[a : a + SLICE], v, open_, keys, k or len(keys), cosine)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[i]), pa.array(keys[j]), pa.array(d)], ["query_id", "chunk_id", "distance"])
 
-    parts = [one(*b) for b in _blocks(queries)]
-    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], kind)
+    if not own:
+        v = v.withColumn("own", F.lit(0).cast("long"))
+    return _packed(v.withColumn("own", F.coalesce("own", F.lit(-(2**63)).cast("long"))), "v").crossJoin(blocks).mapInArrow(best, kind)
 
 
 def top(df: DataFrame, k: int | None, *order: Column, by: str = "query_id", name: str = "rank") -> DataFrame:
@@ -73,14 +98,17 @@ def valid_vectors(vectors: DataFrame, dimension: int) -> DataFrame:
     return vectors.where(f"size(embedding) = {dimension} AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
 
 
-def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 15) -> DataFrame:
-    """The k nearest by squared L2, ties by id.  Batches give partial tops, so k rows a batch and query are ranked."""
-    return top(_search(queries, vectors, k, False), k, F.col("distance"), F.col("chunk_id"))
+def knn_exact(queries: DataFrame, vectors: DataFrame, k: int = 15, own: str | None = None) -> DataFrame:
+    """The k nearest by squared L2, ties by id.  Blocks give partial tops, so k rows a block and query are ranked.
+
+    With ``own``, rows whose column of that name is the query's id are left out for that query.
+    """
+    return top(_search(queries, vectors, k, False, own), k, F.col("distance"), F.col("chunk_id"))
 
 
-def knn_filtered(queries: DataFrame, vectors: DataFrame, condition: str, k: int = 15) -> DataFrame:
+def knn_filtered(queries: DataFrame, vectors: DataFrame, condition: str, k: int = 15, own: str | None = None) -> DataFrame:
     """Filter first, then search exactly, so that a narrow filter still yields k rows."""
-    return knn_exact(queries, vectors.where(condition), k)
+    return knn_exact(queries, vectors.where(condition), k, own)
 
 
 def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, width: float = 1.0, tables: int = 40) -> DataFrame:
@@ -109,16 +137,15 @@ def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, width: float
     return top(pairs.select("query_id", "chunk_id", distance.alias("distance")), k, F.col("distance"), F.col("chunk_id"))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, own: str | None = None) -> DataFrame:
     """The k most similar by cosine (norms clipped at 1e-12), ties by id."""
-    found = _search(queries, vectors, k, True).select("query_id", "chunk_id", (-F.col("distance")).alias("similarity"))
+    found = _search(queries, vectors, k, True, own).select("query_id", "chunk_id", (-F.col("distance")).alias("similarity"))
     return top(found, k, F.col("similarity").desc(), F.col("chunk_id"))
 
 
-def similarity_matrix(queries: DataFrame) -> DataFrame:
-    """Cosine of every pair of a stated query set, searched in blocks."""
-    rows = queries.select(F.col("query_id").alias("chunk_id"), "embedding")
-    found = _search(queries, rows, max(queries.count(), 1), True)
+def similarity_matrix(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Cosine of each of a stated set of queries with every vector, in blocks."""
+    found = _search(queries, vectors, None, True)
     return found.select("query_id", F.col("chunk_id").alias("other_id"), (-F.col("distance")).alias("similarity"))
 
 
@@ -128,13 +155,20 @@ def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(words).alias("term"))
 
 
+def _meet(q: DataFrame, d: DataFrame) -> DataFrame:
+    """Query terms with the chunks that have them; a term's chunks are dealt to SALTS places, and query terms copied there."""
+    spread = q.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = d.withColumn("deal", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
+    return spread.join(dealt, ["term", "deal"]).drop("deal")
+
+
 def bag_of_words_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """Cosine of term counts; a zero norm gives no match."""
     q = _terms(queries, "query_id", "question").groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     d = _terms(chunks, "chunk_id", "text").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qf") * F.col("qf"))).alias("qn"))
     dn = d.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
-    dots = q.join(d, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qf") * F.col("tf")).alias("dot"))
+    dots = _meet(q, d).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qf") * F.col("tf")).alias("dot"))
     scored = dots.join(qn, "query_id").join(dn, "chunk_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 9).alias("score"))
     return top(scored, k, F.col("score").desc(), F.col("chunk_id"))
 
@@ -154,7 +188,7 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 15, k1: float = 1.
     mean = idf.agg(F.avg("idf").alias("mean"))
     idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
     q = _terms(queries, "query_id", "question").groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    hits = q.join(idf, "term").join(tf, "term").join(length, "chunk_id")
+    hits = _meet(q.join(idf, "term"), tf).join(length, "chunk_id")
     weight = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("score"))
     first = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
@@ -286,7 +320,7 @@ def document_centroids(chunks: DataFrame) -> DataFrame:
 def similar_documents(centroids: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest other documents of each target document."""
     q = targets.join(centroids, "document_id").select(F.col("document_id").alias("query_id"), "embedding")
-    near = _search(q, centroids.withColumnRenamed("document_id", "chunk_id"), k + 1, False).where("query_id <> chunk_id")
+    near = _search(q, centroids.select(F.col("document_id").alias("chunk_id"), F.col("document_id").alias("own"), "embedding"), k, False, "own")
     return top(near, k, F.round("distance", 9), F.col("chunk_id")).select(F.col("query_id").alias("document_id"), F.col("chunk_id").alias("similar_id"), "distance", "rank")
 
 

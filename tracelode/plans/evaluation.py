@@ -10,14 +10,14 @@ from . import ranking  # noqa: F401
 from .registry import Tables, query, source
 
 source("golden", """
-    SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'supported' WHEN query_id % 3 = 1 THEN 'insufficient' ELSE 'not_applicable' END AS expected_status,
-        CASE WHEN query_id % 3 = 0 THEN expected_document_id END AS expected_document_id FROM {questions}""")
-source("live_documents", "SELECT DISTINCT document_id FROM {chunks} WHERE document_id % 7 <> 3")
-source("golden_answers", "SELECT query_id, CASE WHEN query_id % 4 = 0 THEN 'supported' WHEN query_id % 4 = 2 THEN 'insufficient' ELSE 'not_applicable' END AS status FROM {questions}")
-source("golden_cited", "SELECT query_id, document_id FROM {context} WHERE position <= 2 AND query_id % 40 = 0")
+    SELECT e.query_id, CASE WHEN q.number % 3 = 0 THEN 'supported' WHEN q.number % 3 = 1 THEN 'insufficient' ELSE 'not_applicable' END AS expected_status,
+        CASE WHEN q.number % 3 = 0 THEN expected_document_id END AS expected_document_id FROM {expected} e JOIN {questions} q ON q.query_id = e.query_id""")
+source("live_documents", "SELECT doc_id AS document_id FROM {documents} WHERE lang <> 'fr'")
+source("golden_answers", "SELECT query_id, CASE WHEN number % 4 IN (0, 3) THEN 'supported' WHEN number % 4 = 2 THEN 'insufficient' ELSE 'not_applicable' END AS status FROM {questions}")
+source("golden_cited", "SELECT query_id, document_id FROM {context} WHERE position <= 2 AND distance <= 1.2")
 source("cases", """
-    SELECT q.query_id, q.expected_document_id, c.chunk_id AS expected_chunk_id, CASE WHEN q.query_id % 3 = 0 THEN 'direct' ELSE 'paraphrase' END AS stratum
-    FROM {questions} q JOIN {candidates} c ON c.query_id = q.query_id AND c.rank = 1 + (q.query_id * 3) % 11""")
+    SELECT q.query_id, e.expected_document_id, c.chunk_id AS expected_chunk_id, CASE WHEN q.number % 3 = 0 THEN 'direct' ELSE 'paraphrase' END AS stratum
+    FROM {questions} q JOIN {expected} e ON e.query_id = q.query_id JOIN {candidates} c ON c.query_id = q.query_id AND c.rank = 1 + (q.number * 3) % 11""")
 source("variant_rankings", """
     SELECT query_id, chunk_id, document_id, rank, 'dense' AS variant FROM {candidates}
     UNION ALL SELECT query_id, chunk_id, document_id, fused_rank AS rank, 'hybrid' AS variant FROM {hybrid}""")
@@ -39,8 +39,8 @@ source("check_results", """
     FROM {conversations} CROSS JOIN (VALUES ('grounded', 'code', 'critical', 0), ('limits', 'code', 'high', 1), ('action', 'judge', 'medium', 2)) AS k(check_name, check_type, severity, i)
     CROSS JOIN (VALUES ('baseline', 0), ('after', 1)) AS r(run_label, j) WHERE role = 'assistant' AND NOT (k.i = 2 AND r.j = 0)""")
 source("tickets", """
-    SELECT conv_id * 100 + turn AS message_id, substr(text, 1, 40) AS subject,
-        substr(text, 1, 200) || CASE (conv_id * 5 + turn) % 9 WHEN 0 THEN ' I was charged twice, refund please' WHEN 1 THEN ' the app crash is urgent' WHEN 2 THEN ' How do I find it'
+    SELECT conv_id * 100 + turn AS message_id, 'Turn ' || CAST(turn AS STRING) AS subject,
+        text || CASE (conv_id * 5 + turn) % 9 WHEN 0 THEN ' I was charged twice, refund please' WHEN 1 THEN ' the app crash is urgent' WHEN 2 THEN ' How do I find it'
             WHEN 3 THEN ' login fails, not urgent, no rush' WHEN 4 THEN ' cannot access anything, everyone is down' WHEN 5 THEN ' please add a feature' WHEN 6 THEN ' delete my invoice' ELSE '' END AS body,
         CASE conv_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' WHEN 2 THEN 'critical' ELSE 'medium' END AS asked,
         CASE (conv_id * 5 + turn) % 9 WHEN 0 THEN 'billing' WHEN 1 THEN 'bug' WHEN 2 THEN 'how_to' WHEN 3 THEN 'account' WHEN 4 THEN 'account' WHEN 5 THEN 'feature_request' WHEN 6 THEN 'billing' ELSE NULL END AS expected_category,
@@ -157,8 +157,8 @@ def stratified_candidates(t: Tables) -> DataFrame:
 
 
 source("generated", """
-    SELECT q.query_id, q.query_id % 3 AS stratum, q.question || CASE WHEN q.query_id % 7 = 0 THEN ' passage' ELSE '' END AS question, d.text
-    FROM {questions} q JOIN {documents} d ON d.doc_id = (q.query_id + (q.query_id % 2) * 3) % 200""")
+    SELECT c.conv_id * 1000 + c.turn AS query_id, c.turn % 3 AS stratum, c.text || CASE WHEN c.conv_id % 7 = 0 THEN ' passage' ELSE '' END AS question, d.text || CASE WHEN c.conv_id % 2 = 0 THEN ' ' || c.text ELSE '' END AS text
+    FROM {conversations} c CROSS JOIN (SELECT count(*) AS n_docs FROM {documents}) JOIN {documents} d ON d.doc_id = (c.conv_id * 7 + c.turn) % n_docs WHERE c.role = 'user'""")
 
 
 @query(r"""

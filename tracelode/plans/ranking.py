@@ -6,19 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
+from ..operators import text as X
 from .registry import Tables, derived, query, source
 
-source("chunks", """
-    SELECT e.vec_id AS chunk_id, e.vec_id % 50 AS document_id, CAST(floor(e.vec_id / 50) AS BIGINT) AS chunk_index,
-        e.embedding AS embedding, substr(d.text, 1, CAST(60 + (e.vec_id * 37) % 1500 AS INT)) AS text, e.label AS label
-    FROM {embeddings} e JOIN {documents} d ON d.doc_id = e.vec_id % 200
-    WHERE e.vec_id % 20 <> 0""")
+#: Every document's whole text in slices of 800 characters; each slice has a vector of its own, put together from two rows of ``embeddings``.
+_VECTOR_1 = "(doc_id * 31 + chunk_index * 7) % n"
+_VECTOR_2 = "(doc_id * 17 + CAST(floor(doc_id / n) AS BIGINT) * 29 + chunk_index * 13 + 5) % n"
+source("vector_count", "SELECT count(*) AS n FROM {embeddings}")
+
+
+@derived("chunks", f"""
+    SELECT c.doc_id * 1000000 + c.chunk_index AS chunk_id, c.doc_id AS document_id, c.chunk_index, c.text, c.lang, a.vec_id, a.label,
+        list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) + 0.25 * CAST(z[2] AS DOUBLE)) AS embedding
+    FROM (SELECT doc_id, lang, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(i * 800 + 1 AS BIGINT), 800) AS text, n FROM (
+            SELECT doc_id, lang, text, unnest(range(0, CAST(ceil(length(text) / 800) AS BIGINT))) AS i FROM {{documents}}), {{vector_count}}) c
+        JOIN {{embeddings}} a ON a.vec_id = {_VECTOR_1} JOIN {{embeddings}} b ON b.vec_id = {_VECTOR_2}""")
+def chunks(t: Tables) -> DataFrame:
+    cut = X.chunk_fixed(t("documents"), 800).join(t("documents").select("doc_id", "lang"), "doc_id").join(F.broadcast(t("vector_count")))  # one row
+    a = t("embeddings").select(F.col("vec_id"), "label", F.col("embedding").cast("array<double>").alias("a"))
+    b = t("embeddings").select(F.col("vec_id").alias("vec_2"), F.col("embedding").cast("array<double>").alias("b"))
+    cut = cut.withColumns({"vec_id": F.expr(_VECTOR_1), "vec_2": F.expr(_VECTOR_2)}).join(a, "vec_id").join(b, "vec_2")
+    vector = F.zip_with("a", "b", lambda x, y: x + 0.25 * y)
+    return cut.select((F.col("doc_id") * 1000000 + F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "chunk_index", "text", "lang", "vec_id", "label", vector.alias("embedding"))
+
+
+#: Queries: every vector whose id is divisible by 20, each with the whole text of a benchmark item as its question.
 source("questions", """
-    SELECT e.vec_id AS query_id, e.embedding AS embedding, substr(d.text, 1, 60) AS question, e.label AS label,
-        (e.vec_id / 20) % 3 AS third, CAST((e.vec_id * 7) % 50 AS BIGINT) AS expected_document_id
-    FROM {embeddings} e JOIN {documents} d ON d.doc_id = e.vec_id % 200
+    SELECT e.vec_id AS query_id, e.embedding AS embedding, b.text AS question, e.label AS label, CAST(floor(e.vec_id / 20) AS BIGINT) AS number
+    FROM {embeddings} e CROSS JOIN (SELECT count(*) AS items FROM {benchmark}) JOIN {benchmark} b ON b.item_id = CAST(floor(e.vec_id / 20) AS BIGINT) % items
     WHERE e.vec_id % 20 = 0""")
-source("expected", "SELECT query_id, expected_document_id FROM {questions}")
+source("expected", """
+    SELECT c.query_id, CASE WHEN q.number % 5 = 4 THEN (q.query_id * 7) % n_docs ELSE c.document_id END AS expected_document_id
+    FROM {candidates} c JOIN {questions} q ON q.query_id = c.query_id AND c.rank = 1 + q.number % 14 CROSS JOIN (SELECT count(*) AS n_docs FROM {documents})""")
 
 _DISTANCE = "list_distance(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) ** 2"
 
@@ -28,12 +47,12 @@ def _knn(where: str = "TRUE", k: int = 15) -> str:
     return f"""SELECT * FROM (
         SELECT query_id, chunk_id, document_id, chunk_index, text, {d} AS distance,
             row_number() OVER (PARTITION BY query_id ORDER BY {d}, chunk_id) AS rank
-        FROM {{questions}} q CROSS JOIN {{chunks}} c WHERE {where}) WHERE rank <= {k}"""
+        FROM {{questions}} q JOIN {{chunks}} c ON c.vec_id <> q.query_id WHERE {where}) WHERE rank <= {k}"""
 
 
 @derived("candidates", _knn())
 def candidates(t: Tables) -> DataFrame:
-    found = R.knn_exact(t("questions"), R.valid_vectors(t("chunks"), 64), 15)
+    found = R.knn_exact(t("questions"), R.valid_vectors(t("chunks"), 64), 15, "vec_id")
     return found.join(t("chunks").select("chunk_id", "document_id", "chunk_index", "text"), "chunk_id")
 
 
@@ -94,9 +113,9 @@ def knn_exact(t: Tables) -> DataFrame:
     return _shown(t("candidates"))
 
 
-@query(_TOP + f"({_knn('document_id < 10')})")
+@query(_TOP + f"({_knn("lang = 'de'")})")
 def knn_filtered(t: Tables) -> DataFrame:
-    return _shown(R.knn_filtered(t("questions"), t("chunks"), "document_id < 10"))
+    return _shown(R.knn_filtered(t("questions"), t("chunks"), "lang = 'de'", own="vec_id"))
 
 
 @query()
@@ -108,16 +127,16 @@ def knn_approx(t: Tables) -> DataFrame:
     SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM (
             SELECT query_id, chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS similarity
-            FROM {questions} q CROSS JOIN {chunks} c)) WHERE rank <= 10""")
+            FROM {questions} q JOIN {chunks} c ON c.vec_id <> q.query_id)) WHERE rank <= 10""")
 def cosine_topk(t: Tables) -> DataFrame:
-    return R.cosine_topk(t("questions"), t("chunks"), 10).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
+    return R.cosine_topk(t("questions"), t("chunks"), 10, "vec_id").select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query("""
-    SELECT a.query_id, b.query_id AS other_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
-    FROM {questions} a CROSS JOIN {questions} b""")
+    SELECT a.query_id, b.vec_id AS other_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity
+    FROM {questions} a CROSS JOIN {embeddings} b""")
 def similarity_matrix(t: Tables) -> DataFrame:
-    return R.similarity_matrix(t("questions")).select("query_id", "other_id", F.round("similarity", 6).alias("similarity"))
+    return R.similarity_matrix(t("questions"), t("embeddings").withColumnRenamed("vec_id", "chunk_id")).select("query_id", "other_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""
@@ -247,9 +266,9 @@ def document_quality(t: Tables) -> DataFrame:
         CASE WHEN count(c.chunk_id) > 0 THEN round(coalesce(avg(gap), 0), 6) END AS mean_rank_gap, CASE WHEN count(c.chunk_id) > 0 THEN round(coalesce(max(gap), 0), 6) END AS max_rank_gap,
         count(DISTINCT document_id) AS n_documents, round(coalesce(count(DISTINCT document_id) / nullif(count(c.chunk_id), 0), 0), 6) AS document_diversity,
         round(1 - count(DISTINCT text) / nullif(count(c.chunk_id), 0), 6) AS duplicate_density
-    FROM {questions} q LEFT JOIN (SELECT *, lead(distance) OVER (PARTITION BY query_id ORDER BY rank) - distance AS gap FROM {candidates} WHERE document_id % 5 <> query_id % 25) c ON c.query_id = q.query_id GROUP BY q.query_id""")
+    FROM {questions} q LEFT JOIN (SELECT *, lead(distance) OVER (PARTITION BY query_id ORDER BY rank) - distance AS gap FROM {candidates} WHERE distance <= 1.25) c ON c.query_id = q.query_id GROUP BY q.query_id""")
 def candidate_metrics(t: Tables) -> DataFrame:
-    return R.candidate_metrics(t("questions"), t("candidates").where("document_id % 5 <> query_id % 25"))
+    return R.candidate_metrics(t("questions"), t("candidates").where("distance <= 1.25"))
 
 
 source("chunk_pool", "SELECT *, document_id AS pool FROM {chunks}")
@@ -276,9 +295,9 @@ def document_centroids(t: Tables) -> DataFrame:
     SELECT document_id, similar_id, round(distance, 6) AS distance, rank FROM (
         SELECT a.document_id, b.document_id AS similar_id, list_distance(a.embedding, b.embedding) ** 2 AS distance,
             row_number() OVER (PARTITION BY a.document_id ORDER BY round(list_distance(a.embedding, b.embedding) ** 2, 9), b.document_id) AS rank
-        FROM {centroids} a JOIN {centroids} b ON a.document_id <> b.document_id) WHERE rank <= 5""")
+        FROM {centroids} a JOIN {centroids} b ON a.document_id <> b.document_id AND a.document_id % 20 = 0) WHERE rank <= 5""")
 def similar_documents(t: Tables) -> DataFrame:
-    return R.similar_documents(t("centroids"), t("centroids").select("document_id"), 5).withColumn("distance", F.round("distance", 6))
+    return R.similar_documents(t("centroids"), t("documents").select(F.col("doc_id").alias("document_id")).where("document_id % 20 = 0"), 5).withColumn("distance", F.round("distance", 6))
 
 
 @query("""
@@ -290,8 +309,9 @@ def rank_documents(t: Tables) -> DataFrame:
     return R.rank_documents(t("questions"), t("centroids"), 5).withColumn("distance", F.round("distance", 6))
 
 
-source("selections", "SELECT query_id AS request_id, chunk_id FROM {context}")
-source("request_status", "SELECT query_id AS request_id, CASE WHEN third % 2 = 0 THEN 'supported' ELSE 'insufficient' END AS status FROM (SELECT query_id, CAST(floor(third) AS INT) AS third FROM {questions})")
+#: Past requests: an order is a request, its parts are the chunks that were selected for it.
+source("selections", "SELECT DISTINCT l_orderkey AS request_id, l_partkey AS chunk_id FROM {lineitem}")
+source("request_status", "SELECT o_orderkey AS request_id, CASE WHEN o_orderstatus = 'F' THEN 'supported' ELSE 'insufficient' END AS status FROM {orders}")
 
 
 @query("""
@@ -331,7 +351,7 @@ def keyword_relevance(t: Tables) -> DataFrame:
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS r FROM (
             SELECT * FROM ({_knn(k=40)}) n JOIN {{expected}} USING (query_id)) WHERE document_id <> expected_document_id) WHERE r = 1 AND distance <= 1.3""")
 def hard_distractors(t: Tables) -> DataFrame:
-    near = R.knn_exact(t("questions"), t("chunks"), 40).join(t("chunks").select("chunk_id", "document_id"), "chunk_id").drop("rank")
+    near = R.knn_exact(t("questions"), t("chunks"), 40, "vec_id").join(t("chunks").select("chunk_id", "document_id"), "chunk_id").drop("rank")
     near = near.join(t("expected").withColumnRenamed("expected_document_id", "target_document_id"), "query_id")
     return R.hard_distractors(near, 1.3).select("query_id", "chunk_id", "document_id", F.round("distance", 6).alias("distance"))
 
