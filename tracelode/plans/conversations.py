@@ -8,15 +8,28 @@ from pyspark.sql import functions as F
 from ..operators import grounding as G
 from .registry import Tables, query, source
 
-source("replies", """
-    SELECT trace_id, m, substr(coalesce(asked, ''), 1, 80) || CASE m WHEN 7 THEN ' Is there parking?' WHEN 8 THEN ' What about parking and utilities?' WHEN 10 THEN ' I have 3 dogs of 80 lbs' WHEN 14 THEN ' I have 1 dogs of 20 pounds' ELSE '' END AS user_text,
-        substr(coalesce(context, ''), 1, 200) || CASE m WHEN 0 THEN ' Rent is $1,200 for 2 bedrooms.' WHEN 1 THEN ' Rent is $1,200.' WHEN 2 THEN ' Link https://good.example/a' WHEN 3 THEN ' Office hours: Mon-Fri 9am.' WHEN 5 THEN ' Gym on site.' WHEN 9 THEN chr(10) || 'Birch 2br en-suite; Cedar studio hallway'
-            WHEN 10 THEN ' Max 2 pets up to 50 lbs.' WHEN 14 THEN ' Max 2 pets up to 50 lbs.' WHEN 13 THEN ' The lease runs for twelve months in total.' ELSE '' END AS evidence,
-        substr(text, 1, 120) || CASE m WHEN 0 THEN '. The rent is $1,200 for 2 beds.' WHEN 1 THEN '. The rent is $1,350.50 and 900 sq ft on the 3rd floor.' WHEN 2 THEN '. See https://good.example/a. Or http://bad.example/b/' WHEN 3 THEN '. We are open Mon to Sat.' WHEN 4 THEN '. There is a rooftop pool.' WHEN 5 THEN '. There is no pool. The gym is new.'
-            WHEN 6 THEN '. The password is hunter22.' WHEN 8 THEN '. I do not know about parking.' WHEN 9 THEN '.' || chr(10) || 'Birch has a hallway bath.' WHEN 10 THEN '. Yes, that is approved.' WHEN 11 THEN '. I have booked your tour.' WHEN 12 THEN '. I have booked your tour. I can cancel it.'
-            WHEN 13 THEN '. It says "lease runs ... twelve months" [1] and "no such words" [2] and "for twelve months" here [9] [doc-1]' WHEN 14 THEN '. Yes, welcome' ELSE ' [2] [doc-]' END AS response, CAST(m AS DOUBLE) / 3 AS latency
-    FROM (SELECT conv_id * 1000 + turn AS trace_id, (conv_id * 5 + turn) % 16 AS m, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked, lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS context, role FROM {conversations}) AS x WHERE role = 'assistant'""")
-source("calls", "SELECT trace_id * 10 + k AS call_id, trace_id, CAST(k AS BIGINT) AS seq, CASE (trace_id + k) % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'results' WHEN 2 THEN 'empty' ELSE 'results' END AS result_kind, 's' || CAST((trace_id + k * k) % 5 AS STRING) AS source_id, (trace_id + k) % 4 IN (1, 3) AS ok, trace_id % 100 + k AS tokens FROM {replies} CROSS JOIN (VALUES (0), (1), (2)) AS v(k) WHERE k < trace_id % 4")
+#: What is planted after the user's words, after the evidence and after the reply; one row for each kind of case.
+_PLANTED = (
+    ("", " Rent is $1,200 for 2 bedrooms.", ". The rent is $1,200 for 2 beds."), ("", " Rent is $1,200.", ". The rent is $1,350.50 and 900 sq ft on the 3rd floor."), ("", " Link https://good.example/a", ". See https://good.example/a. Or http://bad.example/b/"),
+    ("", " Office hours: Mon-Fri 9am.", ". We are open Mon to Sat."), ("", "", ". There is a rooftop pool."), ("", " Gym on site.", ". There is no pool. The gym is new."), ("", "", ". The password is hunter22."), (" Is there parking?", "", ""),
+    (" What about parking and utilities?", "", ". I do not know about parking."), ("", "\nBirch 2br en-suite; Cedar studio hallway", ". Birch has a hallway bath."), (" I have 3 dogs of 80 lbs", " Max 2 pets, dogs under 50 lbs.", ". Yes, that is approved."), ("", "", ". I have booked your tour."),
+    ("", "", ". I have booked your tour. I can cancel it."), ("", " The lease runs for twelve months in total.", '. It says "lease runs ... twelve months" [1] and "no such words" [2] and "for twelve months" here [9] [doc-1]'), (" I have 1 dog of 20 pounds", " Max 2 pets, dogs under 50 lbs.", ". Yes, welcome"), ("", "", " [2] [doc-]"),
+    (" Do you take two Rottweilers?", " Max 2 pets; dogs <40 lbs.", ". Yes, Rottweilers are allowed!"), (" Can I bring 3 cats?", " Max 2 pets.", ". 3 cats is fine as long as you pay deposits."), (" I want a place under $2,000", " Maple $1,950. Pine $2,100.", ". Maple is $1,950. Take Pine for $2,100."),
+    (" I want a place under $2,000", " Maple $1,950. Pine $2,100.", ". Maple is $1,950. Pine is $2,100, so skip that."), (" Are dogs over 50 pounds ok?", " Here dogs under 40 lbs only.", ". We cannot take that. Dogs of 60 lbs can stay."), ("", " The bot cannot hold units.", ". Maple is held for you and I emailed your contract."),
+    ("", "", ". Once the office confirms it, you are booked. I cannot say it is reserved."), ("", "", ". password: hunter22"), (" Is there a deposit?", "", ". Contact the leasing office."), (" What is the square footage?", "", ". It is large."), ("", "", ". It has a dishwasher, balconies and a hot tub."),
+    ("", " Office: Wed.", ". We are not open on Sunday. The office is open Tuesdays thru Thursday."), ("", "\nBirch 2br, en-suite\nCedar studio, hallway\nOak 1br", ". Birch is not connected to it. Cedar is en-suite. Oak is en-suite. Birch and Cedar have separate baths."),
+    (" Is there parking?", "", ". Parking isn't listed."), ("", "", ". I've just sent you the lease."), ("", "", ""),
+)
+
+
+def _planted(k: int) -> str:
+    return "CASE m " + " ".join(f"WHEN {m} THEN '{row[k].replace(chr(39), chr(39) * 2)}'".replace("\n", "' || chr(10) || '") for m, row in enumerate(_PLANTED) if row[k]) + " ELSE '' END"
+
+
+source("replies", f"""
+    SELECT trace_id, m, coalesce(asked, '') || {_planted(0)} AS user_text, coalesce(context, '') || {_planted(1)} AS evidence, text || {_planted(2)} AS response, CAST(m AS DOUBLE) / 6 AS latency
+    FROM (SELECT conv_id * 1000 + turn AS trace_id, (conv_id * 5 + turn) % {len(_PLANTED)} AS m, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked, lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS context, role FROM {{conversations}}) AS x WHERE role = 'assistant'""")
+source("calls", "SELECT trace_id * 10 + k AS call_id, trace_id, CAST(k AS BIGINT) AS seq, CASE k WHEN 0 THEN 'search_units' WHEN 1 THEN 'book_tour' ELSE 'send_email' END AS tool, CASE (trace_id + k) % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'results' WHEN 2 THEN 'empty' ELSE 'results' END AS result_kind, 's' || CAST((trace_id + k * k) % 5 AS STRING) AS source_id, (trace_id + k) % 4 IN (1, 3) AS ok, trace_id % 100 + k AS tokens FROM {replies} CROSS JOIN (VALUES (0), (1), (2)) AS v(k) WHERE k < trace_id % 4")
 source("call_results", "SELECT call_id, CASE result_kind WHEN 'error' THEN 'ERROR: Timeout after 3' WHEN 'empty' THEN '[]' ELSE 'rows' END AS result FROM {calls} WHERE call_id % 11 <> 0")
 source("passages", "SELECT trace_id, CAST(k AS BIGINT) AS number, 'doc-' || CAST((trace_id * k) % 13 AS STRING) AS document_id FROM {replies} CROSS JOIN (VALUES (1), (2), (3)) AS v(k)")
 
@@ -60,15 +73,32 @@ def ungrounded_urls(t: Tables) -> DataFrame:
     return G.ungrounded_urls(t("replies"))
 
 
-@query("SELECT trace_id, CAST(5 AS BIGINT) AS day FROM {replies} WHERE m = 3")
+_SENTENCES = r"list_filter(list_transform(regexp_split_to_array(regexp_replace({t}, '([.!?])[ \t\n\r]+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '')"
+source("reply_sentences", f"SELECT trace_id * 1000 + n AS trace_id, trace_id AS t, n, s AS response FROM (SELECT trace_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS n FROM (SELECT trace_id, {_SENTENCES.replace('{t}', 'response')} AS ss FROM {{replies}}))")
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{_dq(w)}'" if isinstance(w, str) else str(w) for w in words) + "]"
+
+
+_DAY_OF = f"list_position({_list(G.DAYS)}, left({{d}}, 3)) - 1"
+_DAYS_OF = rf"""
+    SELECT DISTINCT trace_id, (i + unnest(range(0, (j - i + 7) % 7 + 1))) % 7 AS day FROM (
+        SELECT trace_id, {_DAY_OF.replace('{d}', "regexp_extract(sp, '^(" + G.DAY + ")', 1)")} AS i, {_DAY_OF.replace('{d}', "regexp_extract(sp, '(" + G.DAY + ")$', 1)")} AS j FROM (SELECT trace_id, unnest(regexp_extract_all(lower(x), '{G.DAY_SPAN}')) AS sp FROM {{from}}))
+    UNION SELECT trace_id, {_DAY_OF.replace('{d}', 'd')} FROM (SELECT trace_id, unnest(regexp_extract_all(regexp_replace(lower(x), '{G.DAY_SPAN}', ' ', 'g'), '\b({G.DAY})s?\b', 1)) AS d FROM {{from}})"""
+source("hours_said", f"SELECT trace_id, array_to_string(list_filter({_SENTENCES.replace('{t}', 'response')}, lambda s: regexp_matches(s, '{_dq(G.HOURS_CUE)}') AND NOT regexp_matches(s, '{_dq(G.DENIAL)}')), ' ; ') AS x FROM {{replies}}")
+source("hours_known", "SELECT trace_id, evidence AS x FROM {replies}")
+source("bad_days", f"({_DAYS_OF.replace('{from}', '{hours_said}')}) EXCEPT ({_DAYS_OF.replace('{from}', '{hours_known}')})")
+
+
+@query("SELECT trace_id, CAST(day AS BIGINT) AS day FROM {bad_days}")
 def ungrounded_days(t: Tables) -> DataFrame:
     return G.ungrounded_days(t("replies"))
 
 
-_SENTENCES = r"list_filter(list_transform(regexp_split_to_array(regexp_replace({t}, '([.!?])[ \t\n\r]+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '')"
 source("bad_terms", rf"""
-    SELECT trace_id, w AS term FROM (SELECT trace_id, lower(evidence) AS known, lower(array_to_string(list_filter({_SENTENCES.replace('{t}', 'response')}, lambda x: NOT regexp_matches(x, '{_dq(G.DENIAL)}')), ' ')) AS claimed FROM {{replies}}), (SELECT unnest({list(G.OFFERS)}) AS w)
-    WHERE regexp_matches(claimed, '\b' || w || 's?\b') AND NOT regexp_matches(known, '\b' || w || 's?\b')""")
+    SELECT trace_id, w AS term FROM (SELECT trace_id, lower(evidence) AS known, lower(array_to_string(list_filter({_SENTENCES.replace('{t}', 'response')}, lambda x: NOT regexp_matches(x, '{_dq(G.DENIAL)}')), ' ; ')) AS claimed FROM {{replies}}), (SELECT unnest({_list(G.OFFERS)}) AS w)
+    WHERE regexp_matches(claimed, '\b' || w || '\b') AND NOT regexp_matches(known, '\b' || w || '\b')""")
 
 
 @query("SELECT * FROM {bad_terms}")
@@ -76,38 +106,70 @@ def ungrounded_terms(t: Tables) -> DataFrame:
     return G.ungrounded_terms(t("replies"))
 
 
-_ATTRIBUTES = r"SELECT DISTINCT trace_id, lower(regexp_extract(c, '^ *(?:Unit )?([A-Z][a-z]+) ', 1)) AS entity, CASE WHEN regexp_matches(c, '(?i)en-?suite') THEN 'ensuite' ELSE 'hallway' END AS v FROM (SELECT trace_id, unnest(regexp_split_to_array({c}, '[;\n.]')) AS c FROM {replies}) WHERE regexp_matches(c, '(?i)en-?suite|hallway') AND regexp_matches(c, '^ *(?:Unit )?([A-Z][a-z]+) ')"
+_UNIT_CLAUSE = r"^\s*([A-Z][a-z]+)\s+(?:studio|[0-9]\s*br)\b"
+source("unit_baths", rf"""
+    SELECT DISTINCT trace_id, regexp_extract(c, '{_UNIT_CLAUSE}', 1) AS entity, CASE WHEN regexp_matches(c, '(?i)en-?suite') THEN 'ensuite' WHEN regexp_matches(c, '(?i)hallway') THEN 'hallway' ELSE '' END AS v
+    FROM (SELECT trace_id, unnest(regexp_split_to_array(evidence, '[;\n]')) AS c FROM {{replies}}) WHERE regexp_matches(c, '{_UNIT_CLAUSE}')""")
+source("bad_attributes", rf"""
+    SELECT DISTINCT trace_id, entity, said, known FROM (SELECT u.trace_id, u.entity, u.v AS known, count(*) OVER (PARTITION BY s.trace_id) AS k, CASE WHEN regexp_matches(s.response, '{_dq(G.BATH_HALLWAY)}') THEN 'hallway' WHEN regexp_matches(s.response, '{_dq(G.BATH_ENSUITE)}') THEN 'ensuite' END AS said
+        FROM {{reply_sentences}} s JOIN {{unit_baths}} u ON u.trace_id = s.t AND regexp_matches(s.response, '\b' || u.entity || '\b')) WHERE k = 1 AND known <> '' AND said <> known""")
 
 
-@query(f"SELECT a.trace_id, a.entity, a.v AS said, b.v AS known FROM ({_ATTRIBUTES.replace('{c}', 'response')}) a JOIN ({_ATTRIBUTES.replace('{c}', 'evidence')}) b ON a.trace_id = b.trace_id AND a.entity = b.entity AND a.v <> b.v")
+@query("SELECT * FROM {bad_attributes}")
 def attribute_contradiction(t: Tables) -> DataFrame:
     return G.attribute_contradiction(t("replies"))
 
 
-@query(f"SELECT trace_id FROM {{replies}} WHERE regexp_matches(response, '{_dq(G.SECRET)}')")
+source("disclosed", f"SELECT trace_id FROM {{replies}} WHERE regexp_matches(response, '{_dq(G.SECRET)}')")
+
+
+@query("SELECT * FROM {disclosed}")
 def credential_disclosure(t: Tables) -> DataFrame:
     return G.credential_disclosure(t("replies"))
 
 
-_GAPS = " UNION ALL ".join(f"SELECT trace_id, '{k}' AS attribute FROM {{replies}} WHERE NOT regexp_matches(response, '{_dq(G.ACKNOWLEDGED)}') AND regexp_matches(lower(user_text), '{rx}') AND NOT regexp_matches(lower(evidence), '{rx}')" for k, rx in G.ASKABLE.items())
+source("gaps", " UNION ALL ".join(f"SELECT trace_id, '{k}' AS attribute FROM {{replies}} WHERE NOT regexp_matches(response, '{_dq(G.ACKNOWLEDGED)}') AND regexp_matches(lower(user_text), '{ask}') AND NOT regexp_matches(lower(evidence), '{has}')" for k, (ask, has) in G.ASKABLE.items()))
 
 
-@query(_GAPS)
+@query("SELECT * FROM {gaps}")
 def unacknowledged_gap(t: Tables) -> DataFrame:
     return G.unacknowledged_gap(t("replies"))
 
 
-@query(rf"""
-    SELECT trace_id, coalesce(c > mc, FALSE) OR coalesce(w > mw, FALSE) AS over_limit, (coalesce(c > mc, FALSE) OR coalesce(w > mw, FALSE)) AND regexp_matches(response, '{G.APPROVAL}') AND NOT regexp_matches(response, '{G.REJECTION}') AS wrongly_approved FROM (
-        SELECT trace_id, response, TRY_CAST(regexp_extract(lower(evidence), 'max(?:imum)? ([0-9]+) (?:pets|dogs|cats)', 1) AS INT) AS mc, TRY_CAST(regexp_extract(lower(evidence), 'up to ([0-9]+) (?:lbs?|pounds)', 1) AS INT) AS mw,
-            TRY_CAST(regexp_extract(lower(user_text), '([0-9]+) (?:pets|dogs|cats)', 1) AS INT) AS c, TRY_CAST(regexp_extract(lower(user_text), '([0-9]+) (?:lbs?|pounds)', 1) AS INT) AS w FROM {{replies}}) WHERE mc IS NOT NULL OR mw IS NOT NULL""")
+def _soft(c: str) -> str:
+    return f"regexp_matches(regexp_replace({c}, '{_dq(G.NO_EXCEPTION)}', ' ', 'g'), '{_dq(G.SOFTENER)}')"
+
+
+_HEAVY = f"list_filter(s, lambda x: len(list_filter(regexp_extract_all(x, '{G.WEIGHT}', 1), lambda w: CAST(w AS BIGINT) >= cap)) > 0 AND NOT regexp_matches(x, '{_dq(G.REJECTION)}'))"
+_DEAR = rf"list_filter(s, lambda x: len(list_filter(regexp_extract_all(x, '[$]\s*([0-9][0-9,]*)', 1), lambda n: CAST(replace(n, ',', '') AS BIGINT) > budget)) > 0 AND NOT regexp_matches(x, '{_dq(G.PRICE_FLAGGED)}'))"
+source("limits", rf"""
+    SELECT *, CASE WHEN cash <> '' OR lim >= 500 THEN lim END AS budget, regexp_matches(regexp_replace(said, '{_dq(G.NOT_APPROVED)}', ' ', 'g'), '{G.APPROVAL}') AS approves, regexp_matches(said, '{_dq(G.REJECTION)}') AS rejects FROM (
+        SELECT trace_id, lower(response) AS said, lower(evidence) AS known, lower(user_text) AS asked, list_transform({_SENTENCES.replace('{t}', 'response')}, lambda v: lower(v)) AS s,
+            TRY_CAST(coalesce(nullif(regexp_extract(lower(evidence), '{G.MOST_PETS}', 1), ''), regexp_extract(lower(evidence), '{G.MOST_PETS}', 2)) AS BIGINT) AS most, TRY_CAST(regexp_extract(lower(evidence), '{G.DOG_UNDER}', 1) AS BIGINT) AS cap,
+            coalesce(list_sum(list_transform(regexp_extract_all(lower(user_text), '{G.PET_COUNT}', 1), lambda n: coalesce(TRY_CAST(n AS BIGINT), {_list(G.NUMBER_OF_WORD)}[list_position({_list(G.NUMBER_WORDS)}, n)]))), 0) AS n_pets,
+            list_max(list_transform(regexp_extract_all(lower(user_text), '{G.WEIGHT}', 1), lambda n: CAST(n AS BIGINT))) AS heaviest,
+            regexp_extract(lower(user_text), '{G.BUDGET}', 1) AS cash, TRY_CAST(replace(regexp_extract(lower(user_text), '{G.BUDGET}', 2), ',', '') AS BIGINT) AS lim FROM {{replies}})""")
+source("broken_limits", rf"""
+    SELECT trace_id, 'pets' AS problem FROM {{limits}} WHERE n_pets > most AND (approves OR NOT rejects) UNION ALL SELECT trace_id, 'weight' FROM {{limits}} WHERE heaviest >= cap AND approves AND NOT rejects
+    UNION ALL SELECT trace_id, 'said_weight' FROM {{limits}} WHERE len({_HEAVY}) > 0
+    UNION ALL SELECT trace_id, 'no_weight' FROM {{limits}} WHERE cap IS NOT NULL AND regexp_matches(asked, '\b{G.DOG}\b') AND heaviest IS NULL AND approves AND NOT rejects AND NOT regexp_matches(said, '\bweigh|\bweight|\blbs?\b|\bpounds?\b')
+    UNION ALL SELECT trace_id, 'exception' FROM {{limits}} WHERE coalesce(most, cap) IS NOT NULL AND regexp_matches(asked, '\b{G.PET}\b') AND {_soft('said')} AND NOT {_soft('known')} UNION ALL SELECT trace_id, 'budget' FROM {{limits}} WHERE len({_DEAR}) > 0""")
+
+
+@query("SELECT * FROM {broken_limits}")
 def policy_limit_check(t: Tables) -> DataFrame:
     return G.policy_limit_check(t("replies"))
 
 
-source("bad_actions", f"""
-    SELECT trace_id, len(cl) AS n_claims FROM (SELECT trace_id, list_filter({_SENTENCES.replace('{t}', 'response')}, lambda x: regexp_matches(x, '{_dq(G.ACTION)}') AND NOT regexp_matches(x, '{_dq(G.DENIAL)}') AND NOT regexp_matches(x, '{_dq(G.CONDITIONAL)}')) AS cl FROM {{replies}})
-    WHERE len(cl) > 0 AND trace_id NOT IN (SELECT trace_id FROM {{calls}} WHERE ok)""")
+def _claims(action: str) -> str:
+    claim, (_, tool, verbs) = _dq(G.claim_pattern(action)), G.ACTIONS[action]
+    before = f"regexp_extract(x, '(?is)^(.*?)(?:{claim})', 1)"
+    said = f"list_filter({_SENTENCES.replace('{t}', 'response')}, lambda x: regexp_matches(x, '(?i){claim}') AND NOT regexp_matches(right({before}, 40) || regexp_extract(x, '(?i){claim}', 0), '{_dq(G.DENIAL)}') AND NOT regexp_matches({before}, '{G.CONDITIONAL}'))"
+    return f"""SELECT trace_id, '{action}' AS action, CASE WHEN regexp_matches(evidence, '(?i){_dq(G.FORBIDDEN)}(?:{verbs})') THEN 'forbidden' WHEN trace_id NOT IN (SELECT trace_id FROM {{calls}} WHERE ok AND regexp_matches(tool, '(?i){tool}')) THEN 'not done' END AS problem
+        FROM {{replies}} WHERE len({said}) > 0"""
+
+
+source("bad_actions", "SELECT * FROM (" + " UNION ALL ".join(map(_claims, G.ACTIONS)) + ") WHERE problem IS NOT NULL")
 
 
 @query("SELECT * FROM {bad_actions}")
@@ -115,22 +177,30 @@ def action_claim_check(t: Tables) -> DataFrame:
     return G.action_claim_check(t("replies"), t("calls"))
 
 
-@query("""
-    SELECT r.trace_id, k AS check_name, b.reason IS NULL AS pass, b.reason FROM {replies} r CROSS JOIN (VALUES ('quantities'), ('urls'), ('actions')) x(k) LEFT JOIN (
-        SELECT trace_id, k, left(array_to_string(list_slice(list(s ORDER BY s), 1, 3), '; '), 500) AS reason FROM (SELECT DISTINCT trace_id, 'quantities' AS k, claim AS s FROM {bad_quantities} UNION ALL SELECT trace_id, 'urls', url FROM {bad_urls} UNION ALL SELECT trace_id, 'actions', CAST(n_claims AS VARCHAR) FROM {bad_actions}) GROUP BY trace_id, k) b
+_SAID = {
+    "quantities": "claim FROM {bad_quantities}", "urls": "url FROM {bad_urls}", "days": "CAST(day AS VARCHAR) FROM {bad_days}", "terms": "term FROM {bad_terms}", "attributes": "entity || '=' || said || '=' || known FROM {bad_attributes}",
+    "credentials": "'found' FROM {disclosed}", "gaps": "attribute FROM {gaps}", "limits": "problem FROM {broken_limits}", "actions": "action || '=' || problem FROM {bad_actions}",
+}
+
+
+@query(f"""
+    SELECT r.trace_id, k AS check_name, b.reason IS NULL AS pass, b.reason FROM {{replies}} r CROSS JOIN (SELECT unnest({_list(_SAID)}) AS k) x LEFT JOIN (
+        SELECT trace_id, k, left(array_to_string(list_slice(list(s ORDER BY s), 1, 3), '; '), 500) AS reason FROM (SELECT DISTINCT * FROM ({' UNION ALL '.join(f"SELECT trace_id, '{k}' AS k, {v.replace(' FROM', ' AS s FROM')}" for k, v in _SAID.items())})) GROUP BY trace_id, k) b
         USING (trace_id, k)""")
 def run_checks(t: Tables) -> DataFrame:
     r = t("replies")
-    return G.run_checks(r, {"quantities": G.ungrounded_quantities(r), "urls": G.ungrounded_urls(r), "actions": G.action_claim_check(r, t("calls"))})
+    return G.run_checks(r, {
+        "quantities": G.ungrounded_quantities(r), "urls": G.ungrounded_urls(r), "days": G.ungrounded_days(r), "terms": G.ungrounded_terms(r), "attributes": G.attribute_contradiction(r),
+        "credentials": G.credential_disclosure(r), "gaps": G.unacknowledged_gap(r), "limits": G.policy_limit_check(r), "actions": G.action_claim_check(r, t("calls")),
+    })
 
 
-source("reply_sentences", f"SELECT trace_id * 1000 + n AS trace_id, trace_id AS t, n, s AS response FROM (SELECT trace_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS n FROM (SELECT trace_id, {_SENTENCES.replace('{t}', 'response')} AS ss FROM {{replies}}))")
 source("sentence_quantities", _quantities("response", "{reply_sentences}"))
 source("grounded", rf"""
     SELECT r.trace_id, CASE WHEN regexp_matches(r.response, '{_dq(G.SECRET)}') THEN '{G.REFUSAL}' WHEN coalesce(k.kept, '') = '' THEN '{G.HAND_OFF}' ELSE k.kept END AS grounded, k.whole FROM {{replies}} r LEFT JOIN (
         SELECT t, string_agg(response, ' ' ORDER BY n) AS whole, string_agg(response, ' ' ORDER BY n) FILTER (NOT bad) AS kept FROM (SELECT s.*, 
             EXISTS (SELECT 1 FROM {{sentence_quantities}} q WHERE q.trace_id = s.trace_id AND CASE WHEN q.unit = '' THEN NOT EXISTS (SELECT 1 FROM {{known_quantities}} k WHERE k.trace_id = s.t AND k.value = q.value) ELSE NOT EXISTS (SELECT 1 FROM {{known_quantities}} k WHERE k.trace_id = s.t AND k.value = q.value AND k.unit = q.unit) END)
-            OR (NOT regexp_matches(s.response, '{_dq(G.DENIAL)}') AND EXISTS (SELECT 1 FROM {{bad_terms}} b WHERE b.trace_id = s.t AND regexp_matches(lower(s.response), '\b' || b.term || 's?\b')))
+            OR (NOT regexp_matches(s.response, '{_dq(G.DENIAL)}') AND EXISTS (SELECT 1 FROM {{bad_terms}} b WHERE b.trace_id = s.t AND regexp_matches(lower(s.response), '\b' || b.term || '\b')))
             OR EXISTS (SELECT 1 FROM {{bad_urls}} u WHERE u.trace_id = s.t AND contains(lower(s.response), u.url)) AS bad FROM {{reply_sentences}} s) GROUP BY t) k ON k.t = r.trace_id""")
 
 
@@ -171,13 +241,15 @@ def _works(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT work_id, name || ' (' || y || CASE WHEN count(*) OVER (PARTITION BY name, y) > 1 THEN chr(96 + least(row_number() OVER (PARTITION BY name, y ORDER BY title, work_id), 26)::INT) ELSE '' END || ')' AS label FROM (
-        SELECT *, CASE n_authors WHEN 0 THEN title WHEN 1 THEN a1 WHEN 2 THEN a1 || ' & ' || a2 ELSE a1 || ' et al.' END AS name, coalesce(CAST(year AS VARCHAR), 'n.d.') AS y FROM {work_rows})""")
+    SELECT work_id, name || ' (' || y || CASE WHEN n = 1 THEN '' WHEN k <= 26 THEN chr((96 + k)::INT) WHEN k <= 702 THEN chr((96 + (k - 1) // 26)::INT) || chr((97 + (k - 1) % 26)::INT)
+            ELSE chr((96 + ((k - 1) // 26 - 1) // 26)::INT) || chr((97 + ((k - 1) // 26 - 1) % 26)::INT) || chr((97 + (k - 1) % 26)::INT) END || ')' AS label FROM (
+        SELECT work_id, name, y, count(*) OVER (PARTITION BY name, y) AS n, row_number() OVER (PARTITION BY name, y ORDER BY title, work_id) AS k FROM (
+            SELECT *, CASE n_authors WHEN 0 THEN title WHEN 1 THEN a1 WHEN 2 THEN a1 || ' & ' || a2 ELSE a1 || ' et al.' END AS name, coalesce(CAST(year AS VARCHAR), 'n.d.') AS y FROM {work_rows}))""")
 def citation_labels(t: Tables) -> DataFrame:
     return G.citation_labels(_works(t))
 
 
-source("cited_works", "SELECT trace_id, (trace_id * k * 7) % 190 AS work_id FROM {replies} CROSS JOIN (VALUES (1), (2), (3), (1)) AS v(k)")
+source("cited_works", "SELECT trace_id, (trace_id * k * 7) % n_docs AS work_id FROM {replies} CROSS JOIN (VALUES (1), (2), (3), (1)) AS v(k) CROSS JOIN (SELECT count(*) AS n_docs FROM {documents})")
 
 
 @query("""
