@@ -76,7 +76,7 @@ def hit_regression_gate(cases: DataFrame, before: DataFrame, after: DataFrame) -
     return both.agg(F.sum("b").alias("hits_before"), F.sum("a").alias("hits_after"), _ones(F.col("a") > F.col("b")).alias("won"), _ones(F.col("a") < F.col("b")).alias("lost")).withColumn("regression", F.col("hits_after") < F.col("hits_before"))
 
 
-def paired_tests(differences: DataFrame, permutations: int = 1000, seed: str = "7") -> DataFrame:
+def paired_tests(differences: DataFrame, permutations: int = 10_000, seed: str = "7") -> DataFrame:
     """One row: mean difference, sample deviation, t, and the sign-flip p value (hits + 1) / (permutations + 1).
 
     Signs come from a hash of (seed, permutation, id), so both engines flip alike.  All-zero differences give p = 1.
@@ -188,10 +188,12 @@ def field_accuracy(predictions: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def nearest_rank_percentile(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
-    """The value at index round-half-even(p * (n - 1)) of each group."""
-    w = Window.partitionBy(by)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("i") == F.bround(p * (F.col("n") - 1), 0)).select(by, F.col(value).alias("percentile"), F.col("n").cast("long").alias("n"))
+    """The value at index round-half-even(p * (n - 1)) of each group, by running sums over the counts of its values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    total = counts.groupBy(by).agg(F.sum("c").alias("n"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(value))).join(total, by)
+    at = F.bround(p * (F.col("n") - 1), 0)
+    return upto.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(by, F.col(value).alias("percentile"), "n")
 
 
 def _any(text: Column, words: Sequence[str]) -> Column:
@@ -221,11 +223,11 @@ def route_category(messages: DataFrame, technical: Sequence[str], billing: Seque
 def kb_keyword_lookup(messages: DataFrame, articles: DataFrame, hours: dict[str, int]) -> DataFrame:
     """First article (by position) whose keyword the text contains, else the general one; answer time by priority.
 
-    ``articles`` is a hand-kept table: it must have at most 10,000 rows and is broadcast.
+    ``articles`` is a hand-kept table: up to 10,000 rows it is broadcast, a longer one meets the messages in blocks.
     """
-    if articles.limit(10_001).count() > 10_000:
-        raise ValueError("too many articles to broadcast")
-    hit = messages.select("message_id", "text").join(F.broadcast(articles), F.lower("text").contains(F.col("keyword")))
+    if articles.limit(10_001).count() <= 10_000:
+        articles = F.broadcast(articles)
+    hit = messages.select("message_id", "text").join(articles, F.lower("text").contains(F.col("keyword")))
     first = hit.groupBy("message_id").agg(F.min_by("title", "position").alias("title"))
     sla = F.lit(24)
     for name, h in hours.items():

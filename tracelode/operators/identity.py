@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import working_folder
+from ..sources.store import removed, written
 
 # Hosts and URL parts that identifiers are read from or rid of.
 ARXIV_HOSTS = ("arxiv.org", "www.arxiv.org", "export.arxiv.org")
@@ -183,9 +181,10 @@ def resolve_sources(new: DataFrame, links: DataFrame) -> DataFrame:
     double = canon_new.where("n > 1").select("doc_id").distinct().withColumn("double", F.lit(True))
     source_canon = links.where("is_canonical").select("source_id", "type", F.col("value_norm").alias("theirs")).distinct()
     strong = new.where("is_canonical").join(links.where("is_canonical").select("source_id", "type", "value_norm").distinct(), ["type", "value_norm"]).groupBy("doc_id").agg(F.count_distinct("source_id").alias("n_strong"), F.min("source_id").alias("source_id"))
-    differs = canon_new.join(source_canon, "type").where("theirs <> canon").select("doc_id", "source_id").distinct()
-    wrong = strong.join(differs, ["doc_id", "source_id"], "left_semi").select("doc_id").withColumn("wrong", F.lit(True))
     weak = new.select("doc_id", "type", "value_norm").join(links.select("source_id", "type", "value_norm").distinct(), ["type", "value_norm"]).select("doc_id", "source_id").distinct()
+    # only pairs that share a value can be wrong, in review or ignored, so only their canonical values are compared
+    differs = weak.join(canon_new, "doc_id").join(source_canon, ["source_id", "type"]).where("theirs <> canon").select("doc_id", "source_id").distinct()
+    wrong = strong.join(differs, ["doc_id", "source_id"], "left_semi").select("doc_id").withColumn("wrong", F.lit(True))
     review = weak.join(differs, ["doc_id", "source_id"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_candidates"))
     ignored = weak.join(differs, ["doc_id", "source_id"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_ignored"))
     j = new.select("doc_id").distinct().join(double, "doc_id", "left").join(strong, "doc_id", "left").join(wrong, "doc_id", "left").join(review, "doc_id", "left").join(ignored, "doc_id", "left")
@@ -197,24 +196,22 @@ def source_components(identifiers: DataFrame) -> DataFrame:
     """(doc_id, root): documents that share a canonical identifier are one source, transitively; the root is the smallest id.
 
     Minimum labels travel over (document, identifier) links; each round also follows its label's label, so the rounds
-    grow with the logarithm of the longest chain.  Each round is written to the working folder, which cuts lineage.
+    grow with the logarithm of the longest chain.  Each round is written to the working folder, which cuts lineage, and
+    the one before is deleted.  Labels never grow, so an unchanged sum means that none changed.
     """
-    spark = identifiers.sparkSession
-    folder = f"{working_folder(spark)}/components-{uuid.uuid4().hex}"
-    edges = identifiers.where("is_canonical").select("doc_id", F.concat_ws(":", "type", "value_norm").alias("key")).distinct()
-    edges.write.parquet(f"{folder}/edges")
-    edges = spark.read.parquet(f"{folder}/edges")
-    labels, turn, before = edges.select("doc_id", F.col("doc_id").alias("root")).distinct(), 0, None
+    edges = written(identifiers.where("is_canonical").select("doc_id", F.concat_ws(":", "type", "value_norm").alias("key")).distinct(), "components-edges")
+    labels, before = edges.select("doc_id", F.col("doc_id").alias("root")).distinct(), None
     while True:
         by_key = edges.join(labels, "doc_id").groupBy("key").agg(F.min("root").alias("root"))
         near = edges.join(by_key, "key").groupBy("doc_id").agg(F.min("root").alias("near"))
         jump = near.join(labels.select(F.col("doc_id").alias("near"), F.col("root").alias("far")), "near", "left").select("doc_id", F.least("near", F.coalesce("far", "near")).alias("root"))
-        jump.write.parquet(f"{folder}/{turn}")
-        labels = spark.read.parquet(f"{folder}/{turn}")
-        now = labels.agg(F.sum("root")).first()[0]
+        last, labels = labels, written(jump, "components")
+        removed(last)
+        now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == before:
+            removed(edges)
             return labels
-        before, turn = now, turn + 1
+        before = now
 
 
 def canonical_conflicts(links: DataFrame) -> DataFrame:

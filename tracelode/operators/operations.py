@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import removed, written
+
 ASK, INGEST, AGENT = ("/ask",), ("/ingest",), "/agent"
 
 
@@ -52,9 +54,9 @@ def suppress_small_cells(counts: DataFrame, groups: DataFrame, least: int = 10)
     ``groups`` has (total, cell) rows.  Where a total is published, its hidden cells must number 0, or at least 2
     with ``least`` together, else its smallest visible cell (or the total) is hidden too.  Where a total is hidden,
     at least one of its cells must be.  Every step hides something or ends; both tables are aggregates, of a row for each
-    published number.  Only a count comes to the driver.
+    published number.  Each step is written to the working folder; only whether it found anything comes to the driver.
     """
-    state = primary_suppression(counts, least)
+    state = written(primary_suppression(counts, least), "suppression")
     while True:
         cells = groups.join(state.select(F.col("name").alias("cell"), "n", "hidden"), "cell").where("n > 0")
         facts = cells.groupBy("total").agg(
@@ -63,11 +65,12 @@ def suppress_small_cells(counts: DataFrame, groups: DataFrame, least: int = 10)
         ).join(state.select(F.col("name").alias("total"), F.col("hidden").alias("total_hidden")), "total")
         broken = F.when(F.col("total_hidden"), F.col("n_hidden") == 0).otherwise((F.col("n_hidden") == 1) | ((F.col("n_hidden") > 0) & (F.col("hidden_sum") < least)))
         more = facts.where(broken).select(F.coalesce("smallest.cell", F.when(~F.col("total_hidden"), F.col("total"))).alias("name")).where("name IS NOT NULL").distinct()
-        names = [r[0] for r in more.orderBy("name").limit(1_000).collect()]
-        if not names:
+        more = written(more, "suppression-more")
+        if more.isEmpty():
+            removed(more)
             return state
-        # state is a plan over aggregates; the names are few and become a literal, so the plan does not grow by joins
-        state = state.withColumn("hidden", F.col("hidden") | F.col("name").isin(*names))
+        last, state = state, written(state.join(more.withColumn("more", F.lit(True)), "name", "left").select("name", "n", (F.col("hidden") | F.col("more").isNotNull()).alias("hidden")), "suppression")
+        removed(last, more)
 
 
 def request_volume(requests: DataFrame, unit: str = "day") -> DataFrame:

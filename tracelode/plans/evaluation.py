@@ -122,10 +122,10 @@ def hit_regression_gate(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT p, sum(CASE WHEN substr(md5('7:' || p || ':' || query_id), 1, 1) < '8' THEN 1.0 ELSE -1.0 END * difference) AS s FROM {differences}, range(1, 1001) r(p) GROUP BY p),
+    WITH s AS (SELECT p, sum(CASE WHEN substr(md5('7:' || p || ':' || query_id), 1, 1) < '8' THEN 1.0 ELSE -1.0 END * difference) AS s FROM {differences}, range(1, 10001) r(p) GROUP BY p),
     f AS (SELECT count(*) AS n, avg(difference) AS mean, stddev_samp(difference) AS sd, sum(difference) AS total, max(abs(difference)) AS largest FROM {differences})
     SELECT n, round(mean, 6) AS mean_difference, round(sd, 6) AS sd, round(mean / nullif(sd / sqrt(n), 0), 5) AS t,
-        round(CASE WHEN largest = 0 THEN 1.0 ELSE ((SELECT count(*) FROM s WHERE abs(s) >= abs(total) - 1e-12) + 1) / 1001 END, 6) AS p FROM f""")
+        round(CASE WHEN largest = 0 THEN 1.0 ELSE ((SELECT count(*) FROM s WHERE abs(s) >= abs(total) - 1e-12) + 1) / 10001 END, 6) AS p FROM f""")
 def paired_tests(t: Tables) -> DataFrame:
     return E.paired_tests(t("differences"))
 

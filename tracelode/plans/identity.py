@@ -112,8 +112,11 @@ def extract_identifiers(t: Tables) -> DataFrame:
     return I.extract_identifiers(t("identified_docs"))
 
 
-source("source_links", "SELECT DISTINCT doc_id % 17 AS source_id, type, value_norm, is_canonical AND doc_id % 11 < 5 AS is_canonical FROM {identifiers} WHERE doc_id % 5 = 0 AND type <> 'isbn' AND doc_id < 400")
-source("new_identifiers", "SELECT doc_id, type, value_norm, is_canonical FROM {identifiers} WHERE doc_id % 5 = 1 AND type <> 'isbn' AND (type <> 'doi' OR value_norm LIKE '%7' OR doc_id % 2 = 0)")
+#: Documents of one language are new, the others' identifiers are linked to sources, whose number grows with the documents.
+source("source_links", """
+    SELECT DISTINCT i.doc_id % (1 + CAST(floor(n_docs / 60) AS BIGINT)) AS source_id, type, value_norm, is_canonical AND i.doc_id % 11 < 5 AS is_canonical
+    FROM {identifiers} i JOIN {documents} d ON d.doc_id = i.doc_id CROSS JOIN (SELECT count(*) AS n_docs FROM {documents}) WHERE d.lang <> 'fr'""")
+source("new_identifiers", "SELECT i.doc_id, type, value_norm, is_canonical FROM {identifiers} i JOIN {documents} d ON d.doc_id = i.doc_id WHERE d.lang = 'fr'")
 
 
 @query("""

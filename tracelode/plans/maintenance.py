@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import text as X
 from ..sources import store as S
 from . import evaluation  # noqa: F401
-from .registry import Tables, query, source
+from .registry import Tables, derived, query, source
 
 _ESCAPE = "replace(replace(replace(replace(replace({c}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(13), ' '), chr(9), ' ')"
 
@@ -101,8 +102,19 @@ def save_keep_provenance(t: Tables) -> DataFrame:
     return S.save_keep_provenance(t("with_provenance"), t("incoming_provenance")).select("doc_id", F.md5("text").alias("text_md5"), "provenance")
 
 
-source("stored_chunks", "SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(i * 300 + 1 AS INT), 300) AS text FROM {documents} CROSS JOIN (VALUES (0), (1), (2)) AS v(i) WHERE length(text) > i * 300")
-source("incoming_chunks", "SELECT doc_id, CAST(0 AS BIGINT) AS chunk_index, substr(text, 1, 100) AS text FROM {documents} WHERE doc_id % 5 = 0")
+#: Chunks of 300 characters of all whole documents, and those of documents of one language that came again, shorter by their first chunk.
+_CUT = "SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(i * 300 + 1 AS BIGINT), 300) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 300) AS BIGINT))) AS i FROM ({docs}))"
+source("came_again", "SELECT doc_id, substr(text, 301) AS text FROM {documents} WHERE lang = 'de' AND length(text) > 300")
+
+
+@derived("stored_chunks", _CUT.replace("{docs}", "SELECT * FROM {documents}"))
+def stored_chunks(t: Tables) -> DataFrame:
+    return X.chunk_fixed(t("documents"), 300)
+
+
+@derived("incoming_chunks", _CUT.replace("{docs}", "SELECT * FROM {came_again}"))
+def incoming_chunks(t: Tables) -> DataFrame:
+    return X.chunk_fixed(t("came_again"), 300)
 
 
 @query("SELECT doc_id, chunk_index, md5(text) AS text_md5 FROM {stored_chunks} WHERE doc_id NOT IN (SELECT doc_id FROM {incoming_chunks}) UNION ALL SELECT doc_id, chunk_index, md5(text) FROM {incoming_chunks}")

@@ -52,7 +52,7 @@ def memory_state(t: Tables) -> DataFrame:
     return M.memory_state(t("memory_log"))
 
 
-source("remembering", "SELECT doc_id, substr(text, 1, 300) || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'User says: I PREFER short answers ' WHEN 1 THEN chr(10) || 'remember that the key is x' || chr(10) || 'neverland' ELSE '' END AS text FROM {documents}")
+source("remembering", "SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'User says: I PREFER short answers ' WHEN 1 THEN chr(10) || 'remember that the key is x' || chr(10) || 'neverland' ELSE '' END AS text FROM {documents}")
 
 
 @query(r"""

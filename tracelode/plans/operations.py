@@ -61,12 +61,12 @@ def suppress_primary(t: Tables) -> DataFrame:
 
 
 source("nested_counts", """
-    SELECT CAST(user_id % 20 AS STRING) || path AS name, count(*) AS n FROM {requests} WHERE user_id % 20 < 8 AND event_id % 23 < 2 GROUP BY user_id % 20, path
-    UNION ALL SELECT CAST(user_id % 20 AS STRING) AS name, count(*) AS n FROM {requests} WHERE user_id % 20 < 8 AND event_id % 23 < 2 GROUP BY user_id % 20
-    UNION ALL SELECT 'all' AS name, count(*) AS n FROM {requests} WHERE user_id % 20 < 8 AND event_id % 23 < 2""")
+    SELECT CAST(user_id AS STRING) || path AS name, count(*) AS n FROM {requests} GROUP BY user_id, path
+    UNION ALL SELECT CAST(user_id AS STRING) AS name, count(*) AS n FROM {requests} GROUP BY user_id
+    UNION ALL SELECT 'all' AS name, count(*) AS n FROM {requests}""")
 source("nested_groups", """
-    SELECT DISTINCT CAST(user_id % 20 AS STRING) AS total, CAST(user_id % 20 AS STRING) || path AS cell FROM {requests} WHERE user_id % 20 < 8
-    UNION SELECT DISTINCT 'all' AS total, CAST(user_id % 20 AS STRING) AS cell FROM {requests} WHERE user_id % 20 < 8""")
+    SELECT DISTINCT CAST(user_id AS STRING) AS total, CAST(user_id AS STRING) || path AS cell FROM {requests}
+    UNION SELECT DISTINCT 'all' AS total, CAST(user_id AS STRING) AS cell FROM {requests}""")
 
 
 @query()
@@ -189,7 +189,7 @@ def entitlement_note(t: Tables) -> DataFrame:
 
 
 source("catalogue", "SELECT DISTINCT 'p' || CAST(user_id % 7 AS STRING) AS provider, 'u' || CAST(user_id AS STRING) AS model FROM {events}")
-source("observations", "SELECT 'p' || CAST(user_id % 7 AS STRING) AS provider, 'u' || CAST(user_id AS STRING) AS model, CAST(ts AS DATE) AS seen_on FROM {events} WHERE user_id % 9 <> 0 AND event_id % 40 = 0")
+source("observations", "SELECT 'p' || CAST(user_id % 7 AS STRING) AS provider, 'u' || CAST(user_id AS STRING) AS model, CAST(ts AS DATE) AS seen_on FROM {events} WHERE event_type = 'purchase'")
 
 
 @query("""

@@ -309,8 +309,8 @@ def rank_documents(t: Tables) -> DataFrame:
     return R.rank_documents(t("questions"), t("centroids"), 5).withColumn("distance", F.round("distance", 6))
 
 
-#: Past requests: an order is a request, its parts are the chunks that were selected for it.
-source("selections", "SELECT DISTINCT l_orderkey AS request_id, l_partkey AS chunk_id FROM {lineitem}")
+#: Past requests: an order is a request, its lines name the chunks that were selected for it.
+source("selections", "SELECT DISTINCT l_orderkey AS request_id, l_partkey * 10 + l_linenumber AS chunk_id FROM {lineitem}")
 source("request_status", "SELECT o_orderkey AS request_id, CASE WHEN o_orderstatus = 'F' THEN 'supported' ELSE 'insufficient' END AS status FROM {orders}")
 
 

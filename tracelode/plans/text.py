@@ -10,9 +10,9 @@ from .registry import Tables, query, source
 
 source("plain_docs", "SELECT doc_id, text FROM {documents} WHERE text IS NOT NULL")
 source("marked_docs", """
-    SELECT doc_id, '# Title ' || CAST(doc_id AS STRING) || chr(10) || substr(text, 1, 300) || chr(10) || '## Part one' || chr(10) || substr(text, 301, 200) || chr(10)
+    SELECT doc_id, '# Title ' || CAST(doc_id AS STRING) || chr(10) || text || chr(10) || '## Part one' || chr(10)
         || CASE WHEN doc_id % 3 = 0 THEN '# Second' || chr(10) || 'Rule A holds. Rule B follows.' || chr(10) ELSE '' END
-        || CASE WHEN doc_id % 2 = 0 THEN 'References' || chr(10) || substr(text, 1, CAST((doc_id % 7) * 120 AS INT)) ELSE 'end' END AS text
+        || CASE WHEN doc_id % 2 = 0 THEN 'References' || chr(10) || repeat('One more reference. ', CAST(floor(length(text) * (doc_id % 7) / 80) AS INT)) ELSE 'end' END AS text
     FROM {documents}""")
 source("fixed_chunks", """
     SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(i * 500 + 1 AS BIGINT), 500) AS text
@@ -49,15 +49,23 @@ def chunk_stats(t: Tables) -> DataFrame:
     return X.chunk_stats(_fixed(t))
 
 
+#: Windows over whole texts; how far they overlap depends on the document.
 source("overlapping", """
-    SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(1 + i * (120 - doc_id % 30) AS INT), 120) AS text FROM {documents} CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(i) WHERE length(text) > 600""")
+    SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, substr(text, CAST(1 + i * (500 - doc_id % 300) AS BIGINT), 500) AS text
+    FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / (500 - doc_id % 300)) AS BIGINT))) AS i FROM {documents})""")
+
+
+def _overlapping(t: Tables) -> DataFrame:
+    step = F.lit(500) - F.col("doc_id") % 300
+    rows = t("documents").where(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("text") / step).cast("long") - 1)).alias("chunk_index"))
+    return rows.select("doc_id", "chunk_index", F.substring("text", (1 + F.col("chunk_index") * step).cast("int"), F.lit(500)).alias("text"))
 
 
 @query("""
-    SELECT doc_id, chunk_index, (SELECT max(k) FROM range(0, least(length(text), length(after), 200) + 1) r(k) WHERE right(text, k) = left(after, k)) AS overlap
+    SELECT doc_id, chunk_index, (SELECT max(k) FROM range(0, least(length(text), length(after)) + 1) r(k) WHERE right(text, k) = left(after, k)) AS overlap
     FROM (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS after FROM {overlapping}) WHERE after IS NOT NULL""")
 def chunk_overlap(t: Tables) -> DataFrame:
-    return X.chunk_overlap(t("overlapping"))
+    return X.chunk_overlap(_overlapping(t))
 
 
 @query("""
@@ -109,7 +117,7 @@ def html_visible_text(t: Tables) -> DataFrame:
 source("tagged_pages", """
     SELECT page_id, '<meta name="citation_title" content="Paper ' || CAST(page_id AS STRING) || '"><META content="Ada Lovelace" name="citation_author">'
         || CASE WHEN page_id % 2 = 0 THEN '<meta name="citation_author" content="van Beethoven, Ludwig"><meta content="20' || CAST(10 + page_id % 10 AS STRING) || '/05" name="citation_date">' ELSE '' END || html AS html
-    FROM {pages} WHERE page_id % 3 <> 2""")
+    FROM {pages}""")
 source("page_tags", r"""
     SELECT page_id, name, string_agg(value, '|' ORDER BY n) AS values FROM (
         SELECT page_id, n, lower(regexp_extract(tag, '(?i)name="(citation_[a-z_]+)"', 1)) AS name, regexp_extract(tag, '(?i)content="([^"]*)"', 1) AS value FROM (
@@ -146,7 +154,7 @@ def parse_date_parts(t: Tables) -> DataFrame:
     return X.parse_date_parts(t("dates")).select("doc_id", F.array_join(F.col("date_parts").cast("array<string>"), "-").alias("parts"))
 
 
-source("cited_docs", "SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN NULL ELSE substr(text, 1, 20) END AS title FROM {documents}")
+source("cited_docs", "SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN NULL ELSE 'Title ' || CAST(n_chars AS STRING) END AS title FROM {documents}")
 source("bibliography", "SELECT doc_id, 'Book ' || CAST(doc_id AS STRING) AS title, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'Author ' || lang END AS author, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE '19' || CAST(70 + doc_id % 30 AS STRING) END AS year FROM {documents} WHERE doc_id % 2 = 1")
 
 
@@ -160,7 +168,7 @@ def citation_records(t: Tables) -> DataFrame:
     return X.citation_records(t("cited_docs"), X.html_meta_tags(t("tagged_pages")).withColumnRenamed("page_id", "doc_id"), t("bibliography"))
 
 
-source("rich", "SELECT doc_id, '![img](http://a.example/x.png) see [the site](https://b.example/y) <b>' || substr(text, 1, 500) || '</b> https://c.example/z?q=1 end' AS text FROM {documents}")
+source("rich", "SELECT doc_id, '![img](http://a.example/x.png) see [the site](https://b.example/y) <b>' || text || '</b> https://c.example/z?q=1 end' AS text FROM {documents}")
 
 
 @query(r"""

@@ -10,6 +10,7 @@ import json
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,10 @@ TRACE_SCHEMA = """trace_id string, channel string, user_input string, retrieved_
     tool_calls array<struct<name:string,result:string>>, assistant_output string"""
 
 
+#: Where each table of ``written`` lies, so that it can be deleted.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def working_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which all executors share; a temporary folder only inside one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +36,24 @@ def working_folder(spark: SparkSession) -> str:
     return made
 
 
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` once to the working folder and read it back: cuts lineage and survives lost executors."""
+    path = f"{working_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, **options)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def replace_snapshot(df: DataFrame, root: str, version: int) -> str:
     """Write a table version; the path returned is what a catalogue entry should point to next."""
     path = f"{root.rstrip('/')}/v{version}"
