@@ -104,13 +104,14 @@ def url_policy(t: Tables) -> DataFrame:
 
 source("licensed", """
     SELECT doc_id, text || CASE doc_id % 10 WHEN 0 THEN ' https://creativecommons.org/licenses/by/4.0/ ' WHEN 1 THEN ' https://creativecommons.org/licenses/by-nc-nd/3.0/ ' WHEN 2 THEN ' Released under the MIT License. ' WHEN 3 THEN ' SPDX-License-Identifier: Apache-2.0 '
-        WHEN 4 THEN ' licensed under the Apache License, Version 2.0 and licensed under GPL v3. ' WHEN 5 THEN ' MIT is a university ' WHEN 6 THEN ' https://creativecommons.org/licenses/by/4.0/ https://creativecommons.org/licenses/by/3.0/ ' WHEN 7 THEN ' https://creativecommons.org/publicdomain/zero/1.0 ' WHEN 8 THEN ' Licensed under' || chr(10) || 'Creative Commons Attribution-NonCommercial-NoDerivs 3.0. ' ELSE '' END AS text FROM {documents}""")
-_CODES = ", ".join(f"('{c}', '{n}', {nc}, {nd}, 'ok')" for c, (n, nc, nd) in Y.CC_CODES.items()) + ", " + ", ".join(f"('{k}', '{k}', FALSE, FALSE, '{v}')" for k, (_, v) in Y.SPDX_NAMES.items())
-_CUED = " UNION ALL ".join(f"SELECT doc_id, '{k}', '', 'cued' FROM {{licensed}} WHERE regexp_matches(text, '(?s)(?i:{Y.CUES})[^\\n]{{0,60}}?\\b(?:{rx})(?:[^A-Za-z0-9_]|$)')" for k, (rx, _) in Y.SPDX_NAMES.items())
+        WHEN 4 THEN ' licensed under the Apache License, Version 2.0 and licensed under GPL v3. ' WHEN 5 THEN ' MIT is a university ' WHEN 6 THEN ' https://creativecommons.org/licenses/by/4.0/ https://creativecommons.org/licenses/by/3.0/ ' WHEN 7 THEN ' https://creativecommons.org/publicdomain/zero/1.0 ' WHEN 8 THEN ' Licensed under' || chr(10) || 'Creative Commons Attribution-NonCommercial-NoDerivs 3.0. ' WHEN 9 THEN ' For research use only. All  rights reserved. see https://arxiv.org/licenses/nonexclusive-distrib/1.0' ELSE '' END AS text FROM {documents}""")
+_CODES = ", ".join(f"('{c}', '{n}', {nc}, {nd}, 'ok')" for c, (n, nc, nd) in Y.CC_CODES.items()) + ", " + ", ".join(f"('{k}', '{k}', FALSE, FALSE, '{v}')" for k, (_, v) in Y.SPDX_NAMES.items()) + ", " + ", ".join(f"('{k}', '{k}', {nc}, FALSE, 'hold')" for k, (_, nc, _) in Y.OTHER_TERMS.items())
+_OTHERS = " UNION ALL ".join(f"SELECT doc_id, '{k}', '', '{tier}' FROM {{licensed}} WHERE regexp_matches(text, '(?i){rx}')" for k, (rx, _, tier) in Y.OTHER_TERMS.items())
+_CUED = " UNION ALL ".join(f"SELECT doc_id, '{k}', '', 'cued' FROM {{licensed}} WHERE regexp_matches(text, '(?s)(?i:{Y.CUES})[^\\n]{{0,80}}?\\b(?:{rx})(?:[^A-Za-z0-9_]|$)')" for k, (rx, _) in Y.SPDX_NAMES.items())
 source("licence_candidates", rf"""
     SELECT DISTINCT doc_id, family, version, tier, CAST(CASE tier WHEN 'structured' THEN 0.95 WHEN 'url' THEN 0.8 ELSE 0.65 END AS DOUBLE) AS confidence, nc, nd, verdict FROM (
         SELECT doc_id, regexp_extract(m, '^([a-z-]+)', 1) AS code, regexp_extract(m, '/([0-9]\.[0-9])', 1) AS version, 'url' AS tier FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'creativecommons\.org/(?:licenses|publicdomain)/([a-z-]+/?[0-9.]*)', 1)) AS m FROM {{licensed}})
-        UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, 'SPDX-License-Identifier[ ]*:[ ]*([A-Za-z0-9.-]+)', 1)), '', 'structured' FROM {{licensed}} UNION ALL {_CUED}
+        UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, 'SPDX-License-Identifier[ ]*:[ ]*([A-Za-z0-9.-]+)', 1)), '', 'structured' FROM {{licensed}} UNION ALL {_CUED} UNION ALL {_OTHERS}
         UNION ALL SELECT doc_id, lower(split_part(m, ' ', 1)), split_part(m, ' ', 2), 'cued' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)licensed under CC (BY(?:-NC)?(?:-ND|-SA)? [0-9]\.[0-9])', 1)) AS m FROM {{licensed}})
         UNION ALL SELECT doc_id, 'by-nc-nd', '3.0', 'cued' FROM {{licensed}} WHERE contains(text, chr(10) || 'Creative Commons Attribution-NonCommercial-NoDerivs 3.0')) x
     JOIN (VALUES {_CODES}) c(code, family, nc, nd, verdict) ON c.code = x.code""")
