@@ -5,8 +5,9 @@ most 3 to the number of rules, whatever the corpus), and expectation-maximisatio
 table estimates how often each rule is right on good and on bad texts.  A document is kept if its
 posterior probability of being good reaches one half and it does not fail the base rules.
 
-Repeated windows are found inside the row: the 64-bit hashes of a text's 3-word windows are sorted
-with their places, equal neighbours are repeats, and the words that they cover are counted.
+Repeated windows are found inside the row: where the 64-bit hashes of a text's 3-word windows are not all
+distinct, they are sorted with their places, equal neighbours are repeats, and the words that they cover
+are counted.
 
 Scale: one pass over the texts without any shuffle; the numbers (a few longs a document) are written
 once to the shared folder, because both the tally and the verdict read them.
@@ -42,7 +43,8 @@ RULES = (
 )
 
 _SPACES = "[\\\\x20\\\\x09-\\\\x0D]+"
-_WINDOWS = "sort_array(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS i)))"
+_WINDOWS = "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))"
+_SORTED = "sort_array(transform(g, (h, i) -> struct(h AS h, i AS i)))"
 _STARTS = "transform(filter(s, (x, k) -> get(s, k - 1).h <=> x.h OR get(s, k + 1).h <=> x.h), x -> x.i)"
 _COVERED = "CAST(size(array_distinct(concat(d, transform(d, x -> x + 1), transform(d, x -> x + 2)))) AS LONG)"
 
@@ -54,7 +56,8 @@ def _let(name: str, value: str, body: str) -> str:
 
 def _measures() -> str:
     """One struct of all numbers of a text, from its words ``w`` and its non-empty lines ``l``."""
-    repeats = f"IF(size(w) < 4, 0L, {_let('s', _WINDOWS, _let('d', _STARTS, f'IF(size(d) = 0, 0L, {_COVERED})'))})"
+    counted = _let("s", _SORTED, _let("d", _STARTS, _COVERED))
+    repeats = f"IF(size(w) < 4, 0L, {_let('g', _WINDOWS, f'IF(size(array_distinct(g)) = size(g), 0L, {counted})')})"
     return f"""named_struct(
         'n_words', CAST(size(w) AS LONG),
         'word_chars', CAST(char_length(array_join(w, '')) AS LONG),
