@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import removed, written
+
+__all__ = ["bounded_batches", "id_remainder", "narrow", "removed", "written"]
 
-_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -26,41 +24,6 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, which all executors see.
-
-    Only where that setting is absent and Spark runs inside one process (``local[n]``) a
-    temporary folder stands in; a cluster without the setting is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='tracelode-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, **options)
-    found = spark.read.schema(df.schema).parquet(path)
-    _PATHS[found] = path
-    return found
-
-
-def removed(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made and that nothing reads any more; other DataFrames are left alone."""
-    for df in tables:
-        if path := _PATHS.pop(df, None):
-            jvm = df.sparkSession.sparkContext._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
