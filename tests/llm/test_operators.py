@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -416,6 +417,17 @@ def test_near_duplicates_on_the_tables(spark, sf_dir, texts):
     assert got == want
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    df, found = queries.QUERIES[name](spark, sf_dir), con.sql(queries.ORACLES[name])
+    assert sorted(df.columns) == sorted(found.columns)
+    place = [found.columns.index(c) for c in df.columns]
+    assert sorted((tuple(r) for r in df.collect()), key=str) == sorted((tuple(r[i] for i in place) for r in found.fetchall()), key=str)
+
+
 def test_near_duplicates_on_odd_rows(odd, empty):
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.groups(odd).collect())
     assert got[(6, 1, 1, False)] == 2 and got[(1, 1, 1, True)] == 1 and got[(2, 0, 2, True)] == 1 and sum(got.values()) == len(ODD)

@@ -107,7 +107,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_duplicates": op10_near_duplicates,
 }
 
+#: Words of a text, and the rules' numbers from them; votes are lists in the order of the rules.
+_RULE_NUMBERS = r"""
+        texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        words AS (
+            SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) AS l FROM texts),
+        windows AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM words WHERE len(w) >= 3),
+        found AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM windows),
+        repeats AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM found, (VALUES (0), (1), (2)) v(k) WHERE c > 1 GROUP BY r),
+        numbers AS (
+            SELECT doc_id, r, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+                coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_distinct(w)) AS n_distinct_words, len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len(regexp_extract_all(text, '[|]')) AS n_bars, len(regexp_extract_all(text, '!')) AS n_bangs
+            FROM words LEFT JOIN repeats USING (r)),
+"""
+_VOTES = "[" + ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for _, bad, good in rules.RULES) + "]"
+_N_RULES = len(rules.RULES)
+#: The model is a list: the share of good texts, then each rule's accuracy on good and on bad ones.
+_POSTERIOR = "1 / (1 + exp(-(ln(m[1] / (1 - m[1])) + " + " + ".join(
+    f"CASE v[{k}] WHEN 1 THEN ln(m[{1 + k}] / (1 - m[{1 + _N_RULES + k}])) WHEN -1 THEN ln((1 - m[{1 + k}]) / m[{1 + _N_RULES + k}]) ELSE 0 END" for k in range(1, _N_RULES + 1)) + ")))"
+_SHARE = f"least(greatest((coalesce(sum({{x}}) FILTER (v[{{k}}] = {{y}}), 0) + 8) / (coalesce(sum({{x}}) FILTER (v[{{k}}] <> 0), 0) + 10), {rules.ACCURACY[0]}), {rules.ACCURACY[1]})"
+_NEXT = ", ".join(
+    ["least(greatest(sum(n * p) / sum(n), 0.05), 0.95)"]
+    + [_SHARE.format(x=x, y=y, k=k) for x, y in (("n * p", 1), ("n * (1 - p)", -1)) for k in range(1, _N_RULES + 1)])
+
 ORACLES: dict[str, str] = {
+    "op8_quality_rules": f"""
+        WITH RECURSIVE {_RULE_NUMBERS}
+        votes AS (SELECT *, {_VOTES} AS v FROM numbers),
+        patterns AS (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM votes GROUP BY v),
+        steps(step, m, done) AS (
+            SELECT 0, list_transform(range({1 + 2 * _N_RULES}), lambda x: CAST(0.8 AS DOUBLE)), FALSE
+            UNION ALL SELECT step + 1, now, list_max(list_transform(list_zip(now, m), lambda z: abs(z[1] - z[2]))) < 1e-4 FROM (
+                SELECT step, m, [{_NEXT}] AS now FROM (SELECT step, m, v, n, {_POSTERIOR} AS p FROM steps, patterns WHERE step < {rules.ITERATIONS} AND NOT done) GROUP BY step, m)),
+        last AS (SELECT m FROM steps ORDER BY step DESC LIMIT 1)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND p >= 0.5 AS kept
+        FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed, {_POSTERIOR} AS p FROM votes, last)
+    """,
+    "op10_near_duplicates": r"""
+        WITH RECURSIVE split_words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle
+            FROM split_words),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n_both >= 85 * (x.n + y.n - n_both)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(doc_id, root) AS (SELECT a, a FROM edges UNION SELECT edges.b, reach.root FROM reach JOIN edges ON edges.a = reach.doc_id),
+        labels AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, d.doc_id = coalesce(root, d.doc_id) AS kept
+        FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id
+    """,
     "op9_url_filters": r"""
         WITH rules(action, rule_host, rule_path) AS (VALUES
             ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
