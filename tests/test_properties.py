@@ -1,5 +1,9 @@
 """Properties and small examples of operators that SQL cannot express, and of edge cases."""
 
+import math
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +188,114 @@ def test_licences_named_in_words_or_declared(spark):
     }
     verdicts = {r.doc_id: (r.kind, r.verdict) for r in safety.resolve_licence(docs, safety.with_versions(found)).collect()}
     assert verdicts == {1: ("single", "reject"), 2: ("single", "ok"), 3: ("single", "ok"), 4: ("none", "hold"), 5: ("single", "ok"), 6: ("single", "hold"), 7: ("single", "ok"), 8: ("single", "hold")}
+
+
+def _vectors(spark, n, dims, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, dims)], i % 7) for i in range(n)]  # small numbers: many ties
+    return rows, spark.createDataFrame(rows, "chunk_id long, embedding array<double>, owner long")
+
+
+@pytest.mark.parametrize("blocks", [(2_000, 10_000, 64, 1 << 26), (3, 11, 2, 0)])
+def test_exact_search_equals_brute_force_in_blocks(spark, monkeypatch, blocks):
+    for name, value in zip(("QUERY_BLOCK", "VECTOR_BLOCK", "SLICE", "BROADCAST_BYTES"), blocks):
+        monkeypatch.setattr(ranking, name, value)
+    rows, vectors = _vectors(spark, 100, 4, 1)
+    queries = vectors.where("chunk_id < 10").select(F.col("chunk_id").alias("query_id"), "embedding")
+    for own in (None, "owner"):
+        got = {(r.query_id, r.rank): (r.chunk_id, r.distance) for r in ranking.knn_exact(queries, vectors, 12, own).collect()}
+        for q, x, _ in rows[:10]:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), i) for i, y, o in rows if not own or o != q)[:12]
+            assert [got[q, k + 1] for k in range(12)] == [(i, d) for d, i in near]
+    assert ranking.knn_exact(queries.limit(0), vectors, 3).count() == 0 and ranking.knn_exact(queries, vectors.limit(0), 3).count() == 0
+
+
+def test_approximate_search_gives_k_rows_to_each_query(spark):
+    _, vectors = _vectors(spark, 60, 4, 2)
+    queries = spark.createDataFrame([(1, [0.0] * 4), (2, [900.0] * 4)], "query_id long, embedding array<double>")
+    found = ranking.knn_approx(queries, vectors, 5).collect()
+    assert sorted(r.query_id for r in found) == [1] * 5 + [2] * 5 and sorted(r["rank"] for r in found if r.query_id == 2) == [1, 2, 3, 4, 5]
+
+
+def test_evidence_span_equals_all_windows(spark):
+    rng, rows = np.random.default_rng(3), []
+    for i in range(60):
+        rows.append((i, " ".join(rng.choice(list("abcdef"), rng.integers(0, 40))), " ".join(rng.choice(list("abcx"), rng.integers(0, 7)))))
+    got = {r.claim_id: (r.start, r.span, r.overlap) for r in safety.best_evidence_span(spark.createDataFrame(rows, "claim_id long, text string, quote string")).collect()}
+    want = {}
+    for i, t, q in rows:
+        w, q = t.split(), q.split()
+        span = math.ceil(1.5 * len(q))
+        scored = [(-sum((Counter(w[s : s + span]) & Counter(q)).values()), s) for s in range(len(w)) if w[s] in q]
+        if scored:
+            want[i] = (min(scored)[1], span, -min(scored)[0])
+    assert got == want
+
+
+@pytest.mark.parametrize("p", [0.0, 0.05, 0.5, 0.95, 1.0])
+def test_nearest_rank_equals_sorted_place(spark, p):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{k}", float(x)) for k, n in ((1, 1), (2, 2), (3, 41), (4, 200)) for x in rng.integers(0, 30, n)] + [("g1", None)]
+    got = {r.g: (r.percentile, r.n) for r in evaluation.nearest_rank_percentile(spark.createDataFrame(rows, "g string, v double"), "g", "v", p).collect()}
+    for g in got:
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == (values[round(p * (len(values) - 1))], len(values))
+
+
+def test_labels_stay_distinct_beyond_z(spark):
+    works = spark.range(800).select(F.col("id").alias("work_id"), F.format_string("t%04d", "id").alias("title"), F.lit(2020).alias("year"), F.array(F.lit("Ada")).alias("authors"))
+    labels = {r.work_id: r.label for r in grounding.citation_labels(works).collect()}
+    assert [labels[i] for i in (0, 25, 26, 51, 52, 701, 702)] == [f"Ada (2020{x})" for x in ("a", "z", "aa", "az", "ba", "zz", "aaa")] and len(set(labels.values())) == 800
+
+
+PETS = "Pet policy: max 2 pets, dogs <40 lbs."
+LIMITS = [
+    ("Can I have 3 cats?", PETS, "3 cats is fine as long as you pay deposits", {"pets", "exception"}),
+    ("dogs over 50 pounds if calm?", PETS, "If they're calm we usually make exceptions for dogs up to 60 lbs", {"said_weight", "exception"}),
+    ("two Rottweilers", PETS, "Yes, Rottweilers are allowed! You're all set for both.", {"no_weight"}),
+    ("2bed under $2000", "Maple $1950, Pine $2100", "Maple $1950 fits. Pine is $2100 so skip that", set()),
+    ("2bed under $2000", "Maple $1950, Pine $2100", "Take Pine, it is $2,100.", {"budget"}),
+    ("Send pet policy link", PETS, "https://x.example/pets", set()), ("2 bedrooms?", "", "Yes.", set()), ("I have a dog of 30 lb", PETS, "Yes, that is fine.", set()),
+    ("I have a dog of 50 lb", PETS, "Unfortunately that exceeds the limit.", set()), ("I have a dog of 50 lb", PETS, "Sure, go ahead.", {"weight"}), ("three dogs?", PETS, "We allow at most two.", set()),
+]
+
+
+def test_limits_of_described_cases(spark):
+    rows = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(LIMITS)], "trace_id long, user_text string, evidence string, response string")
+    found = {}
+    for r in grounding.policy_limit_check(rows).collect():
+        found.setdefault(r.trace_id, set()).add(r.problem)
+    assert [found.get(i, set()) for i in range(len(LIMITS))] == [r[3] for r in LIMITS]
+
+
+def test_claims_of_described_cases(spark):
+    said = [
+        ("I've held it under your name for 48 hours - you're confirmed!", "Bot cannot hold units", {("hold", "forbidden"), ("confirm", "not done")}), ("Done - Maple is held and I emailed your contract", "", {("hold", "not done"), ("email", "not done")}),
+        ("Please consult our leasing concierge.", "", set()), ("You're all set for both.", "", set()), ("I can't hold it.", "", set()), ("Once the office confirms, it is booked.", "", set()), ("It is booked.", "", {("confirm", "not done")}), ("We have already sent you the lease.", "", set()),
+    ]
+    rows = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(said)], "trace_id long, response string, evidence string")
+    calls = spark.createDataFrame([(7, "send_email", True), (6, "book_tour", False)], "trace_id long, tool string, ok boolean")
+    found = {}
+    for r in grounding.action_claim_check(rows, calls).collect():
+        found.setdefault(r.trace_id, set()).add((r.action, r.problem))
+    assert [found.get(i, set()) for i in range(len(said))] == [r[2] for r in said]
+
+
+def test_secrets_gaps_and_terms_of_described_cases(spark):
+    rows = [
+        (0, "", "", "password: hunter22"), (1, "", "", "The passcode is 4821."), (2, "", "", "Ask for the password at the desk."), (3, "Is there parking?", "", "Please contact the leasing office."), (4, "Is there parking?", "", "It isn't listed."),
+        (5, "Is there parking?", "", "It is nice."), (6, "Any deposit?", "Fee: none", "Nice."), (7, "", "", "It has a dishwasher and a dog park."), (8, "", "Dishwashers in all units.", "It has a dishwasher."), (9, "", "", "There is no hot tub."),
+    ]
+    df = spark.createDataFrame(rows, "trace_id long, user_text string, evidence string, response string")
+    assert {r.trace_id for r in grounding.credential_disclosure(df).collect()} == {0, 1}
+    assert {(r.trace_id, r.attribute) for r in grounding.unacknowledged_gap(df).collect()} == {(5, "parking")}
+    assert {(r.trace_id, r.term) for r in grounding.ungrounded_terms(df).collect()} == {(7, "dishwashers?"), (7, "dog\\s+park")}
+
+
+def test_matched_sources_are_compared_alone(spark):
+    new = spark.createDataFrame([(1, "doi", "a", True), (2, "doi", "b", True), (2, "url", "u", False), (3, "url", "v", False)], "doc_id long, type string, value_norm string, is_canonical boolean")
+    links = spark.createDataFrame([(10, "doi", "a", True), (11, "doi", "c", True), (11, "url", "u", False), (12, "url", "v", False)], "source_id long, type string, value_norm string, is_canonical boolean")
+    df = identity.resolve_sources(new, links)
+    assert {(r.doc_id, r.status, r.source_id, r.n_ignored) for r in df.collect()} == {(1, "SAME_SOURCE", 10, 0), (2, "NEW_SOURCE", None, 1), (3, "REVIEW", None, 0)}
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line]
+    assert joins and all("type" not in line or "source_id" in line or "value_norm" in line for line in joins)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 #: Queries in one packed block, vectors in one; a task holds one block of each, and compares SLICE queries at once.
 QUERY_BLOCK, VECTOR_BLOCK, SLICE = 2_000, 10_000, 64
 #: Up to this many bytes of packed queries are broadcast; more meet the vectors block by block.
@@ -114,7 +116,8 @@ def knn_filtered(queries: DataFrame, vectors: DataFrame, condition: str, k: int
 def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, width: float = 1.0, tables: int = 40) -> DataFrame:
     """Approximate search: random projections into buckets, candidates that share one, exact distances on those.
 
-    ``width`` is the bucket's width on each of ``tables`` projections (two numbers a table).
+    ``width`` is the bucket's width on each of ``tables`` projections (two numbers a table).  Queries that share buckets
+    with fewer than k vectors are searched exactly, so every query gets k rows if there are k vectors.
     """
     rng = np.random.default_rng(5)
     some = vectors.select(F.size("embedding")).first()
@@ -134,7 +137,9 @@ def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, width: float
     left, right = q.select("query_id", F.explode(keys("q")).alias("cell")), v.select("chunk_id", F.explode(keys("v")).alias("cell"))
     pairs = left.join(right, "cell").select("query_id", "chunk_id").distinct().join(q, "query_id").join(v, "chunk_id")
     distance = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return top(pairs.select("query_id", "chunk_id", distance.alias("distance")), k, F.col("distance"), F.col("chunk_id"))
+    found = written(top(pairs.select("query_id", "chunk_id", distance.alias("distance")), k, F.col("distance"), F.col("chunk_id")), "knn-approx")
+    full = found.where(F.col("rank") == k).select("query_id")
+    return found.join(full, "query_id", "left_semi").unionByName(knn_exact(queries.join(full, "query_id", "left_anti"), vectors, k))
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, own: str | None = None) -> DataFrame:
