@@ -112,8 +112,8 @@ _RULE_NUMBERS = r"""
         texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         words AS (
             SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) AS l FROM texts),
-        windows AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM words WHERE len(w) >= 3),
-        found AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM windows),
+        windows AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM words WHERE len(w) >= 3),
+        found AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows),
         repeats AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM found, (VALUES (0), (1), (2)) v(k) WHERE c > 1 GROUP BY r),
         numbers AS (
             SELECT doc_id, r, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
