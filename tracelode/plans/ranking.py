@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as R
 from ..operators import text as X
+from ..sources.store import written
 from .registry import Tables, derived, query, source
 
 #: Every document's whole text in slices of 800 characters; each slice has a vector of its own, put together from two rows of ``embeddings``.
@@ -53,7 +54,7 @@ def _knn(where: str = "TRUE", k: int = 15) -> str:
 @derived("candidates", _knn())
 def candidates(t: Tables) -> DataFrame:
     found = R.knn_exact(t("questions"), R.valid_vectors(t("chunks"), 64), 15, "vec_id")
-    return found.join(t("chunks").select("chunk_id", "document_id", "chunk_index", "text"), "chunk_id")
+    return written(found.join(t("chunks").select("chunk_id", "document_id", "chunk_index", "text"), "chunk_id"), "candidates")  # most queries read it several times
 
 
 _BM25 = """
@@ -79,7 +80,7 @@ source("idf", """
 
 @derived("lexical", _BM25)
 def lexical(t: Tables) -> DataFrame:
-    return R.bm25_topk(t("questions"), t("chunks"), 15)
+    return written(R.bm25_topk(t("questions"), t("chunks"), 15), "lexical")
 
 
 _FUSED = """
