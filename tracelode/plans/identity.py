@@ -33,7 +33,7 @@ def stage_versions(t: Tables) -> DataFrame:
 
 source("decided_docs", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN text ELSE text || ' next' END AS text, doc_id % 4 = 1 AS authenticated, doc_id % 3 AS n_flags FROM {documents} WHERE doc_id % 2 = 1 OR doc_id % 6 = 0")
 source("resolutions", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'CONFLICT' WHEN 1 THEN 'SAME_SOURCE' ELSE 'NEW_SOURCE' END AS status, CASE WHEN doc_id % 5 = 1 THEN doc_id % 20 END AS source_id FROM {documents}")
-source("linked_docs", "SELECT doc_id % 20 AS source_id, doc_id, 1000000 - doc_id AS linked_order FROM {documents} WHERE doc_id % 20 <> 11")
+source("linked_docs", "SELECT doc_id % (1 + CAST(floor(n_docs / 60) AS BIGINT)) AS source_id, doc_id, 1000000 - doc_id AS linked_order FROM {documents} CROSS JOIN (SELECT count(*) AS n_docs FROM {documents}) WHERE doc_id % 20 <> 11")
 
 
 @query("""
@@ -56,7 +56,7 @@ def version_history(t: Tables) -> DataFrame:
     return I.version_history(t("id_versions").select("doc_id", "version"), t("acceptances"))
 
 
-source("text_pairs", "SELECT doc_id, text AS old_text, CASE doc_id % 3 WHEN 0 THEN text || chr(10) || 'added line' WHEN 1 THEN replace(text, 'the', 'teh') ELSE substr(text, 1, 200) END AS new_text FROM {documents}")
+source("text_pairs", "SELECT doc_id, text AS old_text, CASE doc_id % 3 WHEN 0 THEN text || chr(10) || 'added line' WHEN 1 THEN replace(text, 'the', 'teh') ELSE 'a first line' || chr(10) || text END AS new_text FROM {documents}")
 
 
 @query("""
