@@ -154,10 +154,13 @@ def similarity_matrix(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return found.select("query_id", F.col("chunk_id").alias("other_id"), (-F.col("distance")).alias("similarity"))
 
 
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.lower(F.col(text)), "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
+
+
 def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term) rows: lower-cased text split at white space."""
-    words = F.filter(F.split(F.lower(F.col(text)), "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
-    return df.select(key, F.explode(words).alias("term"))
+    return df.select(key, F.explode(_words(text)).alias("term"))
 
 
 def _meet(q: DataFrame, d: DataFrame) -> DataFrame:
@@ -184,15 +187,16 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 15, k1: float = 1.
     A negative idf becomes ``floor`` times the mean idf of the vocabulary.  Only 2 k ids can be needed
     to fill up, because fewer than k others match.
     """
-    d = _terms(chunks, "chunk_id", "text")
-    tf = d.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    length = d.groupBy("chunk_id").agg(F.count("*").alias("dl"))
-    facts = chunks.select("chunk_id").join(length, "chunk_id", "left").agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
-    df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
+    split = chunks.select("chunk_id", _words("text").alias("w"))
+    length = split.select("chunk_id", F.size("w").alias("dl"))
+    facts = length.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    df_ = split.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    q = _terms(queries, "query_id", "question").groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    asked = split.select("chunk_id", F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    tf = asked.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     idf = df_.join(F.broadcast(facts)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # facts is one row
     mean = idf.agg(F.avg("idf").alias("mean"))
     idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    q = _terms(queries, "query_id", "question").groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     hits = _meet(q.join(idf, "term"), tf).join(length, "chunk_id")
     weight = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("score"))
