@@ -193,12 +193,13 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 15, k1: float = 1.
     df_ = split.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     q = _terms(queries, "query_id", "question").groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     asked = split.select("chunk_id", F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    tf = asked.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    idf = df_.join(F.broadcast(facts)).select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # facts is one row
+    lengths = length.join(F.broadcast(facts)).select("chunk_id", (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("norm"))  # facts is one row
+    tf = asked.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")).join(lengths, "chunk_id")  # before it meets the queries, as that is where it is small
+    idf = df_.join(F.broadcast(facts)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))
-    idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    hits = _meet(q.join(idf, "term"), tf).join(length, "chunk_id")
-    weight = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    idf = idf.join(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    hits = _meet(q.join(idf, "term"), tf)
+    weight = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("score"))
     first = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
     fill = queries.select("query_id").join(F.broadcast(first)).join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")  # 2 k rows
