@@ -299,3 +299,10 @@ def test_matched_sources_are_compared_alone(spark):
     assert {(r.doc_id, r.status, r.source_id, r.n_ignored) for r in df.collect()} == {(1, "SAME_SOURCE", 10, 0), (2, "NEW_SOURCE", None, 1), (3, "REVIEW", None, 0)}
     joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line]
     assert joins and all("type" not in line or "source_id" in line or "value_norm" in line for line in joins)
+
+
+def test_overlap_equals_all_lengths(spark):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("ab"), rng.integers(0, 40))) for _ in range(150)] + ["x" * 30, "x" * 50, "abcdefgh12345", "abcdefgh12345", "abcdefghZabcdefgh12", "abcdefgh12345", "é" * 9, "é" * 12, "", "q"]
+    got = {r.chunk_index: r.overlap for r in text.chunk_overlap(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, chunk_index long, text string")).collect()}
+    assert got == {i: max(k for k in range(min(len(a), len(b)) + 1) if a.endswith(b[:k])) for i, (a, b) in enumerate(zip(texts, texts[1:]))}
