@@ -5,17 +5,20 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, ngram_lm, pii, quality, rules, toxicity, urls
+from . import alignment, bpe, decontaminate, langid, merkle, neardup, ngram_lm, packing, pii, quality, rules, tokens, toxicity, urls
 from .frames import id_remainder, narrow
 from .samples import labelled
 
 #: Where the public vocabulary lies is a parameter: the file's name, found by the tokenizers package.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+BYTE_LEVEL = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +97,32 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents"), percent=85, size=3)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*merkle.COLUMNS)
+    plain = [F.col(c) for c in merkle.COLUMNS]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.row_digest([*plain[:-1], lower]))
+    found = merkle.manifest(docs.select("doc_id", "source", merkle.row_digest(plain).alias("digest"), tampered.alias("tampered")))
+    folded = merkle.fold(F.coalesce("tampered", "digest"), F.col("path"))
+    texts = {"leaf": F.col("digest"), "subroot": F.col("subroot"), "root": F.col("root"), "folded_root": folded}
+    proof = F.sha2(merkle.proof_text(F.col("path")).cast("binary"), 256).alias("proof_sha256")
+    return found.select("doc_id", *(merkle.text_of(c).alias(n) for n, c in texts.items()), proof, (folded == F.col("root")).alias("verified"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    used = alignment.Tokenizers.load(public_tokenizers.path(BYTE_LEVEL), public_tokenizers.PATTERN, public_tokenizers.path(PIECES))
+    return alignment.measures(_table(spark, sf_dir, "documents"), used)
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = tokens.ByteLevel.load(public_tokenizers.path(BYTE_LEVEL), public_tokenizers.PATTERN)
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_quality_classifier": op2_quality_classifier,
@@ -105,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filters": op9_url_filters,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 #: Words of a text, and the rules' numbers from them; votes are lists in the order of the rules.
@@ -143,6 +175,43 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND p >= 0.5 AS kept
         FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed, {_POSTERIOR} AS p FROM votes, last)
     """,
+    "op11_merkle_manifest": """
+        WITH RECURSIVE crcs AS (
+            SELECT DISTINCT doc_id, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, byte:
+                list_reduce(range(8), lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)), 4294967295), 4294967295) AS crc FROM documents WHERE doc_id IS NOT NULL),
+        fields AS (
+            SELECT doc_id, source, text, list_reduce(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: coalesce(strlen(v) || ':' || v, '-')), lambda a, b: a || b) AS head FROM documents),
+        leaves AS (
+            SELECT f.doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                CASE WHEN crc % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS tampered
+            FROM fields f LEFT JOIN crcs c ON c.doc_id = f.doc_id),
+        ranked AS (
+            SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+        nodes(level, g, idx, n, digest) AS (
+            SELECT 0, g, idx, n, leaf FROM ranked
+            UNION ALL SELECT level + 1, g, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY level, g, idx // 16, n),
+        tops AS (SELECT level, g, digest AS subroot FROM nodes WHERE n = 1),
+        over(level, idx, n, digest) AS (
+            SELECT 0, g, (SELECT count(*) FROM tops), subroot FROM tops
+            UNION ALL SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM over WHERE n > 1 GROUP BY level, idx // 16, n),
+        steps AS (
+            SELECT level, g, idx, n, digest FROM nodes WHERE n > 1
+            UNION ALL SELECT t.level + o.level, t.g, o.idx, o.n, o.digest FROM tops t, over o WHERE o.n > 1 AND o.idx // 16 = t.g // CAST(16 ** (o.level + 1) AS BIGINT)),
+        path AS (
+            SELECT r.g, r.idx AS leaf_idx, s.level, s.idx % 16 AS slot, CASE WHEN s.level < t.level THEN (r.idx // CAST(16 ** s.level AS BIGINT)) % 16 ELSE (r.g // CAST(16 ** (s.level - t.level) AS BIGINT)) % 16 END AS own, s.digest
+            FROM ranked r JOIN tops t USING (g) JOIN steps s ON s.g = r.g AND (s.level >= t.level OR s.idx // 16 = r.idx // CAST(16 ** (s.level + 1) AS BIGINT))),
+        proofs AS (
+            SELECT g, leaf_idx, level, min(own) AS own, coalesce(string_agg(digest, '' ORDER BY slot) FILTER (slot < own), '') AS low, coalesce(string_agg(digest, '' ORDER BY slot) FILTER (slot > own), '') AS high
+            FROM path GROUP BY g, leaf_idx, level),
+        folded(g, idx, level, digest) AS (
+            SELECT g, idx, 0, coalesce(tampered, leaf) FROM ranked
+            UNION ALL SELECT f.g, f.idx, f.level + 1, sha256(low || digest || high) FROM folded f JOIN proofs p ON p.g = f.g AND p.leaf_idx = f.idx AND p.level = f.level),
+        ends AS (SELECT g, idx, arg_max(digest, level) AS folded_root FROM folded GROUP BY g, idx),
+        said AS (SELECT g, leaf_idx AS idx, sha256(string_agg(low || high, '' ORDER BY level)) AS proof_sha256 FROM proofs GROUP BY ALL),
+        top AS (SELECT digest AS root FROM over WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM ranked JOIN tops USING (g) JOIN ends USING (g, idx) LEFT JOIN said USING (g, idx), top
+    """,
     "op10_near_duplicates": r"""
         WITH RECURSIVE split_words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
