@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import normal_two_sided
 from .ranking import THRESHOLD, top
+from .selection import percentiles, values_at
 
 
 def _ones(c: Column) -> Column:
@@ -76,19 +81,45 @@ def hit_regression_gate(cases: DataFrame, before: DataFrame, after: DataFrame) -
     return both.agg(F.sum("b").alias("hits_before"), F.sum("a").alias("hits_after"), _ones(F.col("a") > F.col("b")).alias("won"), _ones(F.col("a") < F.col("b")).alias("lost")).withColumn("regression", F.col("hits_after") < F.col("hits_before"))
 
 
+#: Sign flips that one digest gives, and differences that are flipped at once.
+FLIPS, FLIP_ROWS = 128, 512
+
+
+def sign_flip_sums(differences: DataFrame, permutations: int, seed: str) -> DataFrame:
+    """(permutation, s): the sum of all differences under each of ``permutations`` flips of their signs, from 1.
+
+    The signs of 128 permutations are the bits of md5(seed:block:id), the first bit for the first.  A task multiplies blocks
+    of differences with the unpacked bits, and sends one sum a permutation, whatever number of rows it has.
+    """
+    blocks = -(-permutations // FLIPS)
+
+    def flip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(blocks * FLIPS)
+        for batch in batches:
+            ids, difference = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            for i in range(0, len(ids), FLIP_ROWS):
+                packed = b"".join(hashlib.md5(f"{seed}:{k}:{q}".encode()).digest() for q in ids[i : i + FLIP_ROWS] for k in range(blocks))
+                part = difference[i : i + FLIP_ROWS]
+                minus = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(len(part), -1)
+                total += part.sum() - 2 * (part @ minus)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, permutations + 1)), pa.array(total[:permutations])], ["permutation", "s"])
+
+    rows = differences.where("difference IS NOT NULL").select(F.coalesce(F.col("query_id").cast("string"), F.lit("")).alias("query_id"), F.col("difference").cast("double"))
+    return rows.mapInArrow(flip, "permutation long, s double").groupBy("permutation").agg(F.sum("s").alias("s"))
+
+
 def paired_tests(differences: DataFrame, permutations: int = 10_000, seed: str = "7") -> DataFrame:
-    """One row: mean difference, sample deviation, t, and the sign-flip p value (hits + 1) / (permutations + 1).
+    """One row: mean difference, sample deviation, t with its two-sided normal p value, and the sign-flip p value (hits + 1) / (permutations + 1).
 
-    Signs come from a hash of (seed, permutation, id), so both engines flip alike.  All-zero differences give p = 1.
+    Signs come from a hash of (seed, block, id), so both engines flip alike.  All-zero differences give p = 1; without a
+    deviation there is no t, and ``p_t`` is null.  Null differences are left out.
     """
-    flips = differences.select("query_id", "difference", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"))
-    digit = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("permutation").cast("string"), F.col("query_id").cast("string"))), 1, 1)
-    sign = F.when(digit < "8", 1.0).otherwise(-1.0)
-    sums = flips.groupBy("permutation").agg(F.sum(sign * F.col("difference")).alias("s"))
-    facts = differences.agg(F.count("*").alias("n"), F.avg("difference").alias("mean"), F.stddev_samp("difference").alias("sd"), F.sum("difference").alias("total"), F.max(F.abs("difference")).alias("largest"))
-    hits = sums.join(F.broadcast(facts)).agg(_ones(F.abs("s") >= F.abs("total") - 1e-12).alias("hits"))  # facts is one row
+    sums = sign_flip_sums(differences, permutations, seed)
+    facts = differences.agg(F.count("difference").alias("n"), F.avg("difference").alias("mean"), F.stddev_samp("difference").alias("sd"), F.sum("difference").alias("total"), F.max(F.abs("difference")).alias("largest"))
+    hits = sums.join(F.broadcast(facts)).agg(_ones(F.abs("s") >= F.abs("total") - 1e-9).alias("hits"))  # facts is one row
     p = F.when(F.col("largest") == 0, 1.0).otherwise((F.col("hits") + 1) / (permutations + 1))
-    return facts.join(F.broadcast(hits)).select("n", F.round("mean", 6).alias("mean_difference"), F.round("sd", 6).alias("sd"), F.round(F.col("mean") / F.nullif(F.col("sd") / F.sqrt("n"), F.lit(0.0)), 5).alias("t"), F.round(p, 6).alias("p"))
+    t = F.col("mean") / F.nullif(F.col("sd") / F.sqrt("n"), F.lit(0.0))
+    return facts.join(F.broadcast(hits)).select("n", F.round("mean", 6).alias("mean_difference"), F.round("sd", 6).alias("sd"), F.round(t, 5).alias("t"), F.round(normal_two_sided(t), 5).alias("p_t"), F.round(p, 6).alias("p"))
 
 
 def gate_threshold_search(signals: DataFrame, share: float = 0.9, steps: int = 10) -> DataFrame:
@@ -97,7 +128,7 @@ def gate_threshold_search(signals: DataFrame, share: float = 0.9, steps: int = 1
     The grid is ``steps`` + 1 quantiles of the even rows; the odd rows report what the choice does elsewhere.
     """
     even = signals.where("fold = 0")
-    grid = even.select(F.percentile("gap", F.array(*[F.lit(i / steps) for i in range(steps + 1)])).alias("q")).select(F.explode("q").alias("threshold")).distinct()
+    grid = percentiles(even, [], "gap", [i / steps for i in range(steps + 1)]).select(F.explode("q").alias("threshold")).distinct()
     tried = even.join(F.broadcast(grid)).groupBy("threshold").agg(_ones(F.col("gap") <= F.col("threshold")).alias("calls"), F.sum(F.when(F.col("gap") <= F.col("threshold"), F.col("gain")).otherwise(0.0)).alias("kept"), F.sum("gain").alias("all_gain"))
     good = tried.where(F.col("kept") >= share * F.col("all_gain") - 1e-12)
     best = good.agg(F.min(F.struct("calls", "threshold")).alias("b")).select(F.col("b.threshold").alias("threshold"), F.col("b.calls").alias("calls"))
@@ -107,7 +138,8 @@ def gate_threshold_search(signals: DataFrame, share: float = 0.9, steps: int = 1
 
 def signal_quartile_gain(signals: DataFrame) -> DataFrame:
     """Mean gain in quartile bins of ``gap``; bins are closed on both sides, so a value on an edge counts twice."""
-    edges = signals.agg(F.percentile("gap", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("e"), F.corr("gap", "gain").alias("correlation"))
+    correlation = signals.agg(F.corr("gap", "gain").alias("correlation"))
+    edges = percentiles(signals, [], "gap", (0.0, 0.25, 0.5, 0.75, 1.0)).select(F.col("q").alias("e")).join(F.broadcast(correlation))  # one row each
     bins = edges.select("correlation", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(F.element_at("e", i).alias("low"), F.element_at("e", i + 1).alias("high")))).alias("bin", "x"))
     joined = signals.join(F.broadcast(bins), (F.col("gap") >= F.col("x.low")) & (F.col("gap") <= F.col("x.high")))
     return joined.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("gain"), 6).alias("mean_gain"), F.round(F.first("correlation"), 6).alias("correlation"))
@@ -188,12 +220,11 @@ def field_accuracy(predictions: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def nearest_rank_percentile(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
-    """The value at index round-half-even(p * (n - 1)) of each group, by running sums over the counts of its values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    total = counts.groupBy(by).agg(F.sum("c").alias("n"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(value))).join(total, by)
-    at = F.bround(p * (F.col("n") - 1), 0)
-    return upto.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(by, F.col(value).alias("percentile"), "n")
+    """The value at index round-half-even(p * (n - 1)) of each group, found by refinement of intervals."""
+    counts = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(by).agg(F.count("*").alias("n"))
+    ranks = counts.select(by, "n", F.bround(p * (F.col("n") - 1), 0).cast("long").alias("rank"))
+    found = values_at(rows, [by], value, ranks).select(F.col(by).alias("_by"), F.col("x").alias("percentile"))
+    return ranks.join(found, F.col(by).eqNullSafe(F.col("_by"))).select(by, "percentile", "n")
 
 
 def _any(text: Column, words: Sequence[str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import removed, written
+from .selection import percentiles
 
 ASK, INGEST, AGENT = ("/ask",), ("/ingest",), "/agent"
 
@@ -28,19 +29,35 @@ def request_outcomes(starts: DataFrame, completions: DataFrame) -> DataFrame:
     return starts.select("request_id", "path").join(done, "request_id", "left").select("request_id", "path", "latency_ms", state.alias("state"))
 
 
-def stats_summary(requests: DataFrame, since: str, allowed: Sequence[str]) -> DataFrame:
-    """Per allow-listed path since a time: n, linear p50 and p95, errors, supported share and cost.
+def stats_summary(requests: DataFrame, since: str, allowed: Sequence[str], least: int = 10) -> DataFrame:
+    """Per allow-listed path since a time: n, linear p50 and p95, errors, error, supported and found-nothing rates, and cost.
 
-    The filter on time comes first, so busy windows count in full.
+    The filter on time comes first, so busy windows count in full.  Percentiles, rates and costs of fewer than ``least`` rows
+    are null; only agent runs have a found-nothing rate.
     """
     rows = requests.where((F.col("created_at") >= F.lit(since).cast("timestamp_ntz")) & F.col("path").isin(*allowed))
-    n, asked = F.count("*"), _ones(F.col("status").isNotNull())
-    return rows.groupBy("path").agg(
-        n.alias("n"), F.round(F.percentile("latency_ms", 0.5), 1).alias("p50"), F.round(F.percentile("latency_ms", 0.95), 1).alias("p95"),
-        _ones(F.col("error") | (F.col("http_status") >= 400)).alias("errors"),
-        F.round(_ones(F.col("status") == "supported") / F.nullif(asked, F.lit(0)), 4).alias("hit_rate"),
-        F.round(F.sum("cost_usd"), 6).alias("cost_total"), F.round(F.avg("cost_usd"), 6).alias("cost_per_ask"),
+    found = rows.groupBy("path").agg(
+        F.count("*").alias("n"), _ones(F.col("error") | (F.col("http_status") >= 400)).alias("errors"), _ones(F.col("status").isNotNull()).alias("asked"), _ones(F.col("status") == "supported").alias("good"),
+        _ones(F.col("status") == "not_applicable").alias("nothing"), F.count("cost_usd").alias("costs"), F.sum("cost_usd").alias("cost"),
     )
+    q = percentiles(rows, ["path"], "latency_ms", (0.5, 0.95)).select(F.col("path").alias("_path"), F.col("n").alias("timed"), "q")
+    enough = lambda of, value, digits: F.when(F.col(of) >= least, F.round(value, digits))
+    rate = lambda part, of: enough(of, F.col(part) / F.nullif(F.col(of), F.lit(0)), 4)
+    return found.join(q, F.col("path").eqNullSafe(F.col("_path")), "left").select(
+        "path", "n", enough("timed", F.element_at("q", 1), 1).alias("p50"), enough("timed", F.element_at("q", 2), 1).alias("p95"), "errors",
+        rate("errors", "n").alias("error_rate"), rate("good", "asked").alias("hit_rate"), F.when(F.col("path") == AGENT, rate("nothing", "n")).alias("found_nothing_rate"),
+        enough("costs", F.col("cost"), 6).alias("cost_total"), enough("costs", F.col("cost") / F.col("costs"), 6).alias("cost_per_ask"),
+    )
+
+
+def published_rates(rates: DataFrame, cells: DataFrame, least: int = 10) -> DataFrame:
+    """(name, rate) of (name, part, whole, cell) rows: null on fewer than ``least`` rows, and where the cell that the rate would disclose is hidden.
+
+    ``cells`` is a result of ``suppress_small_cells``; a cell that it does not have hides nothing.
+    """
+    known = cells.select(F.col("name").alias("cell"), "hidden")
+    shown = (F.col("whole") >= least) & ~F.coalesce("hidden", F.lit(False))
+    return rates.join(known, "cell", "left").select("name", F.when(shown, F.round(F.col("part") / F.nullif(F.col("whole"), F.lit(0)), 4)).alias("rate"))
 
 
 def primary_suppression(counts: DataFrame, least: int = 10) -> DataFrame:
@@ -118,7 +135,8 @@ def spend_by_outcome(requests: DataFrame) -> DataFrame:
 
 
 def five_number_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
-    five = rows.groupBy(by).agg(F.percentile(value, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
+    """Least value, quartiles and greatest value of each group that has values."""
+    five = percentiles(rows, [by], value, (0.0, 0.25, 0.5, 0.75, 1.0))
     return five.select(by, *[F.round(F.element_at("q", i + 1), 6).alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "most"))])
 
 
@@ -130,7 +148,7 @@ def cost_forecast(requests: DataFrame, days: int) -> DataFrame:
 
 def slo_status(requests: DataFrame, p95_limit: float = 3000.0, error_limit: float = 0.02, bands: tuple[float, float] = (0.15, 0.25)) -> DataFrame:
     """One row: worst p95 over paths, error rate and found-nothing share, each against its limit."""
-    worst = requests.groupBy("path").agg(F.percentile("latency_ms", 0.95).alias("p95")).agg(F.max("p95").alias("worst_p95"))
+    worst = percentiles(requests, ["path"], "latency_ms", (0.95,)).agg(F.max(F.element_at("q", 1)).alias("worst_p95"))
     rates = requests.agg((_ones(F.col("http_status") >= 400) / F.count("*")).alias("e"), (_ones((F.col("path") == AGENT) & (F.col("status") == "not_applicable")) / F.nullif(_ones(F.col("path") == AGENT), F.lit(0))).alias("f"))
     return rates.join(F.broadcast(worst)).select(
         F.round("worst_p95", 3).alias("worst_p95"), F.when(F.col("worst_p95") <= p95_limit, "ok").otherwise("breach").alias("latency_status"),

@@ -121,11 +121,18 @@ def hit_regression_gate(t: Tables) -> DataFrame:
     return E.hit_regression_gate(t("cases"), t("context"), t("fused_context"))
 
 
-@query("""
-    WITH s AS (SELECT p, sum(CASE WHEN substr(md5('7:' || p || ':' || query_id), 1, 1) < '8' THEN 1.0 ELSE -1.0 END * difference) AS s FROM {differences}, range(1, 10001) r(p) GROUP BY p),
-    f AS (SELECT count(*) AS n, avg(difference) AS mean, stddev_samp(difference) AS sd, sum(difference) AS total, max(abs(difference)) AS largest FROM {differences})
-    SELECT n, round(mean, 6) AS mean_difference, round(sd, 6) AS sd, round(mean / nullif(sd / sqrt(n), 0), 5) AS t,
-        round(CASE WHEN largest = 0 THEN 1.0 ELSE ((SELECT count(*) FROM s WHERE abs(s) >= abs(total) - 1e-12) + 1) / 10001 END, 6) AS p FROM f""")
+#: The two-sided tail of the normal distribution by its power series, whose double factorials come from the gamma function.
+_TAIL = """CASE WHEN x > 8 THEN 0.0 WHEN x = 0 THEN 1.0 ELSE greatest(1 - 2 * exp(-x * x / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(150), lambda k: exp((2 * k + 1) * ln(x) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))), 0) END"""
+
+
+@query(f"""
+    WITH digests AS (SELECT k, difference, md5('7:' || k || ':' || query_id) AS h FROM {{differences}}, range(79) r(k)),
+    s AS (SELECT k * 128 + i + 1 AS p, sum(CASE WHEN ((strpos('0123456789abcdef', substr(h, CAST(i // 4 + 1 AS BIGINT), 1)) - 1) >> (3 - i % 4)) & 1 = 1 THEN -difference ELSE difference END) AS s
+        FROM digests, range(128) b(i) GROUP BY ALL),
+    f AS (SELECT count(*) AS n, avg(difference) AS mean, stddev_samp(difference) AS sd, sum(difference) AS total, max(abs(difference)) AS largest FROM {{differences}}),
+    g AS (SELECT *, mean / nullif(sd / sqrt(n), 0) AS t, abs(mean / nullif(sd / sqrt(n), 0)) AS x FROM f)
+    SELECT n, round(mean, 6) AS mean_difference, round(sd, 6) AS sd, round(t, 5) AS t, round(CASE WHEN t IS NOT NULL THEN {_TAIL} END, 5) AS p_t,
+        round(CASE WHEN largest = 0 THEN 1.0 ELSE ((SELECT count(*) FROM s WHERE p <= 10000 AND abs(s) >= abs(total) - 1e-9) + 1) / 10001 END, 6) AS p FROM g""")
 def paired_tests(t: Tables) -> DataFrame:
     return E.paired_tests(t("differences"))
 

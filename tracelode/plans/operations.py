@@ -45,8 +45,11 @@ def request_outcomes(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT path, count(*) AS n, round(quantile_cont(latency_ms, 0.5), 1) AS p50, round(quantile_cont(latency_ms, 0.95), 1) AS p95, count(*) FILTER (error OR http_status >= 400) AS errors,
-        round(count(*) FILTER (status = 'supported') / nullif(count(status), 0), 4) AS hit_rate, round(sum(cost_usd), 6) AS cost_total, round(avg(cost_usd), 6) AS cost_per_ask
+    SELECT path, count(*) AS n, CASE WHEN count(latency_ms) >= 10 THEN round(quantile_cont(latency_ms, 0.5), 1) END AS p50, CASE WHEN count(latency_ms) >= 10 THEN round(quantile_cont(latency_ms, 0.95), 1) END AS p95,
+        count(*) FILTER (error OR http_status >= 400) AS errors, CASE WHEN count(*) >= 10 THEN round(count(*) FILTER (error OR http_status >= 400) / count(*), 4) END AS error_rate,
+        CASE WHEN count(status) >= 10 THEN round(count(*) FILTER (status = 'supported') / count(status), 4) END AS hit_rate,
+        CASE WHEN path = '/agent' AND count(*) >= 10 THEN round(count(*) FILTER (status = 'not_applicable') / count(*), 4) END AS found_nothing_rate,
+        CASE WHEN count(cost_usd) >= 10 THEN round(sum(cost_usd), 6) END AS cost_total, CASE WHEN count(cost_usd) >= 10 THEN round(avg(cost_usd), 6) END AS cost_per_ask
     FROM {requests} WHERE created_at >= TIMESTAMP '2024-01-08 00:00:00' AND path IN ('/ask', '/agent', '/ingest') GROUP BY path""")
 def stats_summary(t: Tables) -> DataFrame:
     return O.stats_summary(t("requests"), "2024-01-08 00:00:00", ("/ask", "/agent", "/ingest"))
@@ -74,6 +77,15 @@ def suppress_small_cells(t: Tables) -> DataFrame:
     return O.suppress_small_cells(t("nested_counts"), t("nested_groups"))
 
 
+@query()
+def published_rates(t: Tables) -> DataFrame:
+    """Error rate of each user and path, without those that small or hidden cells would disclose."""
+    failed = F.sum(F.when(F.col("http_status") >= 400, 1).otherwise(0))
+    name = F.concat(F.col("user_id").cast("string"), "path")
+    rates = t("requests").groupBy("user_id", "path").agg(failed.alias("part"), F.count("*").alias("whole")).select(name.alias("name"), "part", "whole", name.alias("cell"))
+    return O.published_rates(rates, O.suppress_small_cells(t("nested_counts"), t("nested_groups")))
+
+
 @query("SELECT date_trunc('day', created_at) AS bucket, count(*) AS n FROM {requests} GROUP BY ALL")
 def request_volume(t: Tables) -> DataFrame:
     return O.request_volume(t("requests"))

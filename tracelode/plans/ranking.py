@@ -53,8 +53,20 @@ def _knn(where: str = "TRUE", k: int = 15) -> str:
 
 @derived("candidates", _knn())
 def candidates(t: Tables) -> DataFrame:
-    found = R.knn_exact(t("questions"), R.valid_vectors(t("chunks"), 64), 15, "vec_id")
-    return written(found.join(t("chunks").select("chunk_id", "document_id", "chunk_index", "text"), "chunk_id"), "candidates")  # most queries read it several times
+    found = R.knn_exact(t("questions"), t("chunks"), 15, "vec_id")
+    place = {"document_id": F.expr("chunk_id div 1000000"), "chunk_index": F.col("chunk_id") % 1000000}  # as the ids of chunks are made
+    return written(found.withColumns(place), "candidates")  # most queries read it several times
+
+
+@derived("chunk_texts", "SELECT chunk_id, text FROM {chunks}")
+def chunk_texts(t: Tables) -> DataFrame:
+    return X.chunk_fixed(t("documents"), 800).select((F.col("doc_id") * 1000000 + F.col("chunk_index")).alias("chunk_id"), "text")
+
+
+@derived("pools", "SELECT * FROM {candidates}")
+def pools(t: Tables) -> DataFrame:
+    """Candidates with their texts, for what reads texts."""
+    return t("candidates").join(t("chunk_texts"), "chunk_id")
 
 
 _BM25 = """
@@ -80,7 +92,7 @@ source("idf", """
 
 @derived("lexical", _BM25)
 def lexical(t: Tables) -> DataFrame:
-    return written(R.bm25_topk(t("questions"), t("chunks"), 15), "lexical")
+    return written(R.bm25_topk(t("questions"), t("chunk_texts"), 15), "lexical")
 
 
 _FUSED = """
@@ -148,7 +160,7 @@ def similarity_matrix(t: Tables) -> DataFrame:
     r AS (SELECT query_id, chunk_id, round(dot / (qn.n * dn.n), 9) AS score FROM s JOIN qn USING (query_id) JOIN dn USING (chunk_id))
     SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM r) WHERE rank <= 5""")
 def bag_of_words_search(t: Tables) -> DataFrame:
-    return R.bag_of_words_search(t("questions"), t("chunks"), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return R.bag_of_words_search(t("questions"), t("chunk_texts"), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM {lexical}")
@@ -204,7 +216,7 @@ def context_sql(pool: str, key: str) -> str:
 
 @derived("context", context_sql("{candidates}", "round(distance, 12), document_id, chunk_index, chunk_id"))
 def context(t: Tables) -> DataFrame:
-    return R.select_context(t("candidates"))
+    return R.select_context(t("pools"))
 
 
 @query("SELECT query_id, chunk_id, document_id, tier, position FROM {context}")
@@ -245,7 +257,7 @@ def flags_sql(pool: str, by: str) -> str:
 
 @derived("flags", flags_sql("{candidates}", "query_id"))
 def flags(t: Tables) -> DataFrame:
-    return R.chunk_quality(t("candidates"))
+    return R.chunk_quality(t("pools"))
 
 
 @query("SELECT * FROM {flags}")
@@ -269,7 +281,7 @@ def document_quality(t: Tables) -> DataFrame:
         round(1 - count(DISTINCT text) / nullif(count(c.chunk_id), 0), 6) AS duplicate_density
     FROM {questions} q LEFT JOIN (SELECT *, lead(distance) OVER (PARTITION BY query_id ORDER BY rank) - distance AS gap FROM {candidates} WHERE distance <= 1.25) c ON c.query_id = q.query_id GROUP BY q.query_id""")
 def candidate_metrics(t: Tables) -> DataFrame:
-    return R.candidate_metrics(t("questions"), t("candidates").where("distance <= 1.25"))
+    return R.candidate_metrics(t("questions"), t("pools").where("distance <= 1.25"))
 
 
 source("chunk_pool", "SELECT *, document_id AS pool FROM {chunks}")
@@ -344,7 +356,7 @@ def first_relevant_rank(t: Tables) -> DataFrame:
 @query("""
     SELECT c.query_id, max(contains(lower(c.text), w.term)) AS relevant FROM {candidates} c JOIN {question_terms} w ON w.query_id = c.query_id GROUP BY c.query_id""")
 def keyword_relevance(t: Tables) -> DataFrame:
-    return R.keyword_relevance(t("candidates"), t("questions"))
+    return R.keyword_relevance(t("pools"), t("questions"))
 
 
 @query(f"""
