@@ -21,8 +21,10 @@ null ids are like others; extra columns are left behind; an empty table gives an
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,11 @@ from .text import chunks, tidy
 MOST_SENT = 1_000_000
 #: Token ids of A that are aligned at once.
 SLICE_TOKENS = 400_000
+#: Words, and characters in them, that a worker remembers before it begins anew; its memory does not grow with the input.
+MEMO, MEMO_CHARS = 200_000, 10_000_000
+#: A single space between two characters that no tokenizer takes for white space.
+_INK = re.compile("[^\\s\u180e]")
+_CUT = re.compile(f"(?<={_INK.pattern}) (?={_INK.pattern})")
 #: A text is joined by broadcast if more than one row in so many holds it.
 HOT_SHARE = 1_000
 
@@ -93,46 +100,128 @@ def _group_texts(a: Ends, b: Ends, name: list[str], base: int) -> tuple[list[str
     return ["".join(said[i:j])[:-1] for i, j in zip(first, first[1:])], np.diff(np.searchsorted(common, total, "right"))
 
 
+class Aligner:
+    """Aligns texts word by word, and remembers words: in a large text most are seen again.
+
+    A text is cut at each single space between two characters that are not white space.  Both tokenizers begin a token
+    there whatever stands around it: the pattern of A begins a match at such a space, and no piece of B has a space after another
+    character (``load`` of a model with such pieces is refused).  So ids, groups and links of a text are those of its words.
+    """
+
+    def __init__(self, used: Tokenizers):
+        self.a, self.b = tokens.byte_encoder(used.a), tokens.piece_encoder(used.model)
+        self.a_token, self.b_token = used.a.tokens, tokens.piece_bytes(used.model)
+        if any(b" " in t.lstrip(b" ") for t in self.b_token):
+            raise ValueError("pieces with a space after another character")
+        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_token, self.b_token))
+        self.name = [f"{i}{c}" for i in range(len(self.a_token)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.b_token)) for c in ",;"]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.text: list[str] = []
+        self.ids = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        self.count = [[np.zeros(0, np.int64)] for _ in range(5)]  # A and B tokens, groups, links, and whether both give back the word
+
+    def _a_ids(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of words, each after a space, and how many: words without white space at their ends are encoded together."""
+        plain = np.array([bool(_INK.match(w[0]) and _INK.match(w[-1])) for w in fresh])
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(fresh)
+        together = np.flatnonzero(plain)
+        if len(together):
+            ids = tokens.encode(self.a, " " + " ".join(fresh[i] for i in together), specials=False).astype(np.int64)
+            ends = np.cumsum([len(fresh[i].encode()) + 1 for i in together])
+            at = np.searchsorted(np.cumsum(self.a_size[ids]), ends) + 1
+            for i, p, q in zip(together.tolist(), [0, *at[:-1].tolist()], at.tolist()):
+                out[i] = ids[p:q]
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = tokens.encode(self.a, f" {fresh[i]}", specials=False).astype(np.int64)
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def learn(self, fresh: list[str]) -> None:
+        """Tokenise and align words that are not known yet."""
+        a_ids, n_a = self._a_ids(fresh)
+        b_lists = self.b.encode(fresh, num_threads=1)
+        same = np.array([b"".join(map(self.b_token.__getitem__, y)) == b" " + w.encode() for y, w in zip(b_lists, fresh)], bool)
+        for i in np.flatnonzero(~same).tolist():  # cannot be aligned; one token of each stands in
+            b_lists[i] = b_lists[i][:1] or [0]
+        n_b, b_ids = np.array([len(y) for y in b_lists], np.int64), np.array([i for y in b_lists for i in y], np.int64)
+        first_a, first_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
+        good = np.flatnonzero(same)
+        take = lambda ids, first: [ids[first[i] : first[i + 1]] for i in good.tolist()]
+        a, b = _laid_out(take(a_ids, first_a), self.a_size), _laid_out(take(b_ids, first_b), self.b_size)
+        said, groups = _group_texts(a, b, self.name, 2 * len(self.a_token))
+        n_groups, n_links, text = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), [""] * len(fresh)
+        n_groups[good], n_links[good] = groups, np.diff(linked(a, b)[2])
+        for i, t in zip(good.tolist(), said):
+            text[i] = t
+        self.known.update(zip(fresh, range(len(self.text), len(self.text) + len(fresh))))
+        self.text += text
+        self.chars += sum(map(len, fresh))
+        for held, new in zip((*self.ids, *self.count), (a_ids, b_ids, n_a, n_b, n_groups, n_links, same.astype(np.int64))):
+            held[:] = [np.concatenate([*held, new])]
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[list[np.ndarray]], list[str]]:
+        """Texts that both give back (their places), their counts (A, B, groups, links), ids of A and of B, and digests of their groups."""
+        parts = [_CUT.split(t) for t in texts]
+        flat = [w for p in parts for w in p]
+        if len(self.known) > MEMO or self.chars > MEMO_CHARS:
+            self.forget()
+        if fresh := [w for w in dict.fromkeys(flat) if w not in self.known]:
+            self.learn(fresh)
+        word = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        first = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+        n_a, n_b, n_groups, n_links, same = (c[0] for c in self.count)
+        keep = np.flatnonzero(np.minimum.reduceat(same[word], first[:-1])) if len(texts) else np.zeros(0, np.int64)
+        counts = [np.add.reduceat(c[word], first[:-1])[keep] if len(texts) else c[:0] for c in (n_a, n_b, n_groups, n_links)]
+        ids = []
+        for held, n in zip(self.ids, (n_a, n_b)):
+            start, size = np.cumsum(n) - n, n[word]
+            all_ = held[0][np.repeat(start[word] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            at = np.concatenate([[0], np.cumsum(size)])[first]
+            ids.append([all_[at[i] : at[i + 1]] for i in keep.tolist()])
+        code = word.tolist()
+        digest = [hashlib.sha256(";".join(map(self.text.__getitem__, code[first[i] : first[i + 1]])).encode()).hexdigest() for i in keep.tolist()]
+        return keep, counts, ids, digest
+
+
+@lru_cache(maxsize=1)
+def aligner(used: Tokenizers) -> Aligner:
+    """One for each worker, which keeps its words for later tasks."""
+    return Aligner(used)
+
+
 def code(texts: DataFrame, used: Tokenizers) -> DataFrame:
-    """Token ids (little-endian, 32 bits), group text's digest and counts of each (digest, m, text); texts without tokens are left out."""
+    """Token ids (little-endian, 16 or 32 bits), group text's digest and counts of each (digest, m, text); texts without tokens are left out."""
     sent = texts.sparkSession.sparkContext.broadcast(used)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_coder, b_coder = tokens.byte_encoder(sent.value.a), tokens.piece_encoder(sent.value.model)
-        a_token, b_token = sent.value.a.tokens, tokens.piece_bytes(sent.value.model)
-        a_size, b_size = (np.array([len(t) for t in x], np.int64) for x in (a_token, b_token))
-        name = [f"{i}{c}" for i in range(len(a_token)) for c in ",|"] + [f"{i}{c}" for i in range(len(b_token)) for c in ",;"]
+        mine = aligner(sent.value)
         for batch in tidy(batches):
             for part in chunks(batch, 2):
-                a_ids, b_ids, keep = [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    said = f" {text}"
-                    x, y = tokens.encode(a_coder, said, specials=False), b_coder.encode(text, num_threads=1)
-                    if b"".join(map(a_token.__getitem__, x.tolist())) == (raw := said.encode()) == b"".join(map(b_token.__getitem__, y)):
-                        keep.append(i)
-                        a_ids.append(x)
-                        b_ids.append(np.array(y, np.int64))
-                a, b = _laid_out(a_ids, a_size), _laid_out(b_ids, b_size)
-                groups, n_groups = _group_texts(a, b, name, 2 * len(a_token))
-                stay = part.take(pa.array(keep, pa.int64()))
+                keep, counts, ids, digest = mine.align(part.column("text").to_pylist())
+                stay = part.take(pa.array(keep))
+                packed = [pa.array([x.astype(t).tobytes() for x in side], pa.binary()) for side, t in zip(ids, _id_types(mine.a_size, mine.b_size))]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        stay.column("digest"), stay.column("m"), pa.array(np.diff(a.first)), pa.array(np.diff(b.first)), pa.array(n_groups.astype(np.int64)), pa.array(np.diff(linked(a, b)[2]).astype(np.int64)),
-                        pa.array([hashlib.sha256(g.encode()).hexdigest() for g in groups], pa.string()), pa.array([x.astype("<u4").tobytes() for x in a_ids], pa.binary()), pa.array([x.astype("<u4").tobytes() for x in b_ids], pa.binary()),
-                    ],
+                    [stay.column("digest"), stay.column("m"), *(pa.array(c) for c in counts), pa.array(digest, pa.string()), *packed],
                     ["digest", "m", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b"],
                 )
 
     return bounded_batches(texts).select("digest", "m", "text").mapInArrow(align, _CODED)
 
 
+def _id_types(a_size: np.ndarray, b_size: np.ndarray) -> tuple[str, str]:
+    return tuple("<u2" if len(x) <= 1 << 16 else "<u4" for x in (a_size, b_size))
+
+
 def _slices(batch: pa.RecordBatch, a_size: np.ndarray, b_size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows i to j of coded texts, with the (A id, B id) of each link as one number, and where each text's links begin."""
     n = np.asarray(batch.column("n_a"))
     at, i = np.concatenate([[0], np.cumsum(n)]), 0
     while i < len(n):
         j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE_TOKENS, "right")) - 1)
-        a, b = (_laid_out([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(c).slice(i, j - i)], size) for c, size in (("a", a_size), ("b", b_size)))
+        a, b = (_laid_out([np.frombuffer(x.as_buffer(), t) for x in batch.column(c).slice(i, j - i)], size) for c, size, t in zip("ab", (a_size, b_size), _id_types(a_size, b_size)))
         x, y, first = linked(a, b)
         yield i, j, a.ids[x] * len(b_size) + b.ids[y], first
         i = j
