@@ -1,6 +1,7 @@
 """Properties and small examples of operators that SQL cannot express, and of edge cases."""
 
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -56,6 +57,27 @@ def test_visible_text_drops_what_is_hidden(spark):
     assert row[0].visible == "T\nyes bold" and row[0].raw_text == "T\nno\nno\nc\nyes bold" and row[0].dropped_hidden == 4 and row[0].dropped_comment == 3 and row[1].visible == ""
 
 
+HOSTILE = ("<a '", '<a "', "<a b='", "</script", "<script>", "<script </script", "<!--", "<!", "<x1", "<b><i>", "<b></i>", "</b", "a=", "<a b= ", "<p hidden>", "<a\"'", "&", "<style>a</style")
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_hostile_pages_cost_their_length(part):
+    start = time.process_time()
+    text.visible_text(part * (1_000_000 // len(part)))
+    text.visible_text("".join(f"<t{i}></t{i}>" for i in range(60_000)))
+    assert time.process_time() - start < 20  # a page that took the square of its length would take hours
+
+
+def test_unclosed_tags_and_quotes_end_with_the_page():
+    assert text.visible_text("<p>one</p><a title='x>two <b>three")[0] == "one" and text.visible_text("a <script>b")[0] == "a" and text.visible_text("a <!-- b")[0] == "a"
+    assert text.visible_text("a<script-x>b</script-x>c")[0] == "abc" and text.visible_text("1 < 2 <3")[0] == "1 < 2 <3"
+
+
+def test_visible_text_is_normal_and_without_invisible_characters():
+    visible, raw, dropped = text.visible_text("<p>ig\u200bnore \uff21BC</p><div hidden>   </div><i title=' '>x</i>")
+    assert visible == "ignore ABC\nx" and "\u200b" in raw and {k: n for k, n in dropped.items() if n} == {"invisible": 1}
+
+
 def test_normalise_text(spark):
     row = text.normalise_text(spark.createDataFrame([("ﬁne​  STRASSE ß",)], "text string")).first()
     assert row.normal == "fine STRASSE ß" and row.squashed == "fine strasse ss"
