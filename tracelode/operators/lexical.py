@@ -26,6 +26,8 @@ from ..sources.store import written
 SHARD, RUN, QUERY_BLOCK = 10_000, 8, 2_000
 #: Words whose presence sorts a shard's chunks, and shards of which one is searched first.
 FREQUENT, PILOT = 24, 16
+#: Runs are scored in this many steps at most, with a new k-th score after each.
+STEPS = 64
 #: Up to this many bytes of packed queries are broadcast; more meet the shards block by block.
 BROADCAST_BYTES = 64 << 20
 _SHARD = "keys binary, length binary, terms array<string>, first binary, chunk binary, tf binary"
@@ -142,8 +144,8 @@ class Shard:
         self.runs_of = np.searchsorted(begins, self.first)
         self.n_runs = -(-len(self.keys) // RUN)
 
-    def top(self, term: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """Places and scores of chunks among which are the k best that share a term; postings scored, and postings of the terms.
+    def top(self, term: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the chunks that were scored, among which are the k best that share a term.
 
         Runs are scored in the order of their bounds, until the next bound is below ``least`` (a score that k chunks of the
         whole table are known to reach) or below the k-th score so far.
@@ -155,7 +157,7 @@ class Shard:
         seen[self.run[parts]] = True
         order = np.flatnonzero(seen & (bound >= least))
         order = order[np.argsort(-bound[order], kind="stable")]
-        score, has, work, step = np.zeros(len(self.keys)), np.zeros(len(self.keys), bool), 0, max(1, -(-k // RUN))
+        score, has, step = np.zeros(len(self.keys)), np.zeros(len(self.keys), bool), max(-(-k // RUN), self.n_runs // STEPS)
         while len(order):
             chosen = np.zeros(self.n_runs, bool)
             chosen[order[:step]] = True
@@ -165,14 +167,13 @@ class Shard:
             at = _ranges(self.part[p], self.part[p + 1])
             np.add.at(score, self.chunk[at], np.repeat(weight[by[mine]], size) * self.impact[at])
             has[self.chunk[at]] = True
-            work += len(at)
-            order, step = order[step:], 2 * step
+            order = order[step:]
             found = score[has]
             if len(found) >= k:
                 least = max(least, _below(np.partition(found, len(found) - k)[len(found) - k]))
                 order = order[bound[order] >= least]
         places = np.flatnonzero(has)
-        return places, score[places], work, int((self.first[term + 1] - self.first[term]).sum())
+        return places, score[places]
 
 
 def _below(score: float) -> float:
@@ -181,9 +182,9 @@ def _below(score: float) -> float:
 
 
 def search(shards: DataFrame, weights: DataFrame, k: int, impact: Impact) -> DataFrame:
-    """(query_id, chunk_id, score, shard, scored, postings): each shard's k best chunks of each query, ties by id; weaker ones than k others may miss.
+    """(query_id, chunk_id, score, shard, scored, chunks): each shard's k best chunks of each query, ties by id; weaker ones than k others may miss.
 
-    ``scored`` is how many of the query's ``postings`` in the ``shard`` (named by its first chunk) were scored.
+    ``scored`` is how many of the ``chunks`` of the ``shard`` (named by its first one) were scored for the query.
     ``weights`` is (query_id, term, weight); chunks that share no term with a query are not returned.
     """
     weights = written(weights, "weights")
@@ -214,11 +215,11 @@ def _searched(shards: DataFrame, weights: DataFrame, least: DataFrame | None, k:
                 out = [[], [], [], [], [], []]
                 for q, i, j, bound in zip(ids.tolist(), first.tolist(), first[1:].tolist(), low.tolist()):
                     here = np.flatnonzero(place[i:j] >= 0) + i
-                    places, score, scored, all_ = shard.top(place[here], weight[here], k, bound)
+                    places, score = shard.top(place[here], weight[here], k, bound)
                     keep = np.lexsort((shard.keys[places], -np.round(score, 9)))[:k]
-                    for column, x in zip(out, (np.full(len(keep), q), shard.keys[places[keep]], np.round(score[keep], 9), *(np.full(len(keep), y) for y in (shard.keys[0], scored, all_)))):
+                    for column, x in zip(out, (np.full(len(keep), q), shard.keys[places[keep]], np.round(score[keep], 9), *(np.full(len(keep), y) for y in (shard.keys[0], len(places), len(shard.keys))))):
                         column.append(x)
                 made = [np.concatenate([*c, np.zeros(0, t)]).astype(t) for c, t in zip(out, (np.int64, np.int64, np.float64, np.int64, np.int64, np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["query_id", "chunk_id", "score", "shard", "scored", "postings"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["query_id", "chunk_id", "score", "shard", "scored", "chunks"])
 
-    return shards.crossJoin(blocks).mapInArrow(best, "query_id long, chunk_id long, score double, shard long, scored long, postings long")
+    return shards.crossJoin(blocks).mapInArrow(best, "query_id long, chunk_id long, score double, shard long, scored long, chunks long")

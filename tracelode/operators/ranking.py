@@ -224,10 +224,10 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 15, k1: float = 1.
 
 
 def lexical_work(queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
-    """(postings, scored): postings of all queries' words that BM25 search could have scored, and how many it did."""
+    """(pairs, scored): pairs of a query and a chunk in shards that had one of its best, and how many of them were scored."""
     shards, weights, impact, _ = _bm25(queries, chunks, 1.5, 0.75, 0.25)
-    found = lexical.search(shards, weights, k, impact).groupBy("query_id", "shard").agg(F.first("scored").alias("scored"), F.first("postings").alias("postings"))
-    return found.agg(F.sum("postings").alias("postings"), F.sum("scored").alias("scored"))
+    found = lexical.search(shards, weights, k, impact).groupBy("query_id", "shard").agg(F.first("scored").alias("scored"), F.first("chunks").alias("chunks"))
+    return found.agg(F.sum("chunks").alias("pairs"), F.sum("scored").alias("scored"))
 
 
 def rrf_fuse(dense: DataFrame, lexical: DataFrame, constant: int = FUSION) -> DataFrame:
