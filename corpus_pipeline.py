@@ -25,22 +25,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("_toxicity < 0.5").select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``_row``, a hash of id and text, so that rows are told apart whatever ids repeat or are null."""
+    return docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("_row"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the smallest id.
 
-    Rows that repeat an id count as one document; the row with the smallest text stays.  Rows with a null id stay.
+    Rows are documents of their own even if they share an id or have none (null ids come last); of rows that repeat both id
+    and text one stays.
     """
-    found = neardup.groups(docs, percent=80, size=5)
-    gone = written(found.where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
-    stay = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    one = stay.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return one.union(stay.where("doc_id IS NULL")).select(*COLUMNS)
+    keyed = _keyed(docs)
+    found = neardup.groups(keyed.select(F.col("_row").alias("doc_id"), "text"), percent=80, size=5)
+    found = written(found.select(F.col("doc_id").alias("_row"), "component_id").distinct(), "groups")
+    ids = keyed.groupBy("_row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    met = written(found.join(ids, "_row"), "group-ids")
+    best = met.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("best"), F.count("*").alias("members"))
+    gone = met.join(best.where("members > 1"), "component_id").where("_row <> best._row").select("_row")
+    marks = written(gone.withColumn("repeated", F.lit(False)).union(met.where("n > 1").join(gone, "_row", "left_anti").select("_row", F.lit(True))), "near-copies")
+    alone = keyed.join(marks.select("_row"), "_row", "left_anti")
+    repeated = keyed.join(marks.where("repeated").select("_row"), "_row", "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.select(*COLUMNS).union(repeated.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item.  Rows are told apart by id and text, so that a null id hides none."""
+    """Documents that overlap with no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("_row"))
+    keyed = _keyed(docs)
     found = decontaminate.contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark)
     found = written(found.select(F.col("doc_id").alias("_row")), "contaminated")
     return keyed.join(found, "_row", "left_anti").select(*COLUMNS)
