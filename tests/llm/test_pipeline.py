@@ -54,6 +54,18 @@ def test_awkward_rows_pass_every_stage(spark, sf_dir):
     assert docs.count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, sf_dir):
+    long = [" ".join(f"w{i}x{k}" for i in range(60)) for k in range(4)]
+    near = long[0].replace("w59x0", "other")
+    rows = [(7, long[0]), (7, long[1]), (7, long[1]), (3, near), (None, long[2]), (None, long[3]), (None, long[1] + " end"), (9, None), (9, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stay = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert stay.columns == list(corpus_pipeline.COLUMNS)
+    want = [(3, near), (7, long[1]), (9, None), (9, ""), (None, None), (None, long[2]), (None, long[3])]
+    assert sorted(((r.doc_id, r.text) for r in stay.collect()), key=str) == sorted(want, key=str)
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, sf_dir).collect()} == set(rows)
+
+
 def test_leaks_without_an_id_are_dropped_alone(spark, sf_dir):
     mark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
     rows = [(None, mark), (None, "a clean text without id"), (1, mark), (1, "a clean text with the same id"), (2, None)]

@@ -16,10 +16,10 @@ broadcast and is one pass over the documents, so its size never bounds memory.
 consecutive places are kept as one run, and runs meet as intervals of diagonals, so that a repeated
 word does not multiply; pairs of runs and cells of diagonals are handled in pieces of fixed size.
 
-Defined results: null and empty texts and items overlap with nothing; items below ``LEAST_ITEM`` words,
-which no mask fits, are not searched for (they are too short to tell a leak from common speech), and
-items from there to ``MIN_WORDS`` words must be met whole; a repeated document row gives repeated
-overlaps; extra columns are left behind.
+Defined results: null and empty texts and items overlap with nothing; items below ``MIN_WORDS`` words must
+be met whole, and those below ``LEAST_ITEM`` words, which no mask fits, are hashed whole and looked up among
+the texts' windows of their length; a repeated document row gives repeated overlaps; ``contaminated`` puts all rows
+of an id together, those with a null id too; extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -55,6 +55,7 @@ class Block:
     at: np.ndarray  # flat word position where each seed's run begins
     run: np.ndarray  # at how many consecutive places the seed stands
     small: np.ndarray  # a packed bitmap by the low bits of the seeds, which spares most look-ups
+    whole: tuple[str, ...]  # masks of the lengths of items that are shorter than all MASKS
 
     def may_hold(self, seeds: np.ndarray) -> np.ndarray:
         bit = seeds & np.uint64(8 * len(self.small) - 1)
@@ -85,15 +86,24 @@ def _runs(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.n
     return seeds[start], at[start], np.diff(np.append(start, len(seeds)))
 
 
+def _whole(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of the items that are just as long as the mask, in the form of ``_runs``."""
+    seeds, at = _seeds(h, first, mask)
+    mine = np.isin(at, first[:-1][np.diff(first) == len(mask)])
+    return seeds[mine], at[mine], np.ones(int(mine.sum()), np.int64)
+
+
 def _block(ids: np.ndarray, texts: pa.Array) -> Block:
     w = split(texts, space=NOT_ALNUM)
     h = w.hashes()
-    seeds, at, run = (np.concatenate(c) for c in zip(*(_runs(h, w.first, m) for m in MASKS)))
+    size = np.diff(w.first)
+    whole = tuple("1" * n for n in np.unique(size[(size > 0) & (size < LEAST_ITEM)]).tolist())
+    seeds, at, run = (np.concatenate(c) for c in zip(*(_runs(h, w.first, m) for m in MASKS), *(_whole(h, w.first, m) for m in whole)))
     order = np.argsort(seeds, kind="stable")
     bits = max(16, int(np.ceil(np.log2(max(1, len(seeds)) * 16))))
     small = np.zeros(1 << bits, bool)
     small[(seeds & np.uint64(len(small) - 1)).astype(np.int64)] = True
-    return Block(ids, w.first, h, seeds[order], at[order].astype(np.int32), run[order].astype(np.int32), np.packbits(small, bitorder="little"))
+    return Block(ids, w.first, h, seeds[order], at[order].astype(np.int32), run[order].astype(np.int32), np.packbits(small, bitorder="little"), whole)
 
 
 def _overlap(text: np.ndarray, item: np.ndarray, shifts: np.ndarray, beat: int) -> tuple[int, int, int] | None:
@@ -119,7 +129,7 @@ def _overlap(text: np.ndarray, item: np.ndarray, shifts: np.ndarray, beat: int)
     np.cumsum(same, axis=1, out=count[:, 1:])
     balance = 100 * count - round(100 * MIN_SHARE) * column
     nearest = np.full((rows, width), 2 * width)  # the least end of the hits from each place on
-    for mask in MASKS:
+    for mask in MASKS if len(item) >= LEAST_ITEM else ("1" * len(item),):
         if (fits := width - len(mask) + 1) > 0:
             hit = np.ones((rows, fits), bool)
             for k, one in enumerate(mask):
@@ -186,7 +196,7 @@ def _distinct(pair: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _diagonals(h: np.ndarray, first: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text * items + item, shift) with a hit, sorted."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for mask in MASKS:
+    for mask in (*MASKS, *block.whole):
         seeds, at, run = _runs(h, first, mask)
         near = block.may_hold(seeds)
         seeds, at, run = seeds[near], at[near], run[near]
