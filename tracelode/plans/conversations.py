@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ _PLANTED = (
     ("", "", ". Once the office confirms it, you are booked. I cannot say it is reserved."), ("", "", ". password: hunter22"), (" Is there a deposit?", "", ". Contact the leasing office."), (" What is the square footage?", "", ". It is large."), ("", "", ". It has a dishwasher, balconies and a hot tub."),
     ("", " Office: Wed.", ". We are not open on Sunday. The office is open Tuesdays thru Thursday."), ("", "\nBirch 2br, en-suite\nCedar studio, hallway\nOak 1br", ". Birch is not connected to it. Cedar is en-suite. Oak is en-suite. Birch and Cedar have separate baths."),
     (" Is there parking?", "", ". Parking isn't listed."), ("", "", ". I've just sent you the lease."), ("", "", ""),
+    ("", " Rent is $1,200.", ". Rent is $1,200 (deposit $900). The [form](https://bad.example/form) and https://bad.example/x, is here. More [info](https://good.example/i)."), ("", " Gym; hours Mon-Fri. See https://good.example/i", ". See https://bad.example/x for the gym. We are open Sunday. I have booked your tour. https://bad.example/only"),
 )
 
 
@@ -146,7 +150,7 @@ source("limits", rf"""
     SELECT *, CASE WHEN cash <> '' OR lim >= 500 THEN lim END AS budget, regexp_matches(regexp_replace(said, '{_dq(G.NOT_APPROVED)}', ' ', 'g'), '{G.APPROVAL}') AS approves, regexp_matches(said, '{_dq(G.REJECTION)}') AS rejects FROM (
         SELECT trace_id, lower(response) AS said, lower(evidence) AS known, lower(user_text) AS asked, list_transform({_SENTENCES.replace('{t}', 'response')}, lambda v: lower(v)) AS s,
             TRY_CAST(coalesce(nullif(regexp_extract(lower(evidence), '{G.MOST_PETS}', 1), ''), regexp_extract(lower(evidence), '{G.MOST_PETS}', 2)) AS BIGINT) AS most, TRY_CAST(regexp_extract(lower(evidence), '{G.DOG_UNDER}', 1) AS BIGINT) AS cap,
-            coalesce(list_sum(list_transform(regexp_extract_all(lower(user_text), '{G.PET_COUNT}', 1), lambda n: coalesce(TRY_CAST(n AS BIGINT), {_list(G.NUMBER_OF_WORD)}[list_position({_list(G.NUMBER_WORDS)}, n)]))), 0) AS n_pets,
+            coalesce(list_sum(list_transform(regexp_extract_all(lower(user_text), '{G.PET_COUNT}', 1), lambda n: coalesce(TRY_CAST(n AS BIGINT), {_list(G.NUMBER_WORDS.values())}[list_position({_list(G.NUMBER_WORDS)}, n)]))), 0) AS n_pets,
             list_max(list_transform(regexp_extract_all(lower(user_text), '{G.WEIGHT}', 1), lambda n: CAST(n AS BIGINT))) AS heaviest,
             regexp_extract(lower(user_text), '{G.BUDGET}', 1) AS cash, TRY_CAST(replace(regexp_extract(lower(user_text), '{G.BUDGET}', 2), ',', '') AS BIGINT) AS lim FROM {{replies}})""")
 source("broken_limits", rf"""
@@ -161,10 +165,16 @@ def policy_limit_check(t: Tables) -> DataFrame:
     return G.policy_limit_check(t("replies"))
 
 
+def _claimed(x: str, action: str) -> str:
+    """SQL: does the sentence ``x`` claim the action?"""
+    claim = _dq(G.claim_pattern(action))
+    before = f"regexp_extract({x}, '(?is)^(.*?)(?:{claim})', 1)"
+    return f"(regexp_matches({x}, '(?i){claim}') AND NOT regexp_matches(right({before}, 40) || regexp_extract({x}, '(?i){claim}', 0), '{_dq(G.DENIAL)}') AND NOT regexp_matches({before}, '{G.CONDITIONAL}'))"
+
+
 def _claims(action: str) -> str:
-    claim, (_, tool, verbs) = _dq(G.claim_pattern(action)), G.ACTIONS[action]
-    before = f"regexp_extract(x, '(?is)^(.*?)(?:{claim})', 1)"
-    said = f"list_filter({_SENTENCES.replace('{t}', 'response')}, lambda x: regexp_matches(x, '(?i){claim}') AND NOT regexp_matches(right({before}, 40) || regexp_extract(x, '(?i){claim}', 0), '{_dq(G.DENIAL)}') AND NOT regexp_matches({before}, '{G.CONDITIONAL}'))"
+    _, tool, verbs = G.ACTIONS[action]
+    said = f"list_filter({_SENTENCES.replace('{t}', 'response')}, lambda x: {_claimed('x', action)})"
     return f"""SELECT trace_id, '{action}' AS action, CASE WHEN regexp_matches(evidence, '(?i){_dq(G.FORBIDDEN)}(?:{verbs})') THEN 'forbidden' WHEN trace_id NOT IN (SELECT trace_id FROM {{calls}} WHERE ok AND regexp_matches(tool, '(?i){tool}')) THEN 'not done' END AS problem
         FROM {{replies}} WHERE len({said}) > 0"""
 
@@ -180,9 +190,22 @@ def action_claim_check(t: Tables) -> DataFrame:
 _SAID = {
     "quantities": "claim FROM {bad_quantities}", "urls": "url FROM {bad_urls}", "days": "CAST(day AS VARCHAR) FROM {bad_days}", "terms": "term FROM {bad_terms}", "attributes": "entity || '=' || said || '=' || known FROM {bad_attributes}",
     "credentials": "'found' FROM {disclosed}", "gaps": "attribute FROM {gaps}", "limits": "problem FROM {broken_limits}", "actions": "action || '=' || problem FROM {bad_actions}",
+    "marks": "m FROM {bad_marks}",
 }
 
 
+#: A check in Python: marks in brackets that name no passage; on a mark that is no number it raises.
+source("marks", r"SELECT trace_id, unnest(regexp_extract_all(response, '\[([^\[\]]*)\]', 1)) AS m FROM {replies}")
+source("bad_marks", """
+    SELECT trace_id, 'CHECK_ERROR: ValueError' AS m FROM {marks} WHERE NOT regexp_full_match(m, '[0-9]{1,9}')
+    UNION SELECT trace_id, CAST(CAST(m AS BIGINT) AS VARCHAR) FROM {marks} x WHERE CAST(coalesce(TRY_CAST(m AS BIGINT), 0) AS BIGINT) > 3 AND NOT EXISTS (SELECT 1 FROM {marks} y WHERE y.trace_id = x.trace_id AND NOT regexp_full_match(y.m, '[0-9]{1,9}'))""")
+
+
+def _unknown_marks(row: Mapping[str, object]) -> list[str]:
+    numbers = [int(m) for m in re.findall(r"\[([^\[\]]*)\]", str(row["response"]))]
+    return [str(n) for n in numbers if n > 3]
+
+
 @query(f"""
     SELECT r.trace_id, k AS check_name, b.reason IS NULL AS pass, b.reason FROM {{replies}} r CROSS JOIN (SELECT unnest({_list(_SAID)}) AS k) x LEFT JOIN (
         SELECT trace_id, k, left(array_to_string(list_slice(list(s ORDER BY s), 1, 3), '; '), 500) AS reason FROM (SELECT DISTINCT * FROM ({' UNION ALL '.join(f"SELECT trace_id, '{k}' AS k, {v.replace(' FROM', ' AS s FROM')}" for k, v in _SAID.items())})) GROUP BY trace_id, k) b
@@ -192,28 +215,63 @@ def run_checks(t: Tables) -> DataFrame:
     return G.run_checks(r, {
         "quantities": G.ungrounded_quantities(r), "urls": G.ungrounded_urls(r), "days": G.ungrounded_days(r), "terms": G.ungrounded_terms(r), "attributes": G.attribute_contradiction(r),
         "credentials": G.credential_disclosure(r), "gaps": G.unacknowledged_gap(r), "limits": G.policy_limit_check(r), "actions": G.action_claim_check(r, t("calls")),
-    })
-
-
-source("sentence_quantities", _quantities("response", "{reply_sentences}"))
-source("grounded", rf"""
-    SELECT r.trace_id, CASE WHEN regexp_matches(r.response, '{_dq(G.SECRET)}') THEN '{G.REFUSAL}' WHEN coalesce(k.kept, '') = '' THEN '{G.HAND_OFF}' ELSE k.kept END AS grounded, k.whole FROM {{replies}} r LEFT JOIN (
-        SELECT t, string_agg(response, ' ' ORDER BY n) AS whole, string_agg(response, ' ' ORDER BY n) FILTER (NOT bad) AS kept FROM (SELECT s.*, 
-            EXISTS (SELECT 1 FROM {{sentence_quantities}} q WHERE q.trace_id = s.trace_id AND CASE WHEN q.unit = '' THEN NOT EXISTS (SELECT 1 FROM {{known_quantities}} k WHERE k.trace_id = s.t AND k.value = q.value) ELSE NOT EXISTS (SELECT 1 FROM {{known_quantities}} k WHERE k.trace_id = s.t AND k.value = q.value AND k.unit = q.unit) END)
-            OR (NOT regexp_matches(s.response, '{_dq(G.DENIAL)}') AND EXISTS (SELECT 1 FROM {{bad_terms}} b WHERE b.trace_id = s.t AND regexp_matches(lower(s.response), '\b' || b.term || '\b')))
-            OR EXISTS (SELECT 1 FROM {{bad_urls}} u WHERE u.trace_id = s.t AND contains(lower(s.response), u.url)) AS bad FROM {{reply_sentences}} s) GROUP BY t) k ON k.t = r.trace_id""")
-
-
-@query(f"SELECT trace_id, grounded, grounded <> coalesce(whole, '') AS changed, grounded IN ('{G.REFUSAL}', '{G.HAND_OFF}') AS fallback FROM {{grounded}}")
+    }, {"marks": _unknown_marks})
+
+
+source("known_links", f"SELECT trace_id, list(url) AS urls FROM ({_URLS.replace('{c}', 'evidence')}) GROUP BY trace_id")
+_BAD_LINKS = f"list_filter(list_distinct(list_transform(regexp_extract_all(response, '{_dq(G.URL)}'), lambda u: regexp_replace(u, '[.,;:!?]+$', ''))), lambda u: NOT list_contains(coalesce(urls, []), regexp_replace(lower(u), '[.,;:!?/]+$', '')))"
+source("edited", rf"""
+    SELECT *, regexp_replace(s, '\s*\([^)]*\)', '', 'g') AS cut FROM (
+        SELECT e.trace_id, t, n, response AS original, trim(list_reduce(list_transform(list_reverse_sort(list_transform({_BAD_LINKS}, lambda u: {{'l': length(u), 'u': u}})), lambda x: x.u),
+            lambda s, u: regexp_replace(s, '{G._LINK}(?:\[[^\]]*\]\(\Q' || u || '\E\)|\Q' || u || '\E)', '', 'g'), response)) AS s
+        FROM {{reply_sentences}} e LEFT JOIN {{known_links}} k ON k.trace_id = e.t)""")
+source("edited_texts", "SELECT trace_id, s AS x FROM {edited}")
+source("cut_texts", "SELECT trace_id, cut AS x FROM {edited}")
+source("edited_days", _DAYS_OF.replace("{from}", "{edited_texts}"))
+source("cut_days", _DAYS_OF.replace("{from}", "{cut_texts}"))
+source("known_days", _DAYS_OF.replace("{from}", "{hours_known}"))
+source("edited_quantities", _quantities("s", "{edited}"))
+source("cut_quantities", _quantities("cut", "{edited}"))
+
+
+def _unsupported(x: str, name: str) -> str:
+    return rf"""(EXISTS (SELECT 1 FROM {{{name}_quantities}} q WHERE q.trace_id = e.trace_id AND NOT EXISTS (SELECT 1 FROM {{known_quantities}} k WHERE k.trace_id = e.t AND k.value = q.value AND q.unit IN ('', k.unit)))
+        OR (NOT regexp_matches({x}, '{_dq(G.DENIAL)}') AND EXISTS (SELECT 1 FROM {{bad_terms}} b WHERE b.trace_id = e.t AND regexp_matches(lower({x}), '\b' || b.term || '\b')))
+        OR (regexp_matches({x}, '{_dq(G.HOURS_CUE)}') AND NOT regexp_matches({x}, '{_dq(G.DENIAL)}') AND EXISTS (SELECT 1 FROM {{{name}_days}} d WHERE d.trace_id = e.trace_id AND NOT EXISTS (SELECT 1 FROM {{known_days}} k WHERE k.trace_id = e.t AND k.day = d.day))))"""
+
+
+_UNDONE = " OR ".join(f"({_claimed('s', a)} AND EXISTS (SELECT 1 FROM {{bad_actions}} b WHERE b.trace_id = e.t AND b.action = '{a}'))" for a in G.ACTIONS)
+_ABOUT_PETS = rf"regexp_matches(lower(s), '\b{_dq(G.PET)}\b|{_dq(G.APPROVAL)}|{_dq(G.SOFTENER)}')"
+_PRICED = rf"len(list_filter(regexp_extract_all(lower(text), '[$]\s*([0-9][0-9,]*)', 1), lambda p: CAST(replace(p, ',', '') AS BIGINT) > budget)) > 0 AND NOT regexp_matches(lower(text), '{_dq(G.PRICE_FLAGGED)}')"
+source("broken_policies", f"SELECT DISTINCT trace_id FROM {{broken_limits}} WHERE problem IN ({', '.join(map(repr, G.PET_PROBLEMS))})")
+source("judged", rf"""
+    SELECT *, CASE WHEN undone THEN 'action' WHEN broken AND about_pets THEN 'pets' WHEN wrong AND still THEN 'claim' WHEN {_PRICED} THEN 'budget' WHEN NOT regexp_matches(text, '[\p{{L}}\p{{N}}]') THEN 'empty' END AS why FROM (
+        SELECT *, CASE WHEN wrong AND NOT still THEN cut ELSE s END AS text FROM (
+            SELECT e.*, l.budget, {_UNDONE} AS undone, e.t IN (SELECT trace_id FROM {{broken_policies}}) AS broken, {_ABOUT_PETS} AS about_pets, {_unsupported('s', 'edited')} AS wrong, {_unsupported('cut', 'cut')} AS still
+            FROM {{edited}} e JOIN (SELECT trace_id, budget FROM {{limits}}) l ON l.trace_id = e.t))""")
+source("tool_results", "SELECT c.trace_id, c.seq, r.result || ' of ' || c.source_id AS result FROM {calls} c JOIN {call_results} r ON r.call_id = c.call_id WHERE c.ok")
+source("gated", f"""
+    SELECT trace_id, response, secret, acts, n_left, array_to_string(list_filter([nullif(kept, ''), CASE WHEN broken THEN 'Our policy: ' || concat_ws(', ', 'at most ' || most || ' pets', 'dogs under ' || cap || ' lbs') || '.' END,
+            CASE WHEN claim AND NOT broken THEN CASE WHEN len(fresh) > 0 THEN '{G.EVIDENCE}' || regexp_replace(array_to_string(fresh, '; '), '[.]+$', '') || '.' ELSE '{G.HEDGE}' END END, CASE WHEN action THEN '{G.HAND_OFF}' END], lambda x: x IS NOT NULL), ' ') AS ended FROM (
+        SELECT r.trace_id, r.response, regexp_matches(r.response, '{_dq(G.SECRET)}') AS secret, r.trace_id IN (SELECT trace_id FROM {{broken_policies}}) AS broken, l.most, l.cap, coalesce(j.kept, '') AS kept, coalesce(j.action, FALSE) AS action, coalesce(j.claim, FALSE) AS claim,
+            coalesce(j.n_left, 0) AS n_left, coalesce(j.edited, FALSE) OR r.trace_id IN (SELECT trace_id FROM {{broken_policies}}) AS acts, list_filter(coalesce(o.told, []), lambda x: NOT contains(coalesce(j.kept, ''), x)) AS fresh
+        FROM {{replies}} r JOIN {{limits}} l ON l.trace_id = r.trace_id
+        LEFT JOIN (SELECT t, string_agg(text, ' ' ORDER BY n) FILTER (why IS NULL) AS kept, count(*) FILTER (why IS NULL) AS n_left, bool_or(why IS NOT NULL AND why = 'action') AS action, bool_or(why IS NOT NULL AND why = 'claim') AS claim, bool_or(why IS NOT NULL OR text <> original) AS edited FROM {{judged}} GROUP BY t) j ON j.t = r.trace_id
+        LEFT JOIN (SELECT trace_id, list(result ORDER BY seq, result) AS told FROM {{tool_results}} GROUP BY trace_id) o ON o.trace_id = r.trace_id)""")
+source("grounded", f"""
+    SELECT trace_id, response, CASE WHEN secret THEN '{G.REFUSAL}' WHEN NOT acts THEN response WHEN ended = '' THEN '{G.HEDGE}' ELSE ended END AS grounded, secret OR (acts AND n_left = 0) AS fallback FROM {{gated}}""")
+
+
+@query("SELECT trace_id, grounded, grounded <> response AS changed, fallback FROM {grounded}")
 def ground_responses(t: Tables) -> DataFrame:
-    return G.ground_responses(t("replies"))
+    return G.ground_responses(t("replies"), t("calls"), t("tool_results"))
 
 
 @query(f"""
-    SELECT count(*) AS n, count(*) FILTER (grounded = coalesce(whole, '')) AS unchanged, count(*) FILTER (grounded <> coalesce(whole, '')) AS modified, count(*) FILTER (grounded IN ('{G.REFUSAL}', '{G.HAND_OFF}')) AS replaced, round(avg(len(list_filter(a, lambda s: list_contains(b, s))) / greatest(len(a), 1)), 4) AS retention
-    FROM (SELECT g.grounded, g.whole, {_SENTENCES.replace('{t}', 'r.response')} AS a, {_SENTENCES.replace('{t}', 'g.grounded')} AS b FROM {{replies}} r JOIN {{grounded}} g ON g.trace_id = r.trace_id)""")
+    SELECT count(*) AS n, count(*) FILTER (grounded = response) AS unchanged, count(*) FILTER (grounded <> response) AS modified, count(*) FILTER (fallback) AS replaced, round(avg(len(list_filter(a, lambda s: list_contains(b, s))) / greatest(len(a), 1)), 4) AS retention
+    FROM (SELECT g.grounded, g.fallback, g.response, {_SENTENCES.replace('{t}', 'r.response')} AS a, {_SENTENCES.replace('{t}', 'g.grounded')} AS b FROM {{replies}} r JOIN {{grounded}} g ON g.trace_id = r.trace_id)""")
 def answer_retention(t: Tables) -> DataFrame:
-    return G.answer_retention(t("replies"), G.ground_responses(t("replies")))
+    return G.answer_retention(t("replies"), G.ground_responses(t("replies"), t("calls"), t("tool_results")))
 
 
 @query(r"""
