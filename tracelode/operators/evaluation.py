@@ -219,6 +219,12 @@ def field_accuracy(predictions: DataFrame, fields: Sequence[str]) -> DataFrame:
     return long.rollup("field", "slice").agg(hits.alias("hits"), F.count("*").alias("total"), F.round(hits / F.count("*"), 4).alias("accuracy")).where("field IS NOT NULL")
 
 
+def accuracy_misses(predictions: DataFrame, fields: Sequence[str], key: str = "message_id") -> DataFrame:
+    """(key, field, expected, got) of each expected value that was not predicted."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"expected_{f}").cast("string").alias("expected"), F.col(f).cast("string").alias("got")) for f in fields])
+    return predictions.select(key, F.explode(pairs).alias("p")).select(key, "p.*").where("expected IS NOT NULL AND NOT (expected <=> got)")
+
+
 def nearest_rank_percentile(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
     """The value at index round-half-even(p * (n - 1)) of each group, found by refinement of intervals."""
     counts = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(by).agg(F.count("*").alias("n"))

@@ -219,6 +219,11 @@ def canonical_conflicts(links: DataFrame) -> DataFrame:
     return links.where("is_canonical").groupBy("source_id", "type").agg(F.count_distinct("value_norm").alias("n_values")).where("n_values > 1")
 
 
+def canonical_counts(links: DataFrame) -> DataFrame:
+    """(type, n_links, n_sources): how many canonical links there are of each type, and of how many sources."""
+    return links.where("is_canonical").groupBy("type").agg(F.count("*").alias("n_links"), F.count_distinct("source_id").alias("n_sources"))
+
+
 def source_lookup(links: DataFrame, document_links: DataFrame, given: DataFrame) -> DataFrame:
     """Every link of every source that shares any given identifier, with the source's documents in linked order."""
     hit = links.join(given.select("type", "value_norm").distinct(), ["type", "value_norm"], "left_semi").select("source_id").distinct()

@@ -214,12 +214,22 @@ def cost_frontier(candidates: DataFrame, prices: DataFrame) -> DataFrame:
     return priced.withColumns({"cost": cost, "cost_tier": tier}).withColumn("place", F.row_number().over(w).cast("long")).select("purpose", "model", "cost_tier", F.round("cost", 6).alias("cost"), "place")
 
 
-def corpus_profile(docs: DataFrame, columns: Iterable[str], k: int = 8) -> DataFrame:
-    """Top-k values of each column with their counts: (field, value, n, place)."""
+def corpus_profile(docs: DataFrame, columns: Iterable[str], k: int = 8, published: str | None = None) -> DataFrame:
+    """Top-k values of each column with their counts: (field, value, n, place).
+
+    With a column ``published`` of dates as text, two more rows have the first and last year (four digits at its beginning)
+    and how many documents have one; without any, their value is null.
+    """
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])
     counts = docs.select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL").groupBy("field", "value").agg(F.count("*").alias("n"))
     w = Window.partitionBy("field").orderBy(F.col("n").desc(), "value")
-    return counts.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
+    found = counts.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
+    if published is None:
+        return found
+    year = F.nullif(F.regexp_extract(published, "^([0-9]{4})", 1), F.lit(""))
+    span = docs.select(year.alias("y")).agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count("y").alias("n"))
+    years = span.select("n", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in (("first_year", "low"), ("last_year", "high"))))).alias("y"))
+    return found.union(years.select("y.field", "y.value", "n", F.lit(1).cast("long")))
 
 
 def title_sample(docs: DataFrame, k: int = 10, seed: str = "5") -> DataFrame:

@@ -291,7 +291,7 @@ def citation_targets(t: Tables) -> DataFrame:
     return G.citation_targets(t("replies"), t("passages"))
 
 
-source("work_rows", "SELECT doc_id AS work_id, CASE WHEN doc_id % 3 = 0 THEN 'The ' ELSE '' END || 'Title ' || CAST(doc_id % 40 AS STRING) AS title, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE CAST(2000 + doc_id % 6 AS INT) END AS year, doc_id % 4 AS n_authors, 'Fam' || CAST(doc_id % 9 AS STRING) AS a1, 'Gam' || CAST(doc_id % 5 AS STRING) AS a2, 'Ham' AS a3 FROM {documents}")
+source("work_rows", "SELECT doc_id AS work_id, CASE WHEN doc_id % 3 = 0 THEN 'The ' ELSE '' END || 'Title ' || CAST(doc_id % (1 + CAST(floor(n_docs * 0.2) AS BIGINT)) AS STRING) AS title, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE CAST(2000 + doc_id % 6 AS INT) END AS year, doc_id % 4 AS n_authors, 'Fam' || CAST(doc_id % (1 + CAST(floor(n_docs * 0.045) AS BIGINT)) AS STRING) AS a1, 'Gam' || CAST(doc_id % 5 AS STRING) AS a2, 'Ham' AS a3 FROM {documents} CROSS JOIN (SELECT count(*) AS n_docs FROM {documents})")
 
 
 def _works(t: Tables) -> DataFrame:

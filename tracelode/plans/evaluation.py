@@ -248,6 +248,13 @@ def field_accuracy(t: Tables) -> DataFrame:
     return E.field_accuracy(_triaged(t), ("category", "priority", "irreversible"))
 
 
+@query("""
+    SELECT message_id, field, e AS expected, g AS got FROM (SELECT message_id, 'category' AS field, expected_category AS e, category AS g FROM {triaged} UNION ALL SELECT message_id, 'priority', expected_priority, priority FROM {triaged}
+        UNION ALL SELECT message_id, 'irreversible', CAST(expected_irreversible AS STRING), CAST(irreversible AS STRING) FROM {triaged}) WHERE e IS NOT NULL AND e IS DISTINCT FROM g""")
+def accuracy_misses(t: Tables) -> DataFrame:
+    return E.accuracy_misses(_triaged(t), ("category", "priority", "irreversible"))
+
+
 @query("""
     SELECT event_type, value AS percentile, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM {events} WHERE value IS NOT NULL)
     WHERE i = round_even(0.95 * (n - 1), 0)""")

@@ -17,7 +17,7 @@ def content_duplicates(t: Tables) -> DataFrame:
 
 source("id_live", "SELECT doc_id, text FROM {documents} WHERE doc_id % 4 <> 3")
 source("id_versions", "SELECT doc_id, CAST(v AS BIGINT) AS version, md5(text || CAST(v AS STRING)) AS key, CASE WHEN v = 1 THEN text ELSE text || ' v' || CAST(v AS STRING) END AS text FROM {documents} CROSS JOIN (VALUES (1), (2), (3)) AS x(v) WHERE doc_id % 3 = 0 AND v <= 1 + doc_id % 5")
-source("id_incoming", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 5 = 1 THEN text || ' v2' ELSE text || ' new' || CAST(n AS STRING) END AS text, CAST(n AS BIGINT) AS batch_order FROM {documents} CROSS JOIN (VALUES (1), (2)) AS x(n) WHERE doc_id % 2 = 0")
+source("id_incoming", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 5 = 1 THEN text || ' v2' ELSE text || ' new' || CAST(n AS STRING) END AS text, CAST(n AS BIGINT) AS batch_order FROM {documents} CROSS JOIN (VALUES (1), (2)) AS x(n)")
 
 
 @query("""
@@ -31,7 +31,7 @@ def stage_versions(t: Tables) -> DataFrame:
     return I.stage_versions(t("id_live"), versions, t("id_incoming"))
 
 
-source("decided_docs", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN text ELSE text || ' next' END AS text, doc_id % 4 = 1 AS authenticated, doc_id % 3 AS n_flags FROM {documents} WHERE doc_id % 2 = 1 OR doc_id % 6 = 0")
+source("decided_docs", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN text ELSE text || ' next' END AS text, doc_id % 4 = 1 AS authenticated, doc_id % 3 AS n_flags FROM {documents}")
 source("resolutions", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'CONFLICT' WHEN 1 THEN 'SAME_SOURCE' ELSE 'NEW_SOURCE' END AS status, CASE WHEN doc_id % 5 = 1 THEN doc_id % 20 END AS source_id FROM {documents}")
 source("linked_docs", "SELECT doc_id % (1 + CAST(floor(n_docs / 60) AS BIGINT)) AS source_id, doc_id, 1000000 - doc_id AS linked_order FROM {documents} CROSS JOIN (SELECT count(*) AS n_docs FROM {documents}) WHERE doc_id % 20 <> 11")
 
@@ -95,16 +95,20 @@ def normalise_identifiers(t: Tables) -> DataFrame:
 
 
 _Q = "chr(34) || {v} || chr(34)"
-source("identified_docs", "SELECT doc_id, doc_id % 3 <> 0 AS trusted, " + maintenance._json(
-    doi=_Q.replace("{v}", "CASE WHEN doc_id % 7 = 0 THEN 'not a doi' ELSE '10.1000/s' || CAST(doc_id % 90 AS STRING) END"), isbn=_Q.replace("{v}", "'0-306-40615-' || CAST(doc_id % 4 AS STRING)"),
-    source_url=_Q.replace("{v}", "'http://h.example:80/d' || CAST(doc_id % 40 AS STRING) || '/'"), identifier_origin=_Q.replace("{v}", "CASE WHEN doc_id % 2 = 0 THEN 'original' ELSE 'derived' END"))
-    + " AS provenance, " + maintenance._json(DOI=_Q.replace("{v}", "'https://doi.org/10.1000/S' || CAST(doc_id % 60 AS STRING)")) + " AS metadata FROM {documents}")
+#: How many values of each kind there are grows with the documents, so that a value is shared by a few of them at any size.
+source("id_scale", "SELECT 1 + CAST(floor(count(*) * 0.45) AS BIGINT) AS dois, 1 + CAST(floor(count(*) * 0.3) AS BIGINT) AS more_dois, 1 + CAST(floor(count(*) * 0.2) AS BIGINT) AS urls, 1 + CAST(floor(count(*) * 0.1) AS BIGINT) AS isbns FROM {documents}")
+source("isbn_bodies", "SELECT doc_id, '978' || lpad(CAST(doc_id % isbns AS STRING), 9, '0') AS v FROM {documents} CROSS JOIN {id_scale}")
+source("isbns", f"SELECT doc_id, v || CAST((10 - ({_SUM12.replace('{v}', 'v')}) % 10) % 10 AS STRING) AS isbn FROM {{isbn_bodies}}")
+source("identified_docs", "SELECT d.doc_id, d.doc_id % 3 <> 0 AS trusted, " + maintenance._json(
+    doi=_Q.replace("{v}", "CASE WHEN d.doc_id % 7 = 0 THEN 'not a doi' ELSE '10.1000/s' || CAST(d.doc_id % dois AS STRING) END"), isbn=_Q.replace("{v}", "CASE WHEN d.doc_id % 4 = 2 THEN isbn ELSE '0-306-40615-' || CAST(d.doc_id % 4 AS STRING) END"),
+    source_url=_Q.replace("{v}", "'http://h.example:80/d' || CAST(d.doc_id % urls AS STRING) || '/'"), identifier_origin=_Q.replace("{v}", "CASE WHEN d.doc_id % 2 = 0 THEN 'original' ELSE 'derived' END"))
+    + " AS provenance, " + maintenance._json(DOI=_Q.replace("{v}", "'https://doi.org/10.1000/S' || CAST(d.doc_id % more_dois AS STRING)")) + " AS metadata FROM {documents} d JOIN {isbns} i ON i.doc_id = d.doc_id CROSS JOIN {id_scale}")
 source("identifiers", """
     SELECT doc_id, type, value_norm, max(canonical) AS is_canonical FROM (
-        SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE 'doi' END AS type, CASE WHEN doc_id % 7 = 0 THEN 'not a doi' ELSE '10.1000/s' || CAST(doc_id % 90 AS STRING) END AS value_norm, doc_id % 7 <> 0 AND doc_id % 3 <> 0 AND doc_id % 2 = 0 AS canonical FROM {documents}
-        UNION ALL SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'isbn' ELSE 'other' END, CASE WHEN doc_id % 4 = 2 THEN '9780306406157' ELSE '0-306-40615-' || CAST(doc_id % 4 AS STRING) END, doc_id % 4 = 2 AND doc_id % 3 <> 0 FROM {documents}
-        UNION ALL SELECT doc_id, 'url', 'http://h.example/d' || CAST(doc_id % 40 AS STRING), FALSE FROM {documents}
-        UNION ALL SELECT doc_id, 'doi', '10.1000/s' || CAST(doc_id % 60 AS STRING), doc_id % 3 <> 0 FROM {documents}) AS u GROUP BY doc_id, type, value_norm""")
+        SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE 'doi' END AS type, CASE WHEN doc_id % 7 = 0 THEN 'not a doi' ELSE '10.1000/s' || CAST(doc_id % dois AS STRING) END AS value_norm, doc_id % 7 <> 0 AND doc_id % 3 <> 0 AND doc_id % 2 = 0 AS canonical FROM {documents} CROSS JOIN {id_scale}
+        UNION ALL SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'isbn' ELSE 'other' END, CASE WHEN doc_id % 4 = 2 THEN isbn ELSE '0-306-40615-' || CAST(doc_id % 4 AS STRING) END, doc_id % 4 = 2 AND doc_id % 3 <> 0 FROM {isbns}
+        UNION ALL SELECT doc_id, 'url', 'http://h.example/d' || CAST(doc_id % urls AS STRING), FALSE FROM {documents} CROSS JOIN {id_scale}
+        UNION ALL SELECT doc_id, 'doi', '10.1000/s' || CAST(doc_id % more_dois AS STRING), doc_id % 3 <> 0 FROM {documents} CROSS JOIN {id_scale}) AS u GROUP BY doc_id, type, value_norm""")
 
 
 @query("SELECT * FROM {identifiers}")
@@ -148,6 +152,11 @@ def canonical_conflicts(t: Tables) -> DataFrame:
     return I.canonical_conflicts(t("source_links"))
 
 
+@query("SELECT type, count(*) AS n_links, count(DISTINCT source_id) AS n_sources FROM {source_links} WHERE is_canonical GROUP BY type")
+def canonical_counts(t: Tables) -> DataFrame:
+    return I.canonical_counts(t("source_links"))
+
+
 @query("SELECT doc_id FROM {documents} WHERE doc_id NOT IN (SELECT doc_id FROM {linked_docs})")
 def orphan_documents(t: Tables) -> DataFrame:
     return t("documents").select("doc_id").join(t("linked_docs").select("doc_id"), "doc_id", "left_anti")

@@ -33,7 +33,7 @@ def graph_neighbours(t: Tables) -> DataFrame:
 
 
 source("item_links", """
-    SELECT doc_id AS item, 'source' AS kind, source || CAST(doc_id % 50 AS STRING) AS value FROM {documents} UNION ALL SELECT doc_id AS item, 'identifier' AS kind, 'i' || CAST(floor(doc_id / 3) AS STRING) AS value FROM {documents} WHERE doc_id % 4 <> 0""")
+    SELECT doc_id AS item, 'source' AS kind, source || CAST(doc_id % (1 + CAST(floor(n_docs / 4) AS BIGINT)) AS STRING) AS value FROM {documents} CROSS JOIN (SELECT count(*) AS n_docs FROM {documents}) UNION ALL SELECT doc_id AS item, 'identifier' AS kind, 'i' || CAST(floor(doc_id / 3) AS STRING) AS value FROM {documents} WHERE doc_id % 4 <> 0""")
 source("seeds", "SELECT doc_id AS item FROM {documents} WHERE doc_id % 20 = 5")
 
 

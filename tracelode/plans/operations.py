@@ -225,15 +225,16 @@ def cost_frontier(t: Tables) -> DataFrame:
 
 source("titled", """
     SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE substr(text, 1, 30) END AS title, lang, source, CAST(floor(n_chars / 1000) AS BIGINT) AS size_class,
-        CAST(TIMESTAMP '2024-01-01 00:00:00' AS DATE) AS first_day, doc_id % 365 AS day FROM {documents}""")
+        CAST(TIMESTAMP '2024-01-01 00:00:00' AS DATE) AS first_day, doc_id % 365 AS day, CASE WHEN doc_id % 7 = 0 THEN 'undated' WHEN doc_id % 7 > 1 THEN CAST(1990 + n_chars % 33 AS STRING) || '-05' END AS published FROM {documents}""")
 
 
 @query("""
     SELECT field, value, n, place FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS place FROM (
         SELECT field, value, count(*) AS n FROM (SELECT 'lang' AS field, lang AS value FROM {titled} UNION ALL SELECT 'source', source FROM {titled} UNION ALL SELECT 'size_class', CAST(size_class AS STRING) FROM {titled})
-        WHERE value IS NOT NULL GROUP BY field, value)) WHERE place <= 8""")
+        WHERE value IS NOT NULL GROUP BY field, value)) WHERE place <= 8
+    UNION ALL SELECT f, CASE f WHEN 'first_year' THEN low ELSE high END, n, 1 FROM (SELECT min(y) AS low, max(y) AS high, count(y) AS n FROM (SELECT nullif(regexp_extract(published, '^([0-9]{4})', 1), '') AS y FROM {titled})), (VALUES ('first_year'), ('last_year')) v(f)""")
 def corpus_profile(t: Tables) -> DataFrame:
-    return O.corpus_profile(t("titled"), ("lang", "source", "size_class"))
+    return O.corpus_profile(t("titled"), ("lang", "source", "size_class"), published="published")
 
 
 @query("SELECT doc_id, coalesce(title, CAST(doc_id AS STRING)) AS title FROM {titled} ORDER BY md5('5:' || doc_id) LIMIT 10")

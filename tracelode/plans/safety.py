@@ -256,9 +256,9 @@ def unknown_fields(t: Tables) -> DataFrame:
 
 @query(rf"""
     WITH u AS (SELECT page_id AS row_id, url, authority, host, starts_with(lower(url), 'https://') AND NOT contains(authority, '@') AND NOT contains(authority, ':') AND NOT {_NUMERIC} AND contains(host, '.') AND NOT regexp_matches(host, '(^|\.)(nip\.io|sslip\.io|xip\.io|local|localhost|internal|lan)$') AS good FROM {{url_parts}})
-    SELECT row_id % 40 AS row_id, coalesce(string_agg(url, '|' ORDER BY url) FILTER (good), '') AS kept, count(*) FILTER (NOT good) AS n_rejected FROM u GROUP BY row_id % 40""")
+    SELECT CAST(floor(row_id / 5) AS BIGINT) AS row_id, coalesce(string_agg(url, '|' ORDER BY url) FILTER (good), '') AS kept, count(*) FILTER (NOT good) AS n_rejected FROM u GROUP BY CAST(floor(row_id / 5) AS BIGINT)""")
 def reference_url_check(t: Tables) -> DataFrame:
-    rows = t("odd_urls").groupBy((F.col("page_id") % 40).alias("row_id")).agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    rows = t("odd_urls").groupBy(F.floor(F.col("page_id") / 5).cast("long").alias("row_id")).agg(F.array_sort(F.collect_list("url")).alias("urls"))
     return Y.reference_url_check(rows)
 
 

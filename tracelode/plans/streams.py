@@ -31,13 +31,37 @@ _PATH = "CASE event_type WHEN 'view' THEN '/ask' WHEN 'click' THEN '/agent' WHEN
 _STATUS = "CASE WHEN event_type = 'error' AND event_id % 3 < 2 THEN 500 ELSE 200 END"
 
 
-@query(f"""
-    SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS window_start, {_PATH} AS path, count(*) AS n, count(*) FILTER ({_STATUS} >= 400) AS errors, round(count(*) FILTER ({_STATUS} >= 400) / count(*), 4) AS error_rate
-    FROM {{events}} WHERE {_CLOSED} GROUP BY ALL""")
+def _windows(begin: str, width: str) -> str:
+    """Statistics of closed windows; ``within`` says that the p95 of the summary has a rank that its accuracy allows."""
+    return f"""
+        SELECT CAST(w AS VARCHAR) AS window_start, {_PATH} AS path, count(*) AS n, count(*) FILTER ({_STATUS} >= 400) AS errors, round(count(*) FILTER ({_STATUS} >= 400) / count(*), 4) AS error_rate, TRUE AS within
+        FROM (SELECT *, {begin} AS w FROM {{events}}) WHERE w + INTERVAL {width} <= (SELECT max(ts) FROM {{events}}) - INTERVAL 1 HOUR GROUP BY ALL"""
+
+
+def _requests(events: DataFrame) -> DataFrame:
+    return events.select("ts", F.expr(_PATH).alias("path"), F.expr(_STATUS).alias("http_status"), F.col("value").alias("latency_ms"))
+
+
+def _checked(t: Tables, found: DataFrame, width: str, slide: str | None) -> DataFrame:
+    """The stream's rows, with the rank of their p95 held against the values of its window."""
+    values = _requests(t("events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.window("ts", width, slide).start.alias("window_start"), "path", "latency_ms")
+    met = values.join(found.select("window_start", "path", "p95"), ["window_start", "path"])
+    ranks = met.groupBy("window_start", "path").agg(F.sum(F.when(F.col("latency_ms") < F.col("p95"), 1).otherwise(0)).alias("below"), F.sum(F.when(F.col("latency_ms") <= F.col("p95"), 1).otherwise(0)).alias("upto"), F.count("latency_ms").alias("m"))
+    wanted, slack = F.ceil(0.95 * F.col("m")), F.col("m") / J.ACCURACY + 1
+    within = (F.col("below") + 1 <= wanted + slack) & (F.col("upto") >= wanted - slack)
+    joined = found.join(ranks.select("window_start", "path", within.alias("within")), ["window_start", "path"], "left")
+    return joined.select(F.col("window_start").cast("string").alias("window_start"), "path", "n", "errors", "error_rate", "within")
+
+
+@query(_windows("date_trunc('day', ts)", "1 DAY"))
 def stream_stats(t: Tables) -> DataFrame:
-    requests = _events(t).select("ts", F.expr(_PATH).alias("path"), F.expr(_STATUS).alias("http_status"), F.col("value").alias("latency_ms"))
-    found = J.drain(J.stream_stats(requests), "stats")
-    return found.select(F.col("window_start").cast("string").alias("window_start"), "path", "n", "errors", "error_rate")
+    return _checked(t, J.drain(J.stream_stats(_requests(_events(t))), "stats"), "1 day", None)
+
+
+@query(_windows("unnest([date_trunc('day', ts) + INTERVAL 6 HOUR * (CAST(floor(date_part('hour', ts) / 6) AS BIGINT) - k) for k in [0, 1, 2, 3]])", "1 DAY"))
+def stream_sliding_stats(t: Tables) -> DataFrame:
+    found = J.drain(J.stream_stats(_requests(_events(t)), "1 day", "6 hours"), "sliding")
+    return _checked(t, found, "1 day", "6 hours")
 
 
 @query("""
