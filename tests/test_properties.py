@@ -186,8 +186,11 @@ def test_drain_counts_known_rows_over_batches(spark, tmp_path):
     jobs.stream_observation_drain(spark.readStream.text(str(source)), root)
     spark.createDataFrame([(x,) for x in [*lines, lines[0].replace('"1"', '"2"')]], "value string").coalesce(1).write.mode("append").text(str(source))
     jobs.stream_observation_drain(spark.readStream.text(str(source)), root)
-    report = [tuple(r) for r in spark.read.parquet(f"{root}/report").select("n_lines", "n_malformed", "n_known", "n_new").orderBy("batch").collect()]
-    assert report == [(2, 1, 0, 1), (3, 1, 1, 1)]
+    late = ['{"id":"3","observed_at":"0","decision":"x"}', '{"id":"4","observed_at":"b","decision":"x"}', '{"id":"1","observed_at":"c","decision":"x"}']
+    spark.createDataFrame([(x,) for x in late], "value string").coalesce(1).write.mode("append").text(str(source))
+    jobs.stream_observation_drain(spark.readStream.text(str(source)), root)
+    report = [tuple(r) for r in spark.read.parquet(f"{root}/report").orderBy("batch").select("n_lines", "n_malformed", "n_below", "n_known", "n_new", "mark").collect()]
+    assert report == [(2, 1, 0, 0, 1, "a"), (3, 1, 0, 1, 1, "a"), (3, 0, 1, 1, 1, "b")]
 
 
 def test_chunk_overlap_has_no_bound(spark):

@@ -77,15 +77,15 @@ def stream_open_requests(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT sum(n) AS n_lines, sum(CASE WHEN event_id % 50 = 0 THEN n ELSE 0 END) AS n_malformed, sum(CASE WHEN event_id % 50 <> 0 THEN n - 1 ELSE 0 END) AS n_repeated, count(*) FILTER (event_id % 50 <> 0) AS n_new
+    SELECT sum(n) AS n_lines, sum(CASE WHEN event_id % 50 = 0 THEN n ELSE 0 END) AS n_malformed, sum(CASE WHEN event_id % 50 <> 0 THEN n - 1 ELSE 0 END) AS n_repeated, 0 AS n_below, count(*) FILTER (event_id % 50 <> 0) AS n_new
     FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 2 ELSE 1 END AS n FROM {events})""")
 def stream_observation_drain(t: Tables) -> DataFrame:
     line = F.when(F.col("event_id") % 50 == 0, "not json").otherwise(F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("string").alias("observed_at"), F.col("event_type").alias("decision"))))
     copies = F.array_repeat(line, F.when(F.col("event_id") % 7 == 0, 2).otherwise(1))
     root = f"{working_folder(t.spark)}/drain-{uuid.uuid4().hex}"
     J.stream_observation_drain(_events(t).select(F.explode(copies).alias("value")), root)
-    report = t.spark.read.schema("n_lines long, n_malformed long, n_repeated long, n_known long, n_new long, batch long").parquet(f"{root}/report")
-    return report.agg(*[F.sum(c).alias(c) for c in ("n_lines", "n_malformed", "n_repeated", "n_new")])
+    report = t.spark.read.schema("n_lines long, n_malformed long, n_repeated long, n_below long, n_known long, n_new long, batch long").parquet(f"{root}/report")
+    return report.agg(*[F.sum(c).alias(c) for c in ("n_lines", "n_malformed", "n_repeated", "n_below", "n_new")])
 
 
 @query("SELECT 'user' || CAST(user_id AS STRING) || ':' || event_type AS key, max(event_id) AS seq, arg_max(props, event_id) AS value FROM {events} GROUP BY ALL")

@@ -75,8 +75,9 @@ def stream_open_requests(starts: DataFrame, completions: DataFrame, within: str
 def stream_observation_drain(lines: DataFrame, root: str) -> None:
     """Drain an outbox of JSON lines into ``root/rows``, with one ``root/report`` row for each batch.
 
-    Malformed lines, repeats within the batch, and rows that are there already (also with equal time stamps) are
-    counted and not written.  A batch is written under its number, so a batch that runs again replaces itself.
+    Malformed lines, repeats within the batch, lines older than the mark (the newest time that earlier batches have written),
+    and rows that are there already (also with equal time stamps) are counted and not written.  The mark stands in the
+    reports.  A batch is written under its number, so a batch that runs again replaces itself.
     """
     schema = "id string, observed_at string, decision string"
 
@@ -85,11 +86,13 @@ def stream_observation_drain(lines: DataFrame, root: str) -> None:
         parsed = batch.select(F.from_json("value", schema).alias("o")).select("o.*")
         good = parsed.where("id IS NOT NULL AND observed_at IS NOT NULL")
         once = good.groupBy("id").agg(F.min(F.struct("observed_at", "decision")).alias("o")).select("id", "o.*")
+        mark = spark.read.schema("mark string, batch bigint").option("basePath", f"{root}/report").parquet(f"{root}/report").where(F.col("batch") < number).agg(F.max("mark")).first()[0] if number else None
+        new = once if mark is None else once.where(F.col("observed_at") >= mark)
         past = spark.read.schema(f"{schema}, batch bigint").option("basePath", f"{root}/rows").parquet(f"{root}/rows").where(F.col("batch") != number) if number else None
-        fresh = once if past is None else once.join(past.select("id"), "id", "left_anti")
+        fresh = new if past is None else new.join(past.select("id"), "id", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
-        counts = batch.agg(F.count("*").alias("n_lines")).join(good.agg(F.count("*").alias("n_good"))).join(once.agg(F.count("*").alias("n_once"))).join(spark.read.schema(schema).parquet(f"{root}/rows/batch={number}").agg(F.count("*").alias("n_new")))  # one row each
-        counts.select(F.lit(number).cast("long").alias("batch"), "n_lines", (F.col("n_lines") - F.col("n_good")).alias("n_malformed"), (F.col("n_good") - F.col("n_once")).alias("n_repeated"), (F.col("n_once") - F.col("n_new")).alias("n_known"), "n_new").write.mode("overwrite").parquet(f"{root}/report/batch={number}")
+        counts = batch.agg(F.count("*").alias("n_lines")).join(good.agg(F.count("*").alias("n_good"))).join(once.agg(F.count("*").alias("n_once"))).join(new.agg(F.count("*").alias("n_not_below"))).join(spark.read.schema(schema).parquet(f"{root}/rows/batch={number}").agg(F.count("*").alias("n_new"), F.max("observed_at").alias("newest")))  # one row each
+        counts.select(F.lit(number).cast("long").alias("batch"), "n_lines", (F.col("n_lines") - F.col("n_good")).alias("n_malformed"), (F.col("n_good") - F.col("n_once")).alias("n_repeated"), (F.col("n_once") - F.col("n_not_below")).alias("n_below"), (F.col("n_not_below") - F.col("n_new")).alias("n_known"), "n_new", F.greatest("newest", F.lit(mark).cast("string")).alias("mark")).write.mode("overwrite").parquet(f"{root}/report/batch={number}")
 
     query = lines.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
