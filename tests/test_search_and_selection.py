@@ -188,3 +188,16 @@ def test_normal_tail(spark):
     x = [0.0, 1e-9, 0.01, 0.5, 1.0, 1.959963984540054, 2.5758293035489004, 4.0, 6.5, 7.99, 8.5, 40.0]
     got = spark.createDataFrame([(v,) for v in x] + [(None,)], "x double").select(normal_two_sided(F.col("x")).alias("p"), normal_two_sided(-F.col("x")).alias("m")).collect()
     assert all(abs(r.p - math.erfc(v / math.sqrt(2))) < 1e-13 and r.p == r.m for r, v in zip(got, x)) and got[-1].p is None
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e4])
+def test_approximate_search_follows_the_scale_of_the_data(spark, monkeypatch, scale):
+    monkeypatch.setattr(ranking, "CELL_BLOCK", 40)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16)) * scale
+    v = np.concatenate([centres[rng.integers(0, 30, 1_200)] + rng.normal(size=(1_200, 16)) * scale * 0.3, np.repeat(centres[:1], 500, 0)])  # the last ones fill hot buckets
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, embedding array<double>")
+    queries = vectors.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.chunk_id) for r in ranking.knn_exact(queries, vectors, 10).collect()}
+    near = {(r.query_id, r.chunk_id) for r in ranking.knn_approx(queries, vectors, 10).collect()}
+    assert len(near) == len(exact) and len(near & exact) >= 0.95 * len(exact)

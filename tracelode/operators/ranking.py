@@ -132,32 +132,73 @@ def knn_filtered(queries: DataFrame, vectors: DataFrame, condition: str, k: int
     return knn_exact(queries, vectors.where(condition), k, own)
 
 
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, width: float = 1.0, tables: int = 40) -> DataFrame:
-    """Approximate search: random projections into buckets, candidates that share one, exact distances on those.
+#: Tables of two projections each; a bucket's width in units of the usual distance of a k-th neighbour; vectors of a bucket in one task.
+TABLES, REACH, CELL_BLOCK = 12, 2.0, 5_000
+#: Queries and vectors of the pilot search that measures that distance; a bucket is hot from one vector in so many on.
+PILOT_QUERIES, PILOT_VECTORS, HOT_CELL = 64, 20_000, 1_000
 
-    ``width`` is the bucket's width on each of ``tables`` projections (two numbers a table).  Queries that share buckets
-    with fewer than k vectors are searched exactly, so every query gets k rows if there are k vectors.
+
+def usual_reach(queries: DataFrame, vectors: DataFrame, k: int) -> float:
+    """The distance that nine in ten k-th neighbours lie within, by an exact search of a bounded pilot (the first ids by hash).
+
+    The pilot has at most as many vectors as the table, so its neighbours are no nearer than the real ones.
+    """
+    some = lambda df, c, n: df.orderBy(F.xxhash64(c), c).limit(n)
+    near = knn_exact(some(queries, "query_id", PILOT_QUERIES), some(vectors, "chunk_id", PILOT_VECTORS), k)
+    last = near.groupBy("query_id").agg(F.max("distance").alias("d"))
+    return float(last.agg(F.percentile_approx("d", 0.9, 1_000)).first()[0] or 0.0) ** 0.5
+
+
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 10, width: float | None = None, tables: int = TABLES) -> DataFrame:
+    """Approximate search: random projections into buckets; queries and vectors of a bucket are compared by matrix products.
+
+    ``width`` is the bucket's width on each of two projections a table; it follows the data (``usual_reach``) if it is not
+    given.  A bucket with over a thousandth of all vectors, of which there are at most a thousand a table, is dealt to blocks of
+    ``CELL_BLOCK`` vectors, so no task holds more of it, and a block gives k rows a query.  Queries that share buckets with
+    fewer than k vectors are searched exactly, so every query gets k rows if there are k vectors.
     """
     dimension = usual_dimension(queries)
     if dimension is None:
         return knn_exact(queries, vectors, k)
     queries, vectors = valid_vectors(queries, dimension), valid_vectors(vectors, dimension)
+    width = width or REACH * usual_reach(queries, vectors, k) or 1.0
     rng = np.random.default_rng(5)
     plane, shift = rng.normal(size=(tables * 2, dimension)), rng.uniform(0, width, tables * 2)
 
     @F.arrow_udf("array<long>")
     def keys(batch: pa.Array) -> pa.Array:
         v = np.asarray(batch.flatten(), np.float64).reshape(len(batch), -1)
-        cell = np.floor((v @ plane.T + shift) / width).astype(np.int64)
+        cell = np.clip(np.floor((v @ plane.T + shift) / width), -(2**62), 2**62).astype(np.int64)
         mixed = (cell[:, 0::2] * 1_000_003 + cell[:, 1::2]) * 1_000_003 + np.arange(tables)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * tables + 1, tables), pa.int32()), pa.array(mixed.ravel()))
 
-    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"))
-    v = vectors.select("chunk_id", F.col("embedding").cast("array<double>").alias("v"))
-    left, right = q.select("query_id", F.explode(keys("q")).alias("cell")), v.select("chunk_id", F.explode(keys("v")).alias("cell"))
-    pairs = left.join(right, "cell").select("query_id", "chunk_id").distinct().join(q, "query_id").join(v, "chunk_id")
-    distance = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    found = written(top(pairs.select("query_id", "chunk_id", distance.alias("distance")), k, F.col("distance"), F.col("chunk_id")), "knn-approx")
+    def placed(df: DataFrame, c: str) -> DataFrame:
+        rows = df.select(F.col(c).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+        return rows.select("id", "x", F.explode(keys("x")).alias("cell"))
+
+    left, right = placed(queries, "query_id"), placed(vectors, "chunk_id")
+    counts = right.groupBy("cell").agg(F.count("*").alias("n"))
+    total = vectors.count()
+    hot = F.broadcast(counts.where(F.col("n") * HOT_CELL > total).select("cell", F.ceil(F.col("n") / CELL_BLOCK).cast("int").alias("deals")))  # at most HOT_CELL rows a table
+    left = left.join(hot, "cell", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1)))
+    right = right.join(hot, "cell", "left").withColumn("deal", F.pmod(F.xxhash64("id"), F.coalesce("deals", F.lit(1))).cast("int"))
+    asked = left.select("cell").distinct()
+
+    def best(q: pa.Table, v: pa.Table) -> pa.Table:
+        found = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+        if q.num_rows and v.num_rows:
+            ids, keys_ = np.asarray(q["id"]), np.asarray(v["id"])
+            x, y = (np.asarray(t["x"].combine_chunks().flatten()).reshape(-1, dimension) for t in (q, v))
+            for i in range(0, len(ids), SLICE):
+                a, b, d = _near(x[i : i + SLICE], y, np.ones((len(ids[i : i + SLICE]), len(keys_)), bool), keys_, k, False)
+                for column, part in zip(found, (ids[i : i + SLICE][a], keys_[b], d)):
+                    column.append(part)
+        return pa.table([pa.array(np.concatenate(c)) for c in found], ["query_id", "chunk_id", "distance"])
+
+    fields = ("cell", "deal", "id", "x")
+    tiles = left.select(*fields).groupBy("cell", "deal").cogroup(right.join(asked, "cell", "left_semi").select(*fields).groupBy("cell", "deal"))
+    near = tiles.applyInArrow(best, "query_id long, chunk_id long, distance double").distinct()
+    found = written(top(near, k, F.col("distance"), F.col("chunk_id")), "knn-approx")
     full = found.where(F.col("rank") == k).select("query_id")
     return found.join(full, "query_id", "left_semi").unionByName(knn_exact(queries.join(full, "query_id", "left_anti"), vectors, k))
 
