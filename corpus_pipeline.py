@@ -41,8 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = written(found.select(F.col("doc_id").alias("_row"), "component_id").distinct(), "groups")
     ids = keyed.groupBy("_row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     met = written(found.join(ids, "_row"), "group-ids")
-    best = met.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("best"), F.count("*").alias("members"))
-    gone = met.join(best.where("members > 1"), "component_id").where("_row <> best._row").select("_row")
+    best = met.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("best")).select("best._row")
+    gone = met.join(best, "_row", "left_anti").select("_row")  # by row, so that no large group meets in one task
     marks = written(gone.withColumn("repeated", F.lit(False)).union(met.where("n > 1").join(gone, "_row", "left_anti").select("_row", F.lit(True))), "near-copies")
     alone = keyed.join(marks.select("_row"), "_row", "left_anti")
     repeated = keyed.join(marks.where("repeated").select("_row"), "_row", "left_semi").dropDuplicates(["doc_id", "text"])
