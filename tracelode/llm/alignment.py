@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,37 +125,38 @@ class Aligner:
         self.ids = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         self.count = [[np.zeros(0, np.int64)] for _ in range(5)]  # A and B tokens, groups, links, and whether both give back the word
 
-    def _a_ids(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A's ids of words, each after a space, and how many: words without white space at their ends are encoded together."""
-        plain = np.array([bool(_INK.match(w[0]) and _INK.match(w[-1])) for w in fresh])
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(fresh)
-        together = np.flatnonzero(plain)
-        if len(together):
-            ids = tokens.encode(self.a, " " + " ".join(fresh[i] for i in together), specials=False).astype(np.int64)
-            ends = np.cumsum([len(fresh[i].encode()) + 1 for i in together])
-            at = np.searchsorted(np.cumsum(self.a_size[ids]), ends) + 1
-            for i, p, q in zip(together.tolist(), [0, *at[:-1].tolist()], at.tolist()):
-                out[i] = ids[p:q]
-        for i in np.flatnonzero(~plain).tolist():
-            out[i] = tokens.encode(self.a, f" {fresh[i]}", specials=False).astype(np.int64)
-        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
-
-    def learn(self, fresh: list[str]) -> None:
+    def _a_ids(self, plain: list[str], odd: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of words, each after a space, and how many: ``plain`` ones, without white space at their ends, are encoded together."""
+        together, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if plain:
+            together = tokens.encode(self.a, " " + " ".join(plain), specials=False).astype(np.int64)
+            ends = np.cumsum(np.fromiter((len(w.encode()) for w in plain), np.int64, len(plain)) + 1)
+            n = np.diff(np.searchsorted(np.cumsum(self.a_size[together]), ends) + 1, prepend=0)
+        alone = [tokens.encode(self.a, f" {w}", specials=False).astype(np.int64) for w in odd]
+        return np.concatenate([together, *alone]), np.concatenate([n, np.array([len(x) for x in alone], np.int64)])
+
+    def _gives_back(self, fresh: list[str], b_lists: list[list[int]], b_ids: np.ndarray) -> np.ndarray:
+        """Whether B's tokens of each word are the bytes of a space and the word; mostly all are, which one comparison says."""
+        if b"".join(map(self.b_token.__getitem__, b_ids.tolist())) == f" {' '.join(fresh)}".encode():
+            sizes = np.add.reduceat(self.b_size[b_ids], np.cumsum([0] + [len(y) for y in b_lists[:-1]])) if all(b_lists) else None
+            if sizes is not None and np.array_equal(sizes, np.fromiter((len(w.encode()) + 1 for w in fresh), np.int64, len(fresh))):
+                return np.ones(len(fresh), bool)
+        return np.array([b"".join(map(self.b_token.__getitem__, y)) == b" " + w.encode() for y, w in zip(b_lists, fresh)], bool)
+
+    def learn(self, plain: list[str], odd: list[str]) -> None:
         """Tokenise and align words that are not known yet."""
-        a_ids, n_a = self._a_ids(fresh)
+        fresh = [*plain, *odd]
+        a_ids, n_a = self._a_ids(plain, odd)
         b_lists = self.b.encode(fresh, num_threads=1)
-        same = np.array([b"".join(map(self.b_token.__getitem__, y)) == b" " + w.encode() for y, w in zip(b_lists, fresh)], bool)
-        for i in np.flatnonzero(~same).tolist():  # cannot be aligned; one token of each stands in
-            b_lists[i] = b_lists[i][:1] or [0]
-        n_b, b_ids = np.array([len(y) for y in b_lists], np.int64), np.array([i for y in b_lists for i in y], np.int64)
-        first_a, first_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
-        good = np.flatnonzero(same)
-        take = lambda ids, first: [ids[first[i] : first[i + 1]] for i in good.tolist()]
-        a, b = _laid_out(take(a_ids, first_a), self.a_size), _laid_out(take(b_ids, first_b), self.b_size)
+        b_ids = np.fromiter(chain.from_iterable(b_lists), np.int64)
+        same = self._gives_back(fresh, b_lists, b_ids)
+        n_b = np.fromiter(map(len, b_lists), np.int64, len(b_lists))
+        ends = lambda ids, n, size: Ends(x := ids[np.repeat(same, n)], np.cumsum(size[x]), np.concatenate([[0], np.cumsum(n[same])]))
+        a, b = ends(a_ids, n_a, self.a_size), ends(b_ids, n_b, self.b_size)  # of the words that can be aligned
         said, groups = _group_texts(a, b, self.name, 2 * len(self.a_token))
         n_groups, n_links, text = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), [""] * len(fresh)
-        n_groups[good], n_links[good] = groups, np.diff(linked(a, b)[2])
-        for i, t in zip(good.tolist(), said):
+        n_groups[same], n_links[same] = groups, np.diff(linked(a, b)[2])
+        for i, t in zip(np.flatnonzero(same).tolist(), said):
             text[i] = t
         self.known.update(zip(fresh, range(len(self.text), len(self.text) + len(fresh))))
         self.text += text
@@ -169,7 +171,9 @@ class Aligner:
         if len(self.known) > MEMO or self.chars > MEMO_CHARS:
             self.forget()
         if fresh := [w for w in dict.fromkeys(flat) if w not in self.known]:
-            self.learn(fresh)
+            # only where a text begins or ends can a word have white space at its ends
+            edges = {p[0] for t, p in zip(texts, parts) if not _INK.match(t[0])} | {p[-1] for t, p in zip(texts, parts) if not _INK.match(t[-1])}
+            self.learn([w for w in fresh if w not in edges], [w for w in fresh if w in edges])
         word = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         first = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
         n_a, n_b, n_groups, n_links, same = (c[0] for c in self.count)
