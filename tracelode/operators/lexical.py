@@ -41,8 +41,12 @@ def words(text: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
 
 
-def _rows(batch: pa.Array) -> np.ndarray:
-    return np.repeat(np.arange(len(batch)), pc.list_value_length(batch).to_numpy(zero_copy_only=False))
+def _split(lowered: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of lower-cased texts, as ``words`` has them, and the text of each."""
+    listed = pc.ascii_split_whitespace(lowered)
+    found, row = listed.flatten(), np.repeat(np.arange(len(listed)), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+    some = pc.not_equal(found, "")  # before the first and after the last white space
+    return found.filter(some), row[some.to_numpy(zero_copy_only=False)]
 
 
 def _by_frequent_words(term: np.ndarray, row: np.ndarray, n_terms: int, n_rows: int) -> np.ndarray:
@@ -62,23 +66,23 @@ def index(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, SHARD):
                 part = batch.slice(i, SHARD)
-                listed = part.column(1)
-                coded = pc.dictionary_encode(listed.flatten())
-                term, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), _rows(listed)
-                order = _by_frequent_words(term, row, len(coded.dictionary), len(listed))
-                place = np.empty(len(listed), np.int64)
-                place[order] = np.arange(len(listed))
+                found, row = _split(part.column(1))
+                coded, n = pc.dictionary_encode(found), part.num_rows
+                term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                order = _by_frequent_words(term, row, len(coded.dictionary), n)
+                place = np.empty(n, np.int64)
+                place[order] = np.arange(n)
                 row = place[row]
-                pair, tf = np.unique(term * len(listed) + row, return_counts=True)
-                first = np.searchsorted(pair, np.arange(len(coded.dictionary) + 1) * len(listed))
+                pair, tf = np.unique(term * n + row, return_counts=True)
+                first = np.searchsorted(pair, np.arange(len(coded.dictionary) + 1) * n)
                 made = [
-                    part.column(0).to_numpy(zero_copy_only=False)[order].astype("<i8").tobytes(), np.bincount(row, minlength=len(listed)).astype("<i8").tobytes(), coded.dictionary.to_pylist(),
-                    first.astype("<i8").tobytes(), (pair % max(len(listed), 1)).astype("<i4").tobytes(), tf.astype("<i4").tobytes(),
+                    part.column(0).to_numpy(zero_copy_only=False)[order].astype("<i8").tobytes(), np.bincount(row, minlength=n).astype("<i8").tobytes(), coded.dictionary.to_pylist(),
+                    first.astype("<i8").tobytes(), (pair % max(n, 1)).astype("<i4").tobytes(), tf.astype("<i4").tobytes(),
                 ]
                 kinds = [pa.list_(pa.string()) if isinstance(x, list) else pa.binary() for x in made]
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds)], [c.split()[0] for c in _SHARD.split(", ")])
 
-    return written(chunks.select(F.col("chunk_id").cast("long"), words("text")).mapInArrow(pack, _SHARD), "postings")
+    return written(chunks.select(F.col("chunk_id").cast("long"), F.lower(F.coalesce("text", F.lit("")))).mapInArrow(pack, _SHARD), "postings")
 
 
 def size(shards: DataFrame) -> tuple[int, float]:
