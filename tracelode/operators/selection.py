@@ -27,6 +27,26 @@ def _bin(x: Column, low: Column, high: Column) -> Column:
     return F.when(x >= high, BINS - 1).when(x <= low, 0).otherwise(F.least(F.greatest(place, F.lit(0)), F.lit(BINS - 1))).cast("int")
 
 
+def _rounded_once(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with one rounding at the end (a fused multiply-add); with plain arithmetic where parts overflow.
+
+    The error of the product comes from halves of the digits of each factor, that of the sum from what it took of either part.
+    """
+
+    def high(x: Column) -> Column:
+        wide = x * 134217729.0  # 2 ** 27 + 1
+        return wide - (wide - x)
+
+    product, a1, b1 = a * b, high(a), high(b)
+    a2, b2 = a - a1, b - b1
+    of_product = a2 * b2 - (((product - a1 * b1) - a2 * b1) - a1 * b2)
+    total = product + c
+    part = total - product
+    of_total = (product - (total - part)) + (c - part)
+    exact = total + (of_product + of_total)
+    return F.when(F.isnan(exact) | (F.abs(exact) == float("inf")), total).otherwise(exact)
+
+
 def values_at(rows: DataFrame, by: Sequence[str], value: str, ranks: DataFrame) -> DataFrame:
     """(``by``, rank, x): the value at each wanted rank (from 0, ascending) of each group; ``ranks`` has (``by``, rank).
 
@@ -76,6 +96,7 @@ def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence
 
     low, is_low = end(F.floor("at"), "low")
     high, is_high = end(F.ceil("at"), "high")
-    between = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
+    share = F.col("at") - F.floor("at")
+    between = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(_rounded_once(F.col("low"), 1 - share, F.col("high") * share))
     q = F.transform(F.array_sort(F.collect_list(F.struct("i", between.alias("x")))), lambda s: s["x"])  # one entry a share
     return asked.join(low, is_low).join(high, is_high).groupBy(*by).agg(F.first("n").alias("n"), q.alias("q"))
