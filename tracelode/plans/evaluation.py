@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..sources.store import written
 from . import ranking  # noqa: F401
 from .registry import Tables, query, source
 
@@ -104,13 +105,20 @@ def retrieval_metrics(t: Tables) -> DataFrame:
     return E.retrieval_metrics(t("cases").drop("stratum"), t("variant_rankings"), t("variant_contexts"))
 
 
+def _once(t: Tables, *names: str) -> DataFrame:
+    """The last of these inputs; each is written where it lies, as reports and the passes of percentiles read them again and again."""
+    for name in names:
+        t.give(name, written(t(name), name))
+    return t(names[-1])
+
+
 @query("""
     SELECT r.variant, stratum, count(*) AS n, round(avg(doc_hit), 6) AS mean_doc_hit, round(avg(doc_rr), 6) AS mean_doc_rr, round(avg(chunk_rr), 6) AS mean_chunk_rr, round(avg(latency), 6) AS mean_latency,
         count(*) FILTER (doc_rr > base_rr) AS wins, count(*) FILTER (doc_rr < base_rr) AS losses
     FROM {records} r JOIN (SELECT query_id AS b, doc_rr AS base_rr FROM {records} WHERE variant = 'dense') ON b = query_id
     GROUP BY GROUPING SETS ((r.variant, stratum), (r.variant))""")
 def eval_report(t: Tables) -> DataFrame:
-    return E.eval_report(t("records"), "dense")
+    return E.eval_report(_once(t, "records"), "dense")
 
 
 @query("""
@@ -134,7 +142,7 @@ _TAIL = """CASE WHEN x > 8 THEN 0.0 WHEN x = 0 THEN 1.0 ELSE greatest(1 - 2 * ex
     SELECT n, round(mean, 6) AS mean_difference, round(sd, 6) AS sd, round(t, 5) AS t, round(CASE WHEN t IS NOT NULL THEN {_TAIL} END, 5) AS p_t,
         round(CASE WHEN largest = 0 THEN 1.0 ELSE ((SELECT count(*) FROM s WHERE p <= 10000 AND abs(s) >= abs(total) - 1e-9) + 1) / 10001 END, 6) AS p FROM g""")
 def paired_tests(t: Tables) -> DataFrame:
-    return E.paired_tests(t("differences"))
+    return E.paired_tests(_once(t, "records", "differences"))
 
 
 @query("""
@@ -144,7 +152,7 @@ def paired_tests(t: Tables) -> DataFrame:
     SELECT round(threshold, 6) AS threshold, calls, count(*) FILTER (fold = 1 AND gap <= threshold) AS odd_calls, round(sum(CASE WHEN fold = 1 AND gap <= threshold THEN gain ELSE 0 END), 6) AS odd_gain,
         round(sum(CASE WHEN fold = 1 THEN gain ELSE 0 END), 6) AS odd_all_gain FROM {signals}, best GROUP BY threshold, calls""")
 def gate_threshold_search(t: Tables) -> DataFrame:
-    return E.gate_threshold_search(t("signals"))
+    return E.gate_threshold_search(_once(t, "records", "signals"))
 
 
 @query("""
@@ -152,7 +160,7 @@ def gate_threshold_search(t: Tables) -> DataFrame:
     SELECT bin, count(*) AS n, round(avg(gain), 6) AS mean_gain, round(any_value(c), 6) AS correlation
     FROM {signals}, e, (VALUES (0), (1), (2), (3)) b(bin) WHERE gap >= e[bin + 1] AND gap <= e[bin + 2] GROUP BY bin""")
 def signal_quartile_gain(t: Tables) -> DataFrame:
-    return E.signal_quartile_gain(t("signals"))
+    return E.signal_quartile_gain(_once(t, "records", "signals"))
 
 
 @query(r"""
