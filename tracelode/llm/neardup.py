@@ -208,11 +208,15 @@ def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.join(copies, ["band", "deal"])
 
 
-def _relabel(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bucket rows with their component, of buckets that hold more than one component."""
-    comp = buckets.join(labels, buckets["id"] == labels["old"], "left").withColumn("comp", F.coalesce("label", "id")).drop("old", "label")
-    mixed = comp.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("deals").alias("deals")).where("low < high")
-    return _with_facts(comp, mixed.select("band", "deals"))
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The bucket rows (with ``comp``) of buckets that hold more than one component."""
+    mixed = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("deals").alias("deals")).where("low < high")
+    return _with_facts(rows, mixed.select("band", "deals"))
+
+
+def _relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The bucket rows with their component now; components only grow, so a bucket that holds one is never looked up again."""
+    return rows.drop("comp").join(labels, rows["id"] == labels["old"], "left").withColumn("comp", F.coalesce("label", "id")).drop("old", "label")
 
 
 def groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,9 +317,9 @@ def _rest(mixed: DataFrame, sketches: DataFrame, shingles: DataFrame, percent: i
 def _links(buckets: DataFrame, sketches: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (u, v) that connect everything which the buckets connect."""
     spark = buckets.sparkSession
-    found, labels, before = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "old long, label long"), None
+    found, before = spark.createDataFrame([], "u long, v long"), None
+    mixed = written(_mixed(buckets.withColumn("comp", F.col("id"))), "mixed")
     for turn in range(MOST_ROUNDS + 1):
-        mixed = written(_relabel(buckets, labels), "mixed")
         parts = mixed.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"))
         n_rows, open_pairs = parts.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()
         if not open_pairs:
@@ -324,7 +328,6 @@ def _links(buckets: DataFrame, sketches: DataFrame, shingles: DataFrame, percent
         before = open_pairs
         if last:
             found = found.union(written(_rest(mixed, sketches, shingles, percent), "rest"))
-            removed(mixed)
             break
         order = F.xxhash64("id", F.lit(turn))
         leaders = mixed.groupBy("band").agg(F.min_by("id", order).alias("leader"), F.min_by("comp", order).alias("leader_comp"), F.max("deals").alias("deals"))
@@ -333,6 +336,9 @@ def _links(buckets: DataFrame, sketches: DataFrame, shingles: DataFrame, percent
         near = pairs.join(one, "u").join(two, "v").where(_plausible("a", "b", percent))
         near = near.groupBy("u").agg(F.min_by("v", F.struct(_far(F.col("a.sketch"), F.col("b.sketch")), "v")).alias("v"))
         found = found.union(written(confirm(near, shingles, percent), "star"))
-        removed(mixed)
         labels = components(found).select(F.col("id").alias("old"), "label")
+        before_round, now = mixed, written(_relabel(mixed, labels), "relabelled")  # once for both uses
+        mixed = written(_mixed(now), "mixed")
+        removed(before_round, now)
+    removed(mixed)
     return found
