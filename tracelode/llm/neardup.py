@@ -38,6 +38,7 @@ extra columns are left behind.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -165,7 +166,8 @@ def _plausible(a: str, b: str, percent: int) -> Column:
 
 
 def confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= percent * union of their full sets."""
+    """The rows of ``pairs`` whose (u, v) have 100 * intersection >= percent * union of their full sets."""
+    names = pairs.columns
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidy(batches):
@@ -174,32 +176,62 @@ def confirm(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     x = shingles.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x"))
     y = shingles.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
-    return pairs.select("u", "v").join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
+    return pairs.join(x, "u").join(y, "v").select(*names, "x", "y").mapInArrow(compare, pairs.schema)
 
 
-def _are_stars(links: DataFrame) -> bool:
-    """Does every u have one v, and is no v a u?  Then v < u is the least id of its component."""
-    if links.groupBy("u").count().where("count > 1").limit(1).count():
-        return False
-    return not links.join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+def _oriented(links: DataFrame) -> DataFrame:
+    return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+
+
+def _to_roots(pointers: DataFrame) -> DataFrame:
+    """Pointers (each u once, v < u) followed to their ends; a pass follows two steps and sees whether there is a third."""
+    now, before = pointers, None
+    while True:
+        steps = now.select(F.col("u").alias("at"), F.col("v").alias("to"))
+        one = now.join(steps, F.col("v") == F.col("at"), "left").select("u", F.coalesce("to", "v").alias("v"))
+        two = one.join(steps, F.col("v") == F.col("at"), "left").select("u", F.coalesce("to", "v").alias("v"), F.col("to").isNotNull().alias("moved"))
+        now = written(two, "roots")
+        if before is not None:
+            removed(before)
+        if not now.where("moved").limit(1).count():
+            return now.select("u", "v")
+        before = now
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that each linked id reaches; alternates large-star and small-star steps until stars are left."""
-    now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    while not _are_stars(now):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        before, now = now, written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    """(id, label): the smallest id that each linked id reaches, without the smallest ids themselves; ``links`` are read several times.
+
+    Each id points to its least neighbour below it, pointers are followed to their ends, and what links different ends is
+    linked anew.  An end that is not alone has a neighbour below it in the next turn, or was pointed to in this one, so the ids
+    that are left halve in every two turns at least; a turn is enough where no id has two neighbours below it.
+    """
+    edges, forest = _oriented(links), []
+    before = None
+    while True:
+        hooks = written(edges.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("other")), "hooks")
+        forest.append(_to_roots(hooks.select("u", "v")))
+        forked = hooks.where("v < other").limit(1).count()
+        removed(hooks)
+        if not forked:
+            break
+        low = forest[-1].select(F.col("u").alias("v"), F.col("v").alias("low"))
+        met = edges.join(forest[-1].withColumnRenamed("v", "high"), "u").join(low, "v", "left").select(F.col("high").alias("u"), F.coalesce("low", "v").alias("v"))
+        edges = written(_oriented(met).distinct(), "links")
+        if before is not None:
+            removed(before)
+        before = edges
+        if not edges.limit(1).count():
+            break
+    if before is not None:
         removed(before)
-    return now.select(F.col("u").alias("id"), F.col("v").alias("label"))
+    ends = forest[0]
+    if len(forest) > 1:  # an end of one turn may point on in a later one
+        ends = _to_roots(reduce(DataFrame.union, forest))
+    return ends.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
 def _with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -216,7 +248,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 def _relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The bucket rows with their component now; components only grow, so a bucket that holds one is never looked up again."""
-    return rows.drop("comp").join(labels, rows["id"] == labels["old"], "left").withColumn("comp", F.coalesce("label", "id")).drop("old", "label")
+    return rows.join(labels, rows["comp"] == labels["old"], "left").withColumn("comp", F.coalesce("label", "comp")).drop("old", "label")
 
 
 def groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,6 +259,7 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc
     folded = real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     folded = written(folded, "folded")  # a plain table on each side, so that a hot set's rows can be split in the joins below
     reps = real.join(folded.select(F.col("rep").alias("doc_id"), "set_a", "set_b", "n_shingles"), ["doc_id", "set_a", "set_b", "n_shingles"]).dropDuplicates(["set_a", "set_b", "n_shingles"])
+    reps = written(reps.select("doc_id", "n_shingles", "bands", "sketch"), "representatives")
 
     exploded = reps.select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("deals"), F.count("*").alias("m")).where("m > 1").drop("m")
@@ -236,10 +269,11 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc
     sketches = written(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch").join(crowd.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "sketches")
     shingles = written(sets(rows.join(crowd, "doc_id", "left_semi"), size).dropDuplicates(["doc_id", "shingles"]), "sets")
 
-    same = real.join(folded.where("copies > 1").drop("copies"), ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v").distinct()
-    links = written(_links(buckets, sketches, shingles, percent), "confirmed")
-    labels = components(same.union(links))
-    removed(folded, buckets, sketches, shingles, links)
+    same = real.join(folded.where("copies > 1").drop("copies"), ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
+    links = written(same.union(_links(buckets, sketches, shingles, percent)), "links")
+    removed(folded, reps, buckets, sketches, shingles)
+    labels = components(links)
+    removed(links)
     return (
         signed_rows.select("doc_id", "n_shingles")
         .join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -248,11 +282,11 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc
 
 
 def _tile(percent: int):
-    """Compares every document of one block with every document of another (or of its own)."""
+    """Compares every document of one block with every document of another (or of its own); returns linked components."""
 
     def compare(table: pa.Table) -> pa.Table:
         block = np.asarray(table["block"])
-        id_, comp = np.asarray(table["id"]), np.asarray(table["comp"])
+        comp = np.asarray(table["comp"])
         sketch = np.asarray(table["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(len(block), SKETCH_WORDS)
         size = np.array([len(x.as_buffer()) // 8 for x in table["shingles"]], np.int64)
         left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
@@ -288,24 +322,26 @@ def _tile(percent: int):
         x, y = np.nonzero(open_ & (100 * both >= percent * union))
         x, y = left[x], right[y]
         _, first = np.unique(np.stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])]), axis=1, return_index=True)  # one link joins two components
-        return pa.table([pa.array(id_[x[first]]), pa.array(id_[y[first]])], ["u", "v"])
+        return pa.table([pa.array(comp[x[first]]), pa.array(comp[y[first]])], ["u", "v"])
 
     return compare
 
 
 def _rest(mixed: DataFrame, sketches: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """All links between different components within a bucket (of large buckets: one for each two components of a tile)."""
+    """(u, v): all components that a link joins within a bucket (of large buckets: once for each tile)."""
     sizes = mixed.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("least"), F.max("deals").alias("deals"))
     sketch = sketches.select("id", "sketch")
     small = _with_facts(mixed, sizes.where(F.col("m") <= SMALL).select("band", "deals")).join(sketch, "id")
     apart = (F.col("l.id") < F.col("r.id")) & (F.col("l.comp") != F.col("r.comp"))
     near = small.alias("l").join(small.alias("r"), (F.col("l.band") == F.col("r.band")) & apart & _plausible("l", "r", percent))
-    by_pairs = confirm(near.select(F.col("l.id").alias("u"), F.col("r.id").alias("v")).distinct(), shingles, percent)
+    near = near.select(F.col("l.id").alias("u"), F.col("r.id").alias("v"), F.col("l.comp").alias("one"), F.col("r.comp").alias("two")).distinct()
+    by_pairs = confirm(near, shingles, percent).select(F.col("one").alias("u"), F.col("two").alias("v"))
 
-    large = _with_facts(mixed, sizes.where(F.col("m") > SMALL).select("band", "deals", "least"))
-    chained = components(large.select(F.col("id").alias("u"), F.col("least").alias("v")).distinct())
+    large = written(_with_facts(mixed, sizes.where(F.col("m") > SMALL).select("band", "deals", "least")), "large")
+    chained = components(large.select(F.col("id").alias("u"), F.col("least").alias("v")))
     members = large.select("id", "comp", "n_shingles").distinct().join(chained, "id", "left").withColumn("family", F.coalesce("label", "id"))
     members = written(members.select("id", "comp", "n_shingles", "family"), "families")
+    removed(large)
     cut = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).cast("int").alias("blocks"))
     placed = members.join(cut, "family").withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
     full = placed.join(shingles.withColumnRenamed("doc_id", "id"), "id").join(sketch, "id")
@@ -315,7 +351,7 @@ def _rest(mixed: DataFrame, sketches: DataFrame, shingles: DataFrame, percent: i
 
 
 def _links(buckets: DataFrame, sketches: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (u, v) that connect everything which the buckets connect."""
+    """Links (u, v) that connect everything which the buckets connect; later ones are between components of earlier ones."""
     spark = buckets.sparkSession
     found, before = spark.createDataFrame([], "u long, v long"), None
     mixed = written(_mixed(buckets.withColumn("comp", F.col("id"))), "mixed")
@@ -329,15 +365,17 @@ def _links(buckets: DataFrame, sketches: DataFrame, shingles: DataFrame, percent
         if last:
             found = found.union(written(_rest(mixed, sketches, shingles, percent), "rest"))
             break
-        order = F.xxhash64("id", F.lit(turn))
-        leaders = mixed.groupBy("band").agg(F.min_by("id", order).alias("leader"), F.min_by("comp", order).alias("leader_comp"), F.max("deals").alias("deals"))
-        pairs = _with_facts(mixed, leaders).where("comp <> leader_comp").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
+        order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")  # ids that point to a smaller one are components in one turn
+        leaders = mixed.groupBy("band").agg(F.min_by("id", order).alias("v"), F.min_by("comp", order).alias("two"), F.max("deals").alias("deals"))
+        led = _with_facts(mixed, leaders).where("comp <> two").groupBy(F.col("id").alias("u")).agg(F.min("comp").alias("one"), F.collect_set(F.struct("v", "two")).alias("leaders"))
         one, two = (sketches.select(F.col("id").alias(c), F.struct("n_shingles", "sketch").alias(d)) for c, d in (("u", "a"), ("v", "b")))
-        near = pairs.join(one, "u").join(two, "v").where(_plausible("a", "b", percent))
-        near = near.groupBy("u").agg(F.min_by("v", F.struct(_far(F.col("a.sketch"), F.col("b.sketch")), "v")).alias("v"))
-        found = found.union(written(confirm(near, shingles, percent), "star"))
-        labels = components(found).select(F.col("id").alias("old"), "label")
-        before_round, now = mixed, written(_relabel(mixed, labels), "relabelled")  # once for both uses
+        near = led.join(one, "u").select("u", "one", "a", F.inline("leaders")).join(two, "v").where(_plausible("a", "b", percent))
+        near = near.groupBy("u").agg(F.min_by(F.struct("v", "one", "two"), F.struct(_far(F.col("a.sketch"), F.col("b.sketch")), "v")).alias("best"))
+        star = written(confirm(near.select("u", "best.*"), shingles, percent).select(F.col("one").alias("u"), F.col("two").alias("v")), "star")
+        merged = components(star)
+        removed(star)
+        found = found.union(merged)
+        before_round, now = mixed, written(_relabel(mixed, merged.withColumnRenamed("id", "old")), "relabelled")  # once for both uses
         mixed = written(_mixed(now), "mixed")
         removed(before_round, now)
     removed(mixed)
