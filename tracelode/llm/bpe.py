@@ -19,6 +19,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,8 +35,11 @@ from .text import tidy
 
 #: Vocabularies above this many tokens are refused, because they are broadcast.
 MAX_VOCABULARY = 2_000_000
-#: Merged pre-tokens that a task remembers, twice; the memory of a task does not grow with its input.
-MEMO = 50_000
+#: Places for merged pre-tokens that a worker remembers (of up to ``MEMO_IDS`` ids); its memory does not grow with its input.
+MEMO, MEMO_IDS = 1 << 18, 8
+#: Pre-tokens of fewer bytes get their first heaps all at once.
+SHORT = 256
+_AFTER, _BEFORE = tuple(range(1, SHORT + 1)), tuple(range(-1, SHORT - 1))
 SLICE_CHARS = 1_000_000
 
 
@@ -88,7 +92,7 @@ class PerfectHash:
         return self.slots[np.where(d < 0, -d - 1, _slot(h, np.maximum(d, 0), len(self.slots)))]
 
 
-@dataclass
+@dataclass(eq=False)
 class Vocabulary:
     """Tokens by rank, their perfect hash and the split pattern."""
 
@@ -111,25 +115,27 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(tokens, np.array([int(b) for _, b in rows], np.int32), PerfectHash.build(_h64(tokens)), pattern)
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int], heap: list[int] | None = None, shift: int = 0) -> list[int]:
     """Ids of one pre-token: the lowest-ranked, then leftmost adjacent pair is merged until none is left.
 
-    A heap entry packs (rank, start, end of the pair) into one integer.  It is stale, and skipped, unless its start is
-    still a segment whose neighbour ends where the entry says.
+    A heap entry packs (rank, start, end of the pair) into one integer, with ``shift`` bits for each place; ``heap`` has those of
+    all pairs of bytes.  An entry is stale, and skipped, unless its start is still a segment whose neighbour ends where the entry says.
     """
     n, get = len(piece), ranks.get
-    shift = n.bit_length()
+    if heap is None:
+        shift = n.bit_length()
+        heap = [((r << shift | i) << shift) | (i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
     low = (1 << shift) - 1
-    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [((r << shift | i) << shift) | (i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
+    end, before = (list(_AFTER[:n]), list(_BEFORE[:n])) if n <= SHORT else (list(range(1, n + 1)), list(range(-1, n - 1)))
     pop, push = heapq.heappop, heapq.heappush
     while heap:
         entry = pop(heap)
-        stop, i = entry & low, entry >> shift & low
+        i = entry >> shift & low
         j = end[i]
-        if not j or j >= n or end[j] != stop:
+        if not j or j >= n or end[j] != entry & low:
             continue
+        stop = end[j]
         end[i], end[j] = stop, 0  # an end of 0 marks a segment that is gone
         if stop < n:
             before[stop] = i
@@ -139,8 +145,9 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             push(heap, ((r << shift | before[i]) << shift) | stop)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
+        j = end[i]
+        out.append(ranks[piece[i:j]])
+        i = j
     return out
 
 
@@ -150,23 +157,67 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.ranks, self.split = vocabulary, vocabulary.ranks(), regex.compile(vocabulary.pattern).findall
         self.tokens = np.array([*vocabulary.tokens, b""], dtype=object)[:-1]
-        self.single = [(i,) for i in vocabulary.ids.tolist()]
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}  # what the memo held before it was last full
+        self.pair = np.full(1 << 16, -1, np.int64)  # ranks of tokens of two bytes
+        for token, i in zip(vocabulary.tokens, vocabulary.ids.tolist()):
+            if len(token) == 2:
+                self.pair[token[0] << 8 | token[1]] = i
+        self.memo_key, self.memo_n = np.full(MEMO, None, object), np.zeros(MEMO, np.int8)
+        self.memo_ids, self.memo_used = np.zeros((MEMO, MEMO_IDS), np.int32), np.zeros(MEMO, bool)
+
+    def _merged(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens that are not in the vocabulary; first heaps of short ones are sorted lists, made for all at once."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        out: list[list[int]] = [[]] * len(pieces)
+        for k in np.flatnonzero(size >= SHORT).tolist():
+            out[k] = merge(pieces[k], self.ranks)
+        short = np.flatnonzero(size < SHORT)
+        size, some = size[short], [pieces[k] for k in short.tolist()]
+        data = np.frombuffer(b"".join(some), np.uint8).astype(np.int64)
+        which = np.repeat(np.arange(len(some)), size)
+        place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+        rank = np.full(len(data), -1, np.int64)
+        rank[:-1] = self.pair[data[:-1] << 8 | data[1:]]
+        open_ = np.flatnonzero((rank >= 0) & (place < size[which] - 1))
+        which, place, rank = which[open_], place[open_], rank[open_]
+        shift = SHORT.bit_length() - 1
+        keys = np.sort(which << 40 | rank << 2 * shift | place << shift | (place + 2))  # ranks of MAX_VOCABULARY fit below bit 40
+        at = np.searchsorted(keys, np.arange(len(some) + 1) << 40).tolist()
+        heaps, ranks = (keys & ((1 << 40) - 1)).tolist(), self.ranks
+        for k, piece, i, j in zip(short.tolist(), some, at, at[1:]):
+            out[k] = merge(piece, ranks, heaps[i:j], shift)
+        return out
 
     def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of distinct pre-tokens and the number of ids of each."""
-        at = self.v.perfect.find(_h64(pieces))
-        known = self.tokens[at] == np.array([*pieces, b""], dtype=object)[:-1]
-        found = [self.single[k] for k in at.tolist()]
-        if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
-        for i in np.flatnonzero(~known).tolist():
-            if (ids := self.memo.get(pieces[i])) is None:
-                ids = self.memo[pieces[i]] = self.older.get(pieces[i]) or tuple(merge(pieces[i], self.ranks))
-            found[i] = ids
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int32, int(count.sum())), count
+        h, keys = _h64(pieces), np.array([*pieces, b""], dtype=object)[:-1]
+        at = self.v.perfect.find(h)
+        known = self.tokens[at] == keys
+        rest = np.flatnonzero(~known)
+        slot = ((h[rest] >> np.uint64(32)) % np.uint64(MEMO)).astype(np.int64)
+        hit = self.memo_key[slot] == keys[rest]
+        missed = rest[~hit]
+        made = self._merged([pieces[k] for k in missed.tolist()])
+        count = np.ones(len(pieces), np.int64)
+        count[rest[hit]] = self.memo_n[slot[hit]]
+        count[missed] = n = np.fromiter(map(len, made), np.int64, len(made))
+        first = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), np.int32)
+        flat[first[known]] = self.v.ids[at[known]]
+        flat[np.repeat(first[missed] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = np.fromiter(chain.from_iterable(made), np.int32, int(n.sum()))
+        for k in range(MEMO_IDS):
+            more = hit & (count[rest] > k)
+            flat[first[rest[more]] + k] = self.memo_ids[slot[more], k]
+        free = (n <= MEMO_IDS) & ~self.memo_used[slot[~hit]]  # what was found since a place was last wanted stays there
+        self.memo_used[slot[~hit]] = False
+        self.memo_used[slot[hit]] = True
+        keep = np.flatnonzero(free)
+        slot, one = np.unique(slot[~hit][keep], return_index=True)  # one for each place
+        kept = missed[keep[one]]
+        self.memo_key[slot], self.memo_n[slot] = keys[kept], count[kept]
+        for k in range(MEMO_IDS):
+            more = count[kept] > k
+            self.memo_ids[slot[more], k] = flat[first[kept[more]] + k]
+        return flat, count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and the number of ids of each text."""
@@ -183,6 +234,12 @@ class Encoder:
         return flat[np.repeat(first, each) + inside], np.diff(total)
 
 
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    """One for all tasks of a worker, so that merged pre-tokens are remembered between them."""
+    return Encoder(vocabulary)
+
+
 class Decoder:
     """Bytes of token ids inside a task."""
 
@@ -224,7 +281,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", out_co
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(sent.value)
+        encoder = _encoder(sent.value)
         for batch in tidy(batches):
             yield _encoded(encoder, batch)
 
@@ -250,7 +307,7 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", id
 
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, decoder = Encoder(sent.value), Decoder(sent.value)
+        encoder, decoder = _encoder(sent.value), Decoder(sent.value)
         for batch in tidy(batches):
             ids = _encoded(encoder, batch)
             yield pa.StructArray.from_arrays([ids, _decoded(decoder, ids)], ["ids", "decoded"])
