@@ -267,11 +267,12 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 3, id_col: str = "doc
     buckets = written(exploded.join(shared, "band").withColumn("deal", deal), "buckets")
     crowd = buckets.select(F.col("id").alias("doc_id")).distinct()
     sketches = written(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch").join(crowd.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "sketches")
+    removed(reps)
     shingles = written(sets(rows.join(crowd, "doc_id", "left_semi"), size).dropDuplicates(["doc_id", "shingles"]), "sets")
 
     same = real.join(folded.where("copies > 1").drop("copies"), ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
     links = written(same.union(_links(buckets, sketches, shingles, percent)), "links")
-    removed(folded, reps, buckets, sketches, shingles)
+    removed(folded, buckets, sketches, shingles)
     labels = components(links)
     removed(links)
     return (
