@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import written
+from ..sources.store import LARGE_ROWS, written
 
 #: Chunks in a shard, chunks in a run with one bound, queries in a block.
 SHARD, RUN, QUERY_BLOCK = 10_000, 8, 2_000
@@ -30,6 +30,7 @@ FREQUENT, PILOT = 24, 16
 STEPS = 64
 #: Up to this many bytes of packed queries are broadcast; more meet the shards block by block.
 BROADCAST_BYTES = 64 << 20
+#: ``s_n`` (the number of a shard) is put beside these.
 _SHARD = "keys binary, length binary, terms array<string>, first binary, chunk binary, tf binary"
 _QUERIES = "q_ids binary, q_first binary, q_terms array<string>, q_weights binary, q_least binary"
 #: Impact of each posting from its count, its chunk's number of words, and the shard's norms of chunks.
@@ -82,7 +83,8 @@ def index(chunks: DataFrame) -> DataFrame:
                 kinds = [pa.list_(pa.string()) if isinstance(x, list) else pa.binary() for x in made]
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds)], [c.split()[0] for c in _SHARD.split(", ")])
 
-    return written(chunks.select(F.col("chunk_id").cast("long"), F.lower(F.coalesce("text", F.lit("")))).mapInArrow(pack, _SHARD), "postings")
+    packed = chunks.select(F.col("chunk_id").cast("long"), F.lower(F.coalesce("text", F.lit("")))).mapInArrow(pack, _SHARD)
+    return written(packed.withColumn("s_n", F.monotonically_increasing_id()), "postings", **LARGE_ROWS)
 
 
 def size(shards: DataFrame) -> tuple[int, float]:
@@ -138,8 +140,8 @@ class Shard:
     """One shard in memory, with the greatest impact of each term in each run of chunks that has it."""
 
     def __init__(self, row: dict, impact: Impact):
-        take = lambda c, t: np.frombuffer(row[c], t)
-        self.keys, self.first, self.chunk, self.terms = take("keys", "<i8"), take("first", "<i8"), take("chunk", "<i4").astype(np.int64), pa.array(row["terms"], pa.string())
+        take = lambda c, t: np.frombuffer(row[c].as_buffer(), t)
+        self.keys, self.first, self.chunk, self.terms = take("keys", "<i8").copy(), take("first", "<i8").copy(), take("chunk", "<i4").astype(np.int64), row["terms"].values
         self.impact = impact(take("tf", "<i4").astype(np.float64), self.chunk, take("length", "<i8"))
         run, term = self.chunk // RUN, np.repeat(np.arange(len(self.terms)), np.diff(self.first))
         begins = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (term[1:] != term[:-1])])) if len(run) else np.zeros(0, np.int64)
@@ -194,13 +196,18 @@ def search(shards: DataFrame, weights: DataFrame, k: int, impact: Impact) -> Dat
     weights = written(weights, "weights")
     n, least = shards.count(), None
     if n > 1:  # any k chunks give a score that the k best reach
-        pilot = written(shards.limit(-(-n // PILOT)), "pilot")
-        found = _searched(pilot, weights, None, k, impact)
+        found = _searched(_pilot(shards, -(-n // PILOT)), weights, None, k, impact)
         kth = found.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).where(F.col("i") == k)
         least = kth.select("query_id", (F.col("score") - 2e-9 * (1 + F.abs("score"))).alias("least"))
     return _searched(shards, weights, least, k, impact)
 
 
+def _pilot(shards: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` shards by a hash of their numbers, dealt out over tasks; a limit would put them all into one."""
+    first = shards.select("s_n").orderBy(F.xxhash64("s_n"), "s_n").limit(n)  # numbers only
+    return shards.join(F.broadcast(first), "s_n", "left_semi").repartition(n, "s_n")
+
+
 def _searched(shards: DataFrame, weights: DataFrame, least: DataFrame | None, k: int, impact: Impact) -> DataFrame:
     blocks = written(_packed(weights, least), "questions")
     n_bytes = blocks.agg(F.sum(F.length("q_weights") + F.length("q_ids") + F.length(F.array_join("q_terms", ",")))).first()[0]
@@ -209,12 +216,14 @@ def _searched(shards: DataFrame, weights: DataFrame, least: DataFrame | None, k:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None)
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["keys"] != last[0]:
-                    last = (row["keys"], Shard(row, impact))
+            for r in range(batch.num_rows):  # one by one: a row is a whole shard
+                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                if row["s_n"].as_py() != last[0]:
+                    last = (None, None)  # before the next one is made
+                    last = (row["s_n"].as_py(), Shard(row, impact))
                 shard = last[1]
-                ids, first, weight, low = (np.frombuffer(row[f"q_{c}"], t) for c, t in (("ids", "<i8"), ("first", "<i8"), ("weights", "<f8"), ("least", "<f8")))
-                place = pc.index_in(pa.array(row["q_terms"], pa.string()), value_set=shard.terms)
+                ids, first, weight, low = (np.frombuffer(row[f"q_{c}"].as_buffer(), t) for c, t in (("ids", "<i8"), ("first", "<i8"), ("weights", "<f8"), ("least", "<f8")))
+                place = pc.index_in(row["q_terms"].values, value_set=shard.terms)
                 place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 out = [[], [], [], [], [], []]
                 for q, i, j, bound in zip(ids.tolist(), first.tolist(), first[1:].tolist(), low.tolist()):
